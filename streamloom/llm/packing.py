@@ -148,15 +148,31 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int = 40, rate: float
     return solution
 
 
-def rounded(counts: np.ndarray, capacity: int, passes: int = 12) -> tuple[list[tuple[tuple, int]], np.ndarray]:
-    """Whole numbers of configurations and the lengths they leave unpacked; the program runs again on what is left."""
-    left, plan = counts.copy(), []
-    for _ in range(passes):
+def rounded(counts: np.ndarray, capacity: int, passes: int = 12) -> list[tuple[list[tuple[tuple, int]], np.ndarray]]:
+    """Whole numbers of configurations and the lengths they leave unpacked, rounded in two ways.
+
+    First down to whole times of the solution, for lengths that mostly exceed half a sequence. Then,
+    pass by pass, as often as full configurations of the solution still fit what is left, for short lengths.
+    """
+    down, left = [], counts.copy()
+    solution = fractional(counts, capacity) if counts.any() else {}
+    covered = np.zeros(capacity + 1)
+    for c, x in solution.items():
+        for a, b in c:
+            covered[a] += x * b
+    scale = 1 / np.median(covered[counts > 0] / counts[counts > 0]) if solution else 1.0
+    for c, x in sorted(solution.items(), key=lambda kv: (-kv[1], kv[0])):
+        if times := int(min(x * scale, *(left[a] // b for a, b in c))):
+            down.append((c, times))
+            for a, b in c:
+                left[a] -= times * b
+    found = [(down, left)]
+    plan, left = [], counts.copy()
+    for k in range(passes):
         before = int(left.sum())
         if before < 64:
             break
-        for c, x in sorted(fractional(left, capacity).items(), key=lambda kv: (-sum(a * b for a, b in kv[0]), -kv[1], kv[0])):
-            del x
+        for c, _ in sorted((fractional(left, capacity) if k else solution).items(), key=lambda kv: (-sum(a * b for a, b in kv[0]), -kv[1], kv[0])):
             if sum(a * b for a, b in c) < capacity - 2:
                 continue
             if times := int(min(left[a] // b for a, b in c)):
@@ -165,7 +181,7 @@ def rounded(counts: np.ndarray, capacity: int, passes: int = 12) -> tuple[list[t
                     left[a] -= times * b
         if left.sum() > 0.9 * before:
             break
-    return plan, left
+    return [*found, (plan, left)]
 
 
 def best_fit(plan: list[tuple[tuple, int]], left: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
@@ -201,9 +217,9 @@ def best_fit(plan: list[tuple[tuple, int]], left: np.ndarray, capacity: int) ->
 
 def plan_slots(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Slots of each length, in runs: columns length, first rank, slots in a sequence, first sequence, offset of the first slot."""
-    plan, left = rounded(counts, capacity)
+    packed = min((best_fit(*x, capacity) for x in rounded(counts, capacity)), key=lambda p: sum(times for _, times in p))
     runs, used, sequence = [], np.zeros(capacity + 1, np.int64), 0
-    for c, times in best_fit(plan, left, capacity):
+    for c, times in packed:
         offset = 0
         for length, held in c:
             runs.append((length, int(used[length]), held, sequence, offset))

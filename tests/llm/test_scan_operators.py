@@ -155,9 +155,10 @@ def test_plan_is_tight():
         counts = np.bincount(rng.integers(1, 2048, n), minlength=2049)
         runs = packing.plan_slots(counts)
         assert runs[:, 0].max() < 2048 and (runs[:, 1] + runs[:, 2] <= counts[runs[:, 0]]).all()
-        plan, left = packing.rounded(counts, 2048)
-        used, plain = (sum(t for _, t in packing.best_fit(p, x, 2048)) for p, x in ((plan, left), ([], counts.copy())))
-        assert used <= 1.01 * plain
+        used = len({s + i for length, rank, held, s, _ in runs.tolist() for i in range(-(-int(counts[length] - rank) // held)) if i == 0})
+        plain = sum(t for _, t in packing.best_fit([], counts.copy(), 2048))
+        best = min(sum(t for _, t in packing.best_fit(*x, 2048)) for x in packing.rounded(counts, 2048))
+        assert used <= best <= 1.01 * plain
 
 
 # nearest neighbours -------------------------------------------------------------------------
