@@ -94,8 +94,8 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes |
     def reduced(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
         out = answer(group.column("payload").to_pylist())
-        keep = [i for i, x in enumerate(out) if x is not None]
-        return pa.table({"block": group.column("block").take(keep), "bucket": group.column("bucket").take(keep), "payload": pa.array([out[i] for i in keep], pa.binary())})
+        keep = pa.array([i for i, x in enumerate(out) if x is not None], pa.int64())
+        return pa.table({"block": group.column("block").take(keep), "bucket": group.column("bucket").take(keep), "payload": pa.array([x for x in out if x is not None], pa.binary())})
 
     found = saved(questions.groupBy("bucket").applyInArrow(reduced, "block long, bucket int, payload binary"), name)
     return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))

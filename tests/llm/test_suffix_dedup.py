@@ -69,6 +69,8 @@ def test_small_spans(spark):
 def test_nothing(spark):
     assert suffix_dedup.duplicate_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     check(spark, [None, ""], 200, 50)
+    check(spark, [f"{i} " * 90 for i in range(3)] + ["unlike any other " + "".join(map(chr, range(300, 900)))], 200, 50)
+    check(spark, ["".join(map(chr, range(300 * i + 200, 300 * i + 500))) for i in range(4)], 200, 50)
 
 
 def test_intervals():
