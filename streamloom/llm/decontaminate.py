@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch_of, column, strings
 
@@ -196,10 +197,8 @@ def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
                 counts += n.tolist()
                 spans += [x + [v for pair in y for v in pair] for x, y in zip(old_spans[a:b], s, strict=True)]
                 items += [sorted({*x, *y}) for x, y in zip(old_items[a:b], i, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "k"), column(batch, "text"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["k", "text", "n_words", "spans", "items"],
-            )
+            made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([made.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
     return df.mapInArrow(searched, df.schema)
 
@@ -215,6 +214,24 @@ def merged(flat: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _benchmark_blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int) -> Iterator[tuple[dict, list]]:
+    """The windows of each block of the benchmark."""
+    texts = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    size = texts.agg(F.sum(F.octet_length("t")).cast("long")).first()[0] or 0
+    n_blocks = -(-size // block_bytes) or 1
+    for b in range(n_blocks):
+        part = texts if n_blocks == 1 else texts.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
+        yield windows([(r.i, r.t.encode()) for r in part.collect()], window)
+
+
+def _nothing_found() -> list:
+    return [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items")]
+
+
+def _contaminated(hit: int, n: int) -> bool:
+    return hit > 0 and 20 * hit >= n
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, n_words, n_hit, n_items, items (sorted strings), spans (word start and end, flat) and contaminated.
 
@@ -222,13 +239,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     in one block if its text is at most block_bytes, else in as many passes as that takes,
     dealt by hash, so no pass and no step on the driver holds more than about a block.
     """
-    texts = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    size = texts.agg(F.sum(F.octet_length("t")).cast("long")).first()[0] or 0
-    n_blocks = -(-size // block_bytes) or 1
-    df = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for b in range(n_blocks):
-        part = texts if n_blocks == 1 else texts.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
-        df = _pass(df, windows([(r.i, r.t.encode()) for r in part.collect()], window), shard_bytes)
+    df = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), *_nothing_found())
+    for block in _benchmark_blocks(benchmark, item, item_text, window, block_bytes):
+        df = _pass(df, block, shard_bytes)
     kind = docs.schema[key].dataType.simpleString()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +257,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 "n_items": ([len(x) for x in items], pa.int64()),
                 "items": (items, pa.list_(pa.string())),
                 "items_sha256": ([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
-                "contaminated": ([h > 0 and 20 * h >= w for h, w in zip(hits, n, strict=True)], pa.bool_()),
+                "contaminated": ([_contaminated(h, w) for h, w in zip(hits, n, strict=True)], pa.bool_()),
                 "spans": ([[v for pair in x for v in pair] for x in spans], pa.list_(pa.int64())),
             })
 
     out = df.drop("text").mapInArrow(finish, f"k {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<bigint>")
     return out.withColumnRenamed("k", key)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated, whole; one scan, no shuffle."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    df = docs.toDF(*names).select(*names, F.col(names[docs.columns.index(text)]).cast("string").alias("text"), *_nothing_found())
+    for block in _benchmark_blocks(benchmark, item, item_text, window, BLOCK_BYTES):
+        df = _pass(df, block, SHARD_BYTES)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [sum(b - a for a, b in merged(x)) for x in column(batch, "spans").to_pylist()]
+            keep = [not _contaminated(h, n) for h, n in zip(hits, column(batch, "n_words").to_pylist(), strict=True)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    out = df.mapInArrow(kept, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]))
+    return out.toDF(*docs.columns)

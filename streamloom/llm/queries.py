@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontaminate, packing, simhash, suffix_dedup, url_filter
-from .common import table
+from . import ann, backoff, decontaminate, packing, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
+from .common import shared_folder, table
 
 
 def tokenizer_path() -> str:
@@ -24,15 +26,34 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ingest(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), "arrival")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -42,8 +63,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash, op5_decontamination, op7_nearest_neighbours, op9_url_filter, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash, op3_toxicity, op4_personal_data, op5_decontamination, op6_backoff_scores, op7_nearest_neighbours, op8_sharding, op9_url_filter, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_backoff_scores": backoff.SQL, "op8_sharding": sharding.SQL}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batch_of, column, saved, strings
+from .common import ascii_lower, batch_of, bounded, column, saved, strings
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of a cell that are compared as they are.
@@ -204,3 +204,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     known = nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
     out = prints.join(known, "fp").select(F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the one with the smallest key.
+
+    Of rows that repeat that key one stays. Rows with a null key can't be named and all stay.
+    The keys that stay are broadcast if they are few, else joined by key.
+    """
+    found = saved(near_duplicates(docs, key, text, size, radius).select(F.col(key).alias("_stay"), "component_id"), "components")
+    stay = saved(found.where(F.col("_stay") == F.col("component_id")).groupBy("_stay").agg(F.count("*").alias("_times")), "stay")
+    small = bounded(stay, F.octet_length(F.col("_stay").cast("string")) + 16)
+    kept = docs.join(small, docs[key] == small["_stay"])
+    once = kept.where("_times = 1").select(*[docs[c] for c in docs.columns])
+    nameless = docs.where(docs[key].isNull())
+    if stay.where("_times > 1").isEmpty():
+        return once.union(nameless)
+    repeated = kept.where("_times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([key])
+    return once.union(repeated).union(nameless)
