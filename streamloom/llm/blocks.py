@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded, column, saved, strings
+from .common import batch_of, bounded, column, release, saved, strings
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -98,6 +98,7 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes |
         return pa.table({"block": group.column("block").take(keep), "bucket": group.column("bucket").take(keep), "payload": pa.array([x for x in out if x is not None], pa.binary())})
 
     found = saved(questions.groupBy("bucket").applyInArrow(reduced, "block long, bucket int, payload binary"), name)
+    release(found.sparkSession)
     return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -61,3 +62,9 @@ def column(batch: pa.RecordBatch, name: str):
 def batch_of(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
