@@ -31,6 +31,8 @@ from .decontaminate import words
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 BLOCK_BYTES = 4 << 20
+#: Counts of at most so many bytes are broadcast to the blocks; more are shuffled to them.
+ANSWER_BYTES = 4 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -45,6 +47,16 @@ def _whole(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
 
 
+def _rising(x: np.ndarray) -> bytes:
+    """Rising hashes as differences, byte by byte of all: the upper bytes are mostly zero and squeeze away."""
+    return _squeezed(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unrising(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(_whole(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _parts(*data: bytes) -> bytes:
     return np.array([len(data), *map(len, data)], np.int64).tobytes() + b"".join(data)
 
@@ -115,7 +127,7 @@ class Grams:
 
     def scores(self, total: int, backoff: float) -> np.ndarray:
         """Millionths of log10 of every word's score."""
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             out = np.log10(self.found[0]) - np.log10(max(total, 1))
             longest = np.minimum(self.place + 1, len(self.found))
             used = np.ones(len(out), np.int64)
@@ -130,7 +142,7 @@ class Grams:
 def counted(payloads: list[bytes], least: int) -> list[bytes]:
     """A bucket's answers: the corpus count of every hash asked for; those under `least` are only marked."""
     parts = [_unparts(x) for x in payloads]
-    hashes = [np.frombuffer(h, np.uint64) for h, _ in parts]
+    hashes = [_unrising(h) for h, _ in parts]
     _, back = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(back, np.concatenate([_whole(c, np.uint32) for _, c in parts])).astype(np.uint32)[back]
     out = []
@@ -161,14 +173,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             for b in range(buckets):
                 lo, hi = edges[b], edges[b + 1]
                 if lo < hi:
-                    yield b, _parts(distinct[lo:hi].tobytes(), _squeezed(count[lo:hi].astype(np.uint32)))
+                    yield b, _parts(_rising(distinct[lo:hi]), _squeezed(count[lo:hi].astype(np.uint32)))
 
         return question
 
     told = blocks
     for n in range(1, order + 1):
         least = 1 if n == 1 else min_count
-        told = with_answers(told, answered(asked(told, ask(n)), lambda p, least=least: counted(p, least), f"grams{n}"), f"g{n}")
+        told = with_answers(told, answered(asked(told, ask(n)), lambda p, least=least: counted(p, least), f"grams{n}"), f"g{n}", ANSWER_BYTES)
     total = _total(blocks)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded, column, release, saved, strings
+from .common import BROADCAST_BYTES, batch_of, bounded, column, release, saved, strings
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -98,11 +98,12 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes |
         return pa.table({"block": group.column("block").take(keep), "bucket": group.column("bucket").take(keep), "payload": pa.array([x for x in out if x is not None], pa.binary())})
 
     found = saved(questions.groupBy("bucket").applyInArrow(reduced, "block long, bucket int, payload binary"), name)
+    del questions  # the last reference to its shuffle
     release(found.sparkSession)
     return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """blocks with the column name (null where nothing was answered): broadcast if what was answered is small, else shuffled by block."""
+def with_answers(blocks: DataFrame, answers: DataFrame, name: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """blocks with the column name (null where nothing was answered): broadcast if what was answered takes at most `most` bytes, else shuffled by block."""
     size = F.aggregate("answers", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["payload"]) + 16)
-    return blocks.join(bounded(answers, size), "block", "left").withColumnRenamed("answers", name)
+    return blocks.join(bounded(answers, size, most), "block", "left").withColumnRenamed("answers", name)

@@ -44,10 +44,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, size) -> DataFrame:
-    """df with a broadcast hint if the bytes that size (a column) sums to are few enough; else df."""
+def bounded(df: DataFrame, size, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the bytes that size (a column) sums to are at most `most`; else df."""
     total = df.agg(F.sum(size).cast("long")).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    return F.broadcast(df) if total <= most else df
 
 
 def strings(column) -> list[bytes]:
