@@ -280,3 +280,19 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
 
     out = df.mapInArrow(kept, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]))
     return out.toDF(*docs.columns)
+
+_SQL_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The same in DuckDB, of the tables documents and benchmark.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
+n AS (SELECT item, w, least({WINDOW}, len(w)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, w[i:i + k - 1] AS words FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM n)),
+place AS (SELECT doc_id, k, i, w[i:i + k - 1] AS words FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT DISTINCT doc_id, win.k, i, item FROM place JOIN win ON win.k = place.k AND win.words = place.words),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""

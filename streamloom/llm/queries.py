@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_backoff_scores": backoff.SQL, "op8_sharding": sharding.SQL}
+    return {"op5_decontamination": decontaminate.SQL, "op6_backoff_scores": backoff.SQL, "op8_sharding": sharding.SQL}

@@ -202,7 +202,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     label = of.groupBy("root").agg(F.min("least").alias("label"))
     labels = of.select("node", "root").join(label, "root").select(F.col("node").alias("fp"), "label")
     known = nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
-    out = prints.join(known, "fp").select(F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = saved(known, "known")
+    # a hot fingerprint's rows would meet in one task: what is known of each is broadcast while it is small, and AQE splits the join beyond that
+    out = prints.join(bounded(known, F.lit(32)), "fp").select(F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out
 
 
