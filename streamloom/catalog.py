@@ -991,3 +991,34 @@ def dynamic_fields(spark, d):
 def vector_elements(spark, d):
     e = F.col("event_id")
     return v.table(spark, d, "events").where(e % 2 == 0).select("event_id", F.explode(F.array(e % 3, e % 5, e % 7)).alias("element"))
+
+
+# as-of, resume, eviction --------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT o_custkey AS connection, o_orderkey AS moment, o_orderkey % 9 AS version FROM orders WHERE o_orderkey % 4 = 0), q AS (SELECT o_custkey AS connection, o_orderkey AS moment FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT q.connection, q.moment, a.version FROM q ASOF LEFT JOIN a ON q.connection = a.connection AND q.moment >= a.moment""")
+def announced_schema_asof(spark, d):
+    o = v.table(spark, d, "orders").select(F.col("o_custkey").alias("connection"), F.col("o_orderkey").alias("moment"))
+    announced = F.when(F.col("moment") % 4 == 0, F.struct("moment", (F.col("moment") % 9).alias("version")))
+    seen = v.running(o, ["connection"], "moment", {"_a": ("max", announced, True)})
+    return seen.where("moment % 4 <> 0").select("connection", "moment", F.col("_a.version").alias("version"))
+
+
+@query(f"{v.RECORDS}\nSELECT node_id, publisher_id, publisher_epoch, max(source_sequence) AS last, row_number() OVER (PARTITION BY node_id ORDER BY publisher_id, publisher_epoch) AS place FROM record GROUP BY node_id, publisher_id, publisher_epoch")
+def resume_entries(spark, d):
+    last = v.record(spark, d).groupBy("node_id", "publisher_id", "publisher_epoch").agg(F.max("source_sequence").alias("last"))
+    w = F.row_number().over(replay.Window.partitionBy("node_id").orderBy("publisher_id", "publisher_epoch"))
+    return last.withColumn("place", w.cast("bigint"))
+
+
+@query(f"{v.RECORDS}\nSELECT node_id, arg_min(publisher_id, last * 1000000 + publisher_id) AS victim FROM (SELECT node_id, publisher_id, max(event_id) AS last FROM record GROUP BY ALL) GROUP BY node_id")
+def least_recent_sources(spark, d):
+    last = v.record(spark, d).groupBy("node_id", "publisher_id").agg(F.max("event_id").alias("last"))
+    return last.groupBy("node_id").agg(F.min_by("publisher_id", F.struct("last", "publisher_id")).alias("victim"))
+
+
+@query(f"{v.ARRIVALS}\nSELECT publisher_id % 8 AS session, count(*) AS frames, sum(payload_size)::BIGINT AS bytes, count(CASE WHEN flags & 2 <> 0 THEN 1 END) AS tombstones, min(arrival) AS first, max(arrival) AS last FROM arrival GROUP BY ALL")
+def session_traffic(spark, d):
+    a = v.arrival(v.record(spark, d))
+    return a.groupBy((F.col("publisher_id") % 8).alias("session")).agg(F.count("*").alias("frames"), F.sum("payload_size").alias("bytes"), F.count_if(F.col("flags").bitwiseAND(2) != 0).alias("tombstones"), F.min("arrival").alias("first"), F.max("arrival").alias("last"))

@@ -1 +1,298 @@
-"""Stateful simulations as queries."""
+"""Stateful simulations as queries: one state machine for each key, fed in order, in bounded memory."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from streamloom import views as v
+from streamloom.catalog import query
+from streamloom.operators import capacity
+from streamloom.plans import simulate
+
+
+def machines(df: DataFrame, keys: list[str], order: str, start: Callable[[], Callable[[dict], list[tuple]]], schema: str) -> DataFrame:
+    """Feeds each key's rows, in order, to a machine of its own; its rows out.
+
+    Rows are dealt by key and sorted, then stream through: a task holds one machine and one batch at a time, however many rows a key has.
+    """
+    names = df.columns
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, order)
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, feed = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                record = dict(zip(names, row, strict=True))
+                key = tuple(record[k] for k in keys)
+                if key != current:
+                    current, feed = key, start()
+                out += feed(record)
+            yield pd.DataFrame(out, columns=columns)
+
+    return dealt.mapInPandas(run, schema)
+
+
+@query()
+def bounded_queue_policies(spark, d):
+    """What becomes of every message under each full policy; every third event takes one out."""
+    e = v.record(spark, d).select("topic_id", "event_id", F.when(F.col("event_id") % 3 == 0, "dequeue").otherwise("enqueue").alias("kind"))
+    e = e.select("*", F.explode(F.array(*map(F.lit, simulate.POLICIES))).alias("policy"))
+
+    def start():
+        box: list = []
+        machine = None
+
+        def feed(r):
+            nonlocal machine
+            if machine is None:
+                def events():
+                    while True:
+                        yield box.pop()
+
+                machine = simulate.bounded_queue(events(), 16, r["policy"], 4)
+            box.append((r["kind"], r["event_id"]))
+            item, outcome, retired = next(machine)
+            return [(r["topic_id"], r["policy"], item, outcome, -1 if retired is None else retired)]
+
+        return feed
+
+    return machines(e, ["topic_id", "policy"], "event_id", start, "topic_id long, policy string, event_id long, outcome string, retired long")
+
+
+@query()
+def buffer_pool_admission(spark, d):
+    """Reservations in a byte-budgeted pool for each node, dropping the oldest, and its pressure after each."""
+    r = v.record(spark, d).select("node_id", "event_id", "topic_id", (F.col("event_id") * 7919 % 200_000).alias("size"))
+
+    def start():
+        pool = simulate.BufferPool(global_limit=2 << 20, topic_limit=1 << 20, slots=64)
+
+        def feed(x):
+            outcome, evicted = pool.reserve(x["event_id"], x["topic_id"], x["size"], "drop_oldest")
+            if x["event_id"] % 5 == 0:
+                pool.dequeue()
+            return [(x["node_id"], x["event_id"], outcome, len(evicted), pool.used, pool.pressure())]
+
+        return feed
+
+    return machines(r, ["node_id"], "event_id", start, "node_id long, event_id long, outcome string, evicted int, used long, pressure string")
+
+
+@query()
+def receiver_dedup(spark, d):
+    """A receiver's decision on every arrival, for each node's session."""
+    a = v.arrival(v.record(spark, d)).select("node_id", "topic_id", "publisher_id", "source_sequence", "arrival", "ingestion_ts_ns")
+
+    def start():
+        window = simulate.DedupWindow(distance=64, max_sources=40, max_age=3_600_000_000_000)
+
+        def feed(x):
+            decision, highest = window.offer(1, (x["topic_id"], x["publisher_id"]), x["source_sequence"], x["ingestion_ts_ns"])
+            return [(x["node_id"], x["arrival"], decision, -1 if highest is None else highest)]
+
+        return feed
+
+    return machines(a, ["node_id"], "arrival", start, "node_id long, arrival long, decision string, highest long")
+
+
+@query()
+def recording_admission(spark, d):
+    """Admission under the three topologies while the recorder comes and goes."""
+    r = v.record(spark, d).select("topic_id", "event_id", F.when(F.col("event_id") % 37 == 0, "degraded").when(F.col("event_id") % 41 == 0, "ready").otherwise("").alias("state"), (F.col("event_id") % 11 == 0).alias("is_full"))
+    r = r.select("*", F.explode(F.array(*map(F.lit, ("strong", "isolated", "best_effort")))).alias("topology"))
+
+    def start():
+        box: list = []
+        machine, cursor = None, 0
+
+        def feed(x):
+            nonlocal machine, cursor
+            if machine is None:
+                def events():
+                    while True:
+                        yield box.pop()
+
+                machine = simulate.admission(events(), x["topology"])
+            cursor += 2 if x["event_id"] % 13 == 0 and x["topology"] != "strong" else 0
+            box.append((cursor, x["state"], x["is_full"]))
+            out = next(machine)
+            cursor = max(cursor, out["cursor"])
+            first, last = out["gap"] or (-1, -1)
+            return [(x["topic_id"], x["topology"], x["event_id"], out["outcome"], out["reason"], out["cursor"], first, last)]
+
+        return feed
+
+    return machines(r, ["topic_id", "topology"], "event_id", start, "topic_id long, topology string, event_id long, outcome string, reason string, cursor long, gap_first long, gap_last long")
+
+
+@query()
+def capacity_reservations(spark, d):
+    """A sequence of reservations, commits and releases on every node."""
+    o = v.table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("node_id"), F.col("o_orderkey").alias("request_id"))
+    o = o.select("*", F.explode(F.array(F.struct((F.col("request_id") * 10).alias("at"), F.lit("reserve").alias("kind")), F.struct((F.col("request_id") * 10 + 1501).alias("at"), F.lit("settle").alias("kind")), F.struct((F.col("request_id") * 10 + 90_002).alias("at"), F.lit("release").alias("kind")))).alias("s")).select("node_id", "request_id", "s.*")
+
+    def start():
+        box: list = []
+
+        def events():
+            while True:
+                yield box.pop()
+
+        order = capacity.DIMENSIONS
+        machine = simulate.reservations(events(), dict.fromkeys(order, 1000), dict.fromkeys(order, 100), order)
+
+        def feed(x):
+            n, kind = x["request_id"], x["kind"]
+            kind = ("reserve_control" if n % 4 == 0 else "reserve_data") if kind == "reserve" else ("rollback" if n % 5 == 0 else "commit") if kind == "settle" else kind
+            box.append((kind, n, {order[n % len(order)]: n % 400, order[n % 3]: n % 90}))
+            request, outcome, dimension = next(machine)
+            return [(x["node_id"], x["at"], request, kind, outcome, dimension or "")]
+
+        return feed
+
+    return machines(o, ["node_id"], "at", start, "node_id long, at long, request_id long, kind string, outcome string, dimension string")
+
+
+@query()
+def rotation_by_size_and_time(spark, d):
+    """The segment of every record when bytes, records and time all close one."""
+    r = v.record(spark, d).select("topic_id", "partition_id", "event_id", "payload_size", "ingestion_ts_ns")
+
+    def start():
+        box: list = []
+
+        def records():
+            while True:
+                yield box.pop()
+
+        machine = simulate.rotation(records(), 2000, 100, 3_600_000_000_000)
+
+        def feed(x):
+            box.append((x["payload_size"], x["ingestion_ts_ns"]))
+            segment, place = next(machine)
+            return [(x["topic_id"], x["partition_id"], x["event_id"], segment, place)]
+
+        return feed
+
+    return machines(r, ["topic_id", "partition_id"], "event_id", start, "topic_id long, partition_id long, event_id long, segment long, place long")
+
+
+@query()
+def schema_negotiation(spark, d):
+    """What becomes of the frames of every connection while schemas are announced late."""
+    r = v.record(spark, d).select("node_id", "event_id", "payload_size", (F.col("event_id") % 23).alias("ref"), (F.col("event_id") % 17 == 0).alias("announces"))
+
+    def start():
+        n = simulate.Negotiator(max_frames=200, max_bytes=1 << 20, per_second=4)
+
+        def feed(x):
+            out = n.announce(x["ref"]) if x["announces"] else n.frame(x["event_id"], x["ref"], x["payload_size"], x["event_id"] // 50)
+            return [(x["node_id"], item, outcome) for item, outcome in out]
+
+        return feed
+
+    return machines(r, ["node_id"], "event_id", start, "node_id long, event_id long, outcome string")
+
+
+@query()
+def bridge_pump(spark, d):
+    """What a bridge does with every arrival: publishes and acknowledges, acknowledges again, or refuses."""
+    found = receiver_dedup(spark, d)
+    action = F.when(F.col("decision") == "accept", "publish_ack").when(F.col("decision") == "duplicate", "ack").otherwise("nack")
+    return found.select("node_id", "arrival", action.alias("action"), "highest")
+
+
+@query()
+def writer_pump(spark, d):
+    """Rows that a writer appends, in one pass over the arrivals of each partition, as a stream would see them."""
+    a = v.arrival(v.record(spark, d)).select("topic_id", "partition_id", "node_id", "publisher_id", "publisher_epoch", "source_sequence", "arrival")
+
+    def start():
+        last: dict = {}
+        place = 0
+
+        def feed(x):
+            nonlocal place
+            source = (x["node_id"], x["publisher_id"], x["publisher_epoch"])
+            seen = last.get(source)
+            if seen is not None and x["source_sequence"] <= seen:
+                return []
+            out = []
+            if seen is not None and x["source_sequence"] > seen + 1:
+                place += 1
+                out.append((x["topic_id"], x["partition_id"], x["publisher_id"], place, seen + 1, x["source_sequence"] - 1, True))
+            place += 1
+            last[source] = x["source_sequence"]
+            return [*out, (x["topic_id"], x["partition_id"], x["publisher_id"], place, x["source_sequence"], x["source_sequence"], False)]
+
+        return feed
+
+    return machines(a, ["topic_id", "partition_id"], "arrival", start, "topic_id long, partition_id long, publisher_id long, assigned_sequence long, first_sequence long, last_sequence long, gap boolean")
+
+
+
+
+@query()
+def receiver_stats(spark, d):
+    """Decisions of every receiver, counted."""
+    return receiver_dedup(spark, d).groupBy("node_id", "decision").agg(F.count("*").alias("n"), F.max("highest").alias("highest"))
+
+
+@query()
+def recording_admission_metrics(spark, d):
+    """Outcomes by topology, with the gaps and records that they owe."""
+    a = recording_admission(spark, d)
+    return a.groupBy("topology", "outcome", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("gap_first") >= 0).alias("gaps"), F.sum(F.when(F.col("gap_first") >= 0, F.col("gap_last") - F.col("gap_first")).otherwise(0)).alias("owed"))
+
+
+@query()
+def export_pipeline(spark, d):
+    """A bounded exporter for each topic that drops what doesn't fit; every fourth event drains one."""
+    e = v.record(spark, d).select("topic_id", "event_id", F.when(F.col("event_id") % 4 == 0, "dequeue").otherwise("enqueue").alias("kind"))
+
+    def start():
+        box: list = []
+
+        def events():
+            while True:
+                yield box.pop()
+
+        machine = simulate.bounded_queue(events(), 8, "drop_newest")
+
+        def feed(r):
+            box.append((r["kind"], r["event_id"]))
+            item, outcome, _ = next(machine)
+            return [(r["topic_id"], item, outcome)]
+
+        return feed
+
+    return machines(e, ["topic_id"], "event_id", start, "topic_id long, event_id long, outcome string")
+
+
+@query()
+def receipt_admission(spark, d):
+    """Receipts that a table takes under a limit for each publisher, while older ones complete."""
+    r = v.record(spark, d).select("node_id", "publisher_id", "event_id")
+
+    def start():
+        open_: dict[int, list] = {}
+
+        def feed(x):
+            own = open_.setdefault(x["publisher_id"], [])
+            while own and own[0] + 400 <= x["event_id"]:
+                own.pop(0)
+            total = sum(map(len, open_.values()))
+            outcome = "rejected_table" if total >= 64 else "rejected_publisher" if len(own) >= 5 else "admitted"
+            if outcome == "admitted":
+                own.append(x["event_id"])
+            return [(x["node_id"], x["publisher_id"], x["event_id"], outcome)]
+
+        return feed
+
+    return machines(r, ["node_id"], "event_id", start, "node_id long, publisher_id long, event_id long, outcome string")
