@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answered, asked, blocked, bucket_count, bucket_of, with_answers
+from .blocks import answered, asked, blocked, bucket_count, bucket_of, of_step, with_answers
 from .common import batch_of, column
 from .decontaminate import words
 
@@ -161,7 +161,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     def known(row: dict, orders: int) -> Grams:
         grams = Grams(row["data"])
         for n in range(1, orders + 1):
-            grams.learn(row[f"g{n}"], buckets, 1 if n == 1 else min_count)
+            grams.learn(of_step(row, n - 1), buckets, 1 if n == 1 else min_count)
             if n == 1:
                 grams.open &= (grams.found[0] >= min_count) & (np.concatenate((np.zeros(1, np.int64), grams.found[0][:-1]))[: len(grams.open)] >= min_count)
         return grams
@@ -177,10 +177,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
 
         return question
 
-    told = blocks
+    answers: list[DataFrame] = []
     for n in range(1, order + 1):
         least = 1 if n == 1 else min_count
-        told = with_answers(told, answered(asked(told, ask(n)), lambda p, least=least: counted(p, least), f"grams{n}"), f"g{n}", ANSWER_BYTES)
+        answers.append(answered(asked(with_answers(blocks, answers, ANSWER_BYTES), ask(n)), lambda p, least=least: counted(p, least), f"grams{n}"))
+    told = with_answers(blocks, answers, ANSWER_BYTES)
     total = _total(blocks)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

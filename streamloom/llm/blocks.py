@@ -10,6 +10,7 @@ than a bucket or a block, whose number grows with the corpus.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, batch_of, bounded, column, release, saved, strings
+from .common import BROADCAST_BYTES, batch_of, bounded, column, release, saved, small_batches, strings
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -54,7 +55,7 @@ def blocked(docs: DataFrame, key: str, text: str, encode: Callable[[list[bytes]]
         if keys:
             yield made()
 
-    return saved(rows.mapInArrow(gathered, f"block long, keys array<{kind}>, lengths array<bigint>, data binary"), "blocks")
+    return saved(small_batches(rows).mapInArrow(gathered, f"block long, keys array<{kind}>, lengths array<bigint>, data binary"), "blocks")
 
 
 def bucket_count(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -85,11 +86,11 @@ def asked(blocks: DataFrame, ask: Callable[[dict], Iterator[tuple[int, bytes]]])
                 if found:
                     yield batch_of({"bucket": ([b for b, _ in found], pa.int32()), "block": ([row["block"]] * len(found), pa.int64()), "payload": ([x for _, x in found], pa.binary())})
 
-    return blocks.mapInArrow(sent, "bucket int, block long, payload binary")
+    return small_batches(blocks).mapInArrow(sent, "bucket int, block long, payload binary")
 
 
 def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes | None]], name: str) -> DataFrame:
-    """block, answers: for each block the (bucket, payload) that the buckets answered. answer: a bucket's payloads in, one each out (None: nothing)."""
+    """block, bucket, payload: what the buckets answered, written. answer: a bucket's payloads in, one each out (None: nothing)."""
 
     def reduced(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
@@ -100,10 +101,22 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes |
     found = saved(questions.groupBy("bucket").applyInArrow(reduced, "block long, bucket int, payload binary"), name)
     del questions  # the last reference to its shuffle
     release(found.sparkSession)
-    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
+    return found
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, name: str, most: int = BROADCAST_BYTES) -> DataFrame:
-    """blocks with the column name (null where nothing was answered): broadcast if what was answered takes at most `most` bytes, else shuffled by block."""
+def with_answers(blocks: DataFrame, answers: list[DataFrame], most: int = BROADCAST_BYTES) -> DataFrame:
+    """blocks with the column answers: (step, bucket, payload) of every answer so far, null where nothing was answered.
+
+    One join, whatever the number of steps: broadcast if the answers take at most `most` bytes, else shuffled by block.
+    """
+    every = [found.select("block", F.struct(F.lit(i).alias("step"), "bucket", "payload").alias("a")) for i, found in enumerate(answers)]
+    if not every:
+        return blocks.withColumn("answers", F.lit(None).cast("array<struct<step:int,bucket:int,payload:binary>>"))
+    met = reduce(DataFrame.union, every).groupBy("block").agg(F.collect_list("a").alias("answers"))
     size = F.aggregate("answers", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["payload"]) + 16)
-    return blocks.join(bounded(answers, size, most), "block", "left").withColumnRenamed("answers", name)
+    return blocks.join(bounded(met, size, most), "block", "left")
+
+
+def of_step(row: dict, step: int) -> list[dict]:
+    """A row's answers of one step."""
+    return [a for a in row["answers"] or () if a["step"] == step]

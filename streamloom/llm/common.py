@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -21,6 +22,19 @@ def ascii_lower(data: bytes) -> bytes:
     return data.translate(_A_TO_Z)
 
 
+#: What an Arrow batch to or from a Python worker holds at most, whichever comes first.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded by bytes: whole texts are long, and every task holds some batches outside the heap."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,6 +79,13 @@ def batch_of(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect its garbage.
+
+    References that Python has dropped reach the JVM through a thread that wakes once a second.
+    A local session, as in tests, is left alone.
+    """
+    if spark.sparkContext.master.startswith("local["):
+        return
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()

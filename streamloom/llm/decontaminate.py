@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column, strings
+from .common import batch_of, column, small_batches, strings
 
 WINDOW = 13
 #: Bytes of text in a shard; a longer document is a shard of its own.
@@ -200,7 +200,7 @@ def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
             made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    return df.mapInArrow(searched, df.schema)
+    return small_batches(df).mapInArrow(searched, df.schema)
 
 
 def merged(flat: list[int]) -> list[tuple[int, int]]:

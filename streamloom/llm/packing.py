@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, column, saved
+from .common import batch_of, column, saved, small_batches
 
 CAPACITY, END_ID = 2048, 0
 #: Rows of one length that are ranked together.
@@ -92,7 +92,7 @@ def tokenised(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             yield batch_of(columns | ({"ids": (out["ids"], pa.list_(pa.int32()))} if with_ids else {}))
 
     schema = f"k {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(pieces, schema).withColumnRenamed("k", key)
+    return small_batches(rows).mapInArrow(pieces, schema).withColumnRenamed("k", key)
 
 
 # the program over the histogram -------------------------------------------------------------

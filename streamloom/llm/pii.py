@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded, column, saved
+from .common import batch_of, bounded, column, saved, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct good instances that a pattern needs, its least confidence, an instance's least score, rounds.
@@ -154,7 +154,7 @@ def searched(docs: DataFrame, key: str, text: str) -> DataFrame:
                 mentions.append([{"kind": k, "start": a, "end": b, "seed": seed, "instance": t[a:b].lower()[:200], "patterns": patterns(t, a, b)} for seed, spans in ((True, base), (False, wide)) for k, a, b in spans])
             yield batch_of({"k": (column(batch, "k"), None), "hash": (column(batch, "hash"), None), "base": (bases, pa.list_(span)), "mentions": (mentions, pa.list_(mention))})
 
-    return rows.mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, hash long, base array<{_SPAN}>, mentions array<{_MENTION}>")
+    return small_batches(rows).mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, hash long, base array<{_SPAN}>, mentions array<{_MENTION}>")
 
 
 def bootstrap(mentions: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

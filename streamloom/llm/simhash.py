@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batch_of, bounded, column, saved, strings
+from .common import ascii_lower, batch_of, bounded, column, saved, small_batches, strings
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of a cell that are compared as they are.
@@ -63,7 +63,7 @@ def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", size
             found = np.array([fingerprint(x, size) for x in strings(column(batch, "text"))], np.uint64).view(np.int64)
             yield batch_of({"k": (column(batch, "k"), None), "fp": (found, pa.int64())})
 
-    return rows.mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, fp long")
+    return small_batches(rows).mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, fp long")
 
 
 def popcounts(fp: Column) -> Column:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import answered, asked, blocked, bucket_count, bucket_of, split, with_answers
+from .blocks import answered, asked, blocked, bucket_count, bucket_of, of_step, split, with_answers
 from .common import batch_of, column
 
 SPAN, GRAM, GROUP = 200, 50, 64
@@ -253,9 +253,9 @@ def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     def codes_of(row: dict, x: Anchors) -> np.ndarray:
         """The codes of step 1, by anchor."""
         code = np.zeros(len(x.place), np.uint8)
-        if row["first"]:
+        if first := of_step(row, 0):
             by = dict(split(bucket_of(x.gram_hash, buckets), buckets))
-            for a in row["first"]:
+            for a in first:
                 hit, codes = _unpack(a["payload"], np.uint32, np.uint8)
                 code[by[a["bucket"]][hit]] = codes
         return code
@@ -267,7 +267,7 @@ def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
         return by, np.flatnonzero(code >= WINDOWS)
 
     def ask_again(row: dict) -> Iterator[tuple[int, bytes]]:
-        if not row["first"]:
+        if not of_step(row, 0):
             return
         data, _, x = anchors_of(row)
         by, alone = parted(codes_of(row, x), x)
@@ -290,14 +290,14 @@ def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
                 data = np.frombuffer(row["data"], np.uint8)
                 ends = np.cumsum(np.array(row["lengths"], np.int64))
                 change = np.zeros(len(data) + 1, np.int64)
-                if row["first"]:
+                if of_step(row, 0):
                     x = Anchors(data, ends, span, gram)
                     code = codes_of(row, x)
                     whole = np.flatnonzero((code == COVERED) | (code == COVERED_COMPARE) | (code == COVERED_WINDOWS))
                     np.add.at(change, x.first[whole], 1)
                     np.add.at(change, x.last[whole] + span, -1)
                     by, _ = parted(code, x)
-                    for a in row["second"] or ():
+                    for a in of_step(row, 1):
                         places, begin, end, ordinal, step = _unpack(a["payload"], np.uint32, np.int32, np.int32, np.uint32, np.uint16)
                         if len(places):
                             at = x.first[by[a["bucket"]][places]]
@@ -318,7 +318,7 @@ def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
                 n, removed, spans, sha, runs = out
                 yield batch_of({"k": (column(batch, "keys")[i].values, None), "n_bytes": (n, pa.int64()), "n_removed": (removed, pa.int64()), "n_spans": (spans, pa.int64()), "kept_sha256": (sha, pa.string()), "removed": (runs, pa.list_(pa.int64()))})
 
-    first = with_answers(blocks, answered(asked(blocks, ask), lambda p: classify(p, group), "anchors"), "first")
-    second = answered(asked(first, ask_again), lambda p: compare(p, span), "spans")
-    out = with_answers(first, second, "second").mapInArrow(finish, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<bigint>")
+    first = answered(asked(blocks, ask), lambda p: classify(p, group), "anchors")
+    second = answered(asked(with_answers(blocks, [first]), ask_again), lambda p: compare(p, span), "spans")
+    out = with_answers(blocks, [first, second]).mapInArrow(finish, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<bigint>")
     return out.withColumnRenamed("k", key)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -111,7 +111,7 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES,
             values = [score(h, p, w, b) for h, p in zip(column(batch, "host").to_pylist(), column(batch, "path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "block_score"])
 
-    out = seen.mapInArrow(scored, T.StructType([*seen.schema.fields, T.StructField("block_score", T.DoubleType())]))
+    out = small_batches(seen).mapInArrow(scored, T.StructType([*seen.schema.fields, T.StructField("block_score", T.DoubleType())]))
     ruled = _longest(F.col("host"), F.col("path"), rules, rule_name)
     verdict = F.coalesce(_longest(F.col("host"), F.col("path"), rules, lambda r: r[0]), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return out.select(F.col("k").cast(kind).alias(key), "host", "path", ruled.alias("rule"), verdict.alias("verdict"), "block_score")
