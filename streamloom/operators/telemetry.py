@@ -83,8 +83,8 @@ def slow_enough(mode: str, threshold: int, duration: Column, slow: Column) -> Co
 def rate_limited(events: DataFrame, second: str, order: str, limit: int) -> DataFrame:
     """The first `limit` events of every run of equal seconds, by order; 0 is no limit.
 
-    A change of second, back in time too, begins a new run. A run is told by the row at which it began:
-    the last row so far whose second isn't its predecessor's. Rows meet their predecessor in chunks of the order,
+    A change of second, back in time too, begins a new run. A row's place in its run is its place in all less
+    that of the last row so far whose second isn't its predecessor's. Rows meet their predecessor in chunks of the order,
     and the last row of a chunk is handed to the next.
     """
     if limit == 0:
@@ -95,10 +95,10 @@ def rate_limited(events: DataFrame, second: str, order: str, limit: int) -> Data
     last = last.select("_chunk", F.lag("_final").over(Window.partitionBy("_all").orderBy("_chunk")).alias("_before"))
     linked = one.withColumn("_prev", F.lag(second).over(within)).join(last, "_chunk")
     begins = F.coalesce(F.coalesce("_prev", "_before") != F.col(second), F.lit(True))
-    linked = linked.withColumn("_begin", F.when(begins, F.col(order))).drop("_chunk", "_prev", "_before")
-    runs = running(linked, ["_all"], order, {"_run": ("max", F.col("_begin"), True)})
-    nth = F.row_number().over(Window.partitionBy("_run").orderBy(order))
-    return runs.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_all", "_begin", "_run", "_nth")
+    placed = running(linked.withColumn("_new", begins).drop("_chunk", "_prev", "_before"), ["_all"], order, {"_place": ("sum", F.lit(1).cast("bigint"), True)})
+    placed = placed.withColumn("_begin", F.when(F.col("_new"), F.col("_place")))
+    runs = running(placed, ["_all"], order, {"_first": ("max", F.col("_begin"), True)})
+    return runs.where(F.col("_place") - F.col("_first") < limit).select(*events.columns)
 
 
 def prometheus_lines(buckets: DataFrame, name: str) -> DataFrame:

@@ -12,13 +12,15 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def arrivals(spark, tmp_path_factory):
-    """Arrivals in three files, in order."""
+    """Arrivals in two files, in order."""
     spark.conf.set(*p.STATE_STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     folder = tmp_path_factory.mktemp("arrivals")
     a = views.arrival(views.record(spark, SF)).withColumn("ts", F.timestamp_micros(F.expr("ingestion_ts_ns div 1000"))).withColumn("payload", F.col("props").cast("binary"))
-    for i in range(3):
-        a.where(F.expr("arrival div 700") == i).coalesce(1).write.mode("append").parquet(str(folder))
-    return str(folder)
+    for i in range(2):
+        a.where(F.expr("arrival div 1000") == F.lit(i) if i == 0 else F.expr("arrival div 1000") >= i).coalesce(1).write.mode("append").parquet(str(folder))
+    yield str(folder)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def streamed(spark, arrivals):
