@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, column
+from .common import batch_of, column, small_batches
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 100_000
 #: Features kept, and documents of the sample that a feature must be in.
@@ -63,7 +63,7 @@ class Model:
         found = self.memo.get(word)
         if found is None:
             found = sum(self.weights.get(f, 0.0) for f in features(word))
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             self.memo[word] = found
         return found
@@ -83,32 +83,38 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, rounds:
     y = np.array(labels, float)
     if not y.any() or y.all():
         return Model({}, -np.inf)
-    bags = [sentences(t) for t in texts]
-    known: dict[str, list[int]] = {}
-    for d, bag in enumerate(bags):
-        for f in {f for w in {w for _, _, words in bag for w in words} for f in features(w)}:
-            known.setdefault(f, []).append(d)
     n_toxic, n = y.sum(), len(y)
-    odds = {}
-    for f, of in known.items():
-        if len(of) >= LEAST_DOCS:
-            a = y[of].sum()
-            odds[f] = (a - len(of) * n_toxic / n) ** 2 / (len(of) * (1 - len(of) / (n + 1)))
-    kept = sorted(sorted(odds, key=lambda f: (-odds[f], f))[:FEATURES])
+    docs_with: dict[str, int] = {}
+    toxic_with: dict[str, int] = {}
+    for text, label in zip(texts, labels, strict=True):
+        for f in {f for w in set(_WORD.findall(text.lower())) for f in features(w)}:
+            docs_with[f] = docs_with.get(f, 0) + 1
+            if label:
+                toxic_with[f] = toxic_with.get(f, 0) + 1
+    chi = {f: (toxic_with.get(f, 0) - k * n_toxic / n) ** 2 / (k * (1 - k / (n + 1))) for f, k in docs_with.items() if k >= LEAST_DOCS}
+    del docs_with, toxic_with
+    kept = sorted(sorted(chi, key=lambda f: (-chi[f], f))[:FEATURES])
     place = {f: i for i, f in enumerate(kept)}
+    del chi
     memo: dict[str, list[int]] = {}
-    column_, row, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for _, _, words in bag:
-            s = len(doc)
-            doc.append(d)
+    columns, lengths, doc = [], [], []
+    for d, text in enumerate(texts):
+        own: list[int] = []
+        for _, _, words in sentences(text):
+            before = len(own)
             for w in words:
                 found = memo.get(w)
                 if found is None:
                     found = memo[w] = [place[f] for f in features(w) if f in place]
-                column_ += found
-                row += [s] * len(found)
-    column_, row, doc = (np.array(x, np.int64) for x in (column_, row, doc))
+                own += found
+            lengths.append(len(own) - before)
+            doc.append(d)
+        columns.append(np.array(own, np.int32))
+        if len(memo) > 100_000:
+            memo.clear()
+    column_, doc = np.concatenate(columns), np.array(doc, np.int32)
+    row = np.repeat(np.arange(len(doc), dtype=np.int32), lengths)
+    del memo, columns, lengths
     weight = np.where(y > 0, 1.0, clean_weight)
     weight /= weight.sum()
     theta = np.zeros(len(kept) + 1)
@@ -166,7 +172,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield batch_of({"k": (column(batch, "k"), None), "score": (out[0], pa.float64()), "predicted": ([int(s >= 0.5) for s in out[0]], pa.int32()), "n_sentences": (out[1], pa.int64()), "offending": (out[2], spans)})
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(scored, f"k {kind}, score double, predicted int, n_sentences long, offending array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("k", key)
+    return small_batches(rows).mapInArrow(scored, f"k {kind}, score double, predicted int, n_sentences long, offending array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("k", key)
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.5) -> DataFrame:
@@ -181,5 +187,5 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", reject: flo
             keep = [noisy_or(model.logits(sentences(t.as_py() or ""))) < reject for t in column(batch, "text")]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    out = df.mapInArrow(kept, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]))
+    out = small_batches(df).mapInArrow(kept, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]))
     return out.toDF(*docs.columns)
