@@ -104,7 +104,7 @@ class Anchors:
         self.place = anchor[edge]
         self.first = window[edge]
         self.last = window[np.concatenate((edge[1:], [len(window)])) - 1]
-        self.gram_hash = grams[self.place]
+        self.gram_hash = _mixed(grams[self.place] ^ _M)  # the least hashes are all small: mixed again, they spread over the buckets
         shape = (self.place - self.first).astype(np.uint64) * np.uint64(1 << 32) + (self.last - self.first).astype(np.uint64)
         self.span_hash = _mixed(self.hashes.of(self.first, self.last + span) + shape * _M)
 
