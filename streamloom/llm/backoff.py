@@ -2,8 +2,8 @@
 
 Counts of n-grams live in hash partitions. Blocks of the corpus explode their n-grams, ask
 the partitions for the corpus counts of the distinct ones, and sum the scores of their
-documents. An n-gram is asked for only where both its parts of one word less were counted,
-which loses none: an n-gram that occurs MIN_COUNT times has parts that do.
+documents. From three words on, an n-gram is asked for only where both its parts of one word less
+were counted, which loses none: an n-gram that occurs MIN_COUNT times has parts that do.
 
 A word scores count(n-gram) / count(its first n-1 words) for the longest n-gram, of at most
 ORDER words and within its document, that occurs MIN_COUNT times, else BACKOFF times as
@@ -88,6 +88,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """The value one word earlier; zero for the first."""
+    return np.concatenate((x[:0], np.zeros(1, x.dtype), x[:-1]))[: len(x)]
+
+
 class Grams:
     """The n-grams of a block, order by order: hashes by last word, and which of them were or are to be counted."""
 
@@ -106,24 +111,29 @@ class Grams:
         """The order's open n-grams: distinct hashes (ascending), the place of each open one among them, and local counts."""
         return np.unique(self.hash[self.open], return_inverse=True, return_counts=True)
 
-    def learn(self, answers: list[dict] | None, buckets: int, least: int) -> None:
-        """Takes the order's counts (0 for less than `least`) and goes on to the next order."""
+    def learn(self, answers: list[dict], buckets: int, least: int) -> None:
+        """Takes the order's counts (0 for less than `least`) and goes on to n-grams both of whose parts have them."""
         distinct, back, _ = self.distinct()
         counts = np.zeros(len(distinct), np.int64)
         edges = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
-        for a in answers or ():
+        for a in answers:
             mask, values = _unparts(a["payload"])
             lo, hi = edges[a["bucket"]], edges[a["bucket"] + 1]
             own = counts[lo:hi]
-            own[np.unpackbits(np.frombuffer(_whole(mask, np.uint8), np.uint8), count=hi - lo).astype(bool)] = _whole(values, np.uint32)
+            own[np.unpackbits(_whole(mask, np.uint8), count=hi - lo).astype(bool)] = _whole(values, np.uint32)
         full = np.zeros(len(self.word), np.int64)
         full[self.open] = counts[back]
-        self.found.append(full)
+        self.go_on()
+        self.found[-1] = full
+        if self.order > 2:
+            self.open &= (full >= least) & (_before(full) >= least)
+
+    def go_on(self) -> None:
+        """To the next order, whatever the counts of this one: every n-gram within its document."""
+        self.found.append(np.zeros(0, np.int64))
         self.order += 1
-        before = np.concatenate((np.zeros(1, np.uint64), self.hash[:-1]))[: len(self.hash)]
-        context = np.concatenate((np.zeros(1, np.int64), full[:-1]))[: len(full)]
-        self.hash = _mixed(before * _A + self.word + np.uint64(self.order))
-        self.open = (self.place >= self.order - 1) & (full >= least) & (context >= least)
+        self.hash = _mixed(_before(self.hash) * _A + self.word + np.uint64(self.order))
+        self.open = self.place >= self.order - 1
 
     def scores(self, total: int, backoff: float) -> np.ndarray:
         """Millionths of log10 of every word's score."""
@@ -133,8 +143,7 @@ class Grams:
             used = np.ones(len(out), np.int64)
             for n in range(2, len(self.found) + 1):
                 hit = self.found[n - 1] > 0
-                context = np.concatenate((np.zeros(1, np.int64), self.found[n - 2][:-1]))[: len(hit)]
-                out = np.where(hit, np.log10(self.found[n - 1]) - np.log10(context), out)
+                out = np.where(hit, np.log10(self.found[n - 1]) - np.log10(_before(self.found[n - 2])), out)
                 used[hit] = n
         return np.rint((out + (longest - used) * np.log10(backoff)) * 1e6).astype(np.int64)
 
@@ -159,11 +168,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     buckets = bucket_count(blocks)
 
     def known(row: dict, orders: int) -> Grams:
+        """Past the orders whose answers the row has; the first is passed over where its answers aren't needed."""
         grams = Grams(row["data"])
         for n in range(1, orders + 1):
-            grams.learn(of_step(row, n - 1), buckets, 1 if n == 1 else min_count)
-            if n == 1:
-                grams.open &= (grams.found[0] >= min_count) & (np.concatenate((np.zeros(1, np.int64), grams.found[0][:-1]))[: len(grams.open)] >= min_count)
+            found = of_step(row, n - 1)
+            if n == 1 and not found:
+                grams.go_on()
+            else:
+                grams.learn(found, buckets, 1 if n == 1 else min_count)
         return grams
 
     def ask(n: int):
@@ -180,7 +192,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     answers: list[DataFrame] = []
     for n in range(1, order + 1):
         least = 1 if n == 1 else min_count
-        answers.append(answered(asked(with_answers(blocks, answers, ANSWER_BYTES), ask(n)), lambda p, least=least: counted(p, least), f"grams{n}"))
+        # single words and pairs are asked for without any answer; from there on, where both parts were counted
+        answers.append(answered(asked(with_answers(blocks, [None, *answers[1:]] if n > 2 else [], ANSWER_BYTES), ask(n)), lambda p, least=least: counted(p, least), f"grams{n}"))
     told = with_answers(blocks, answers, ANSWER_BYTES)
     total = _total(blocks)
 

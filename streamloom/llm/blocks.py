@@ -104,12 +104,12 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes |
     return found
 
 
-def with_answers(blocks: DataFrame, answers: list[DataFrame], most: int = BROADCAST_BYTES) -> DataFrame:
-    """blocks with the column answers: (step, bucket, payload) of every answer so far, null where nothing was answered.
+def with_answers(blocks: DataFrame, answers: list[DataFrame | None], most: int = BROADCAST_BYTES) -> DataFrame:
+    """blocks with the column answers: (step, bucket, payload) of the answers of each step (None: not needed), null where nothing was answered.
 
     One join, whatever the number of steps: broadcast if the answers take at most `most` bytes, else shuffled by block.
     """
-    every = [found.select("block", F.struct(F.lit(i).alias("step"), "bucket", "payload").alias("a")) for i, found in enumerate(answers)]
+    every = [found.select("block", F.struct(F.lit(i).alias("step"), "bucket", "payload").alias("a")) for i, found in enumerate(answers) if found is not None]
     if not every:
         return blocks.withColumn("answers", F.lit(None).cast("array<struct<step:int,bucket:int,payload:binary>>"))
     met = reduce(DataFrame.union, every).groupBy("block").agg(F.collect_list("a").alias("answers"))

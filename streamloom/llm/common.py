@@ -86,6 +86,7 @@ def release(spark: SparkSession) -> None:
     """
     if spark.sparkContext.master.startswith("local["):
         return
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold more
+        gc.collect()
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()
