@@ -301,12 +301,12 @@ def segment_lifecycle_breaks(spark, d):
 
 DISK = f"""{v.FILES},
 disk AS (SELECT 't' || topic_id || '/p' || partition_id || '/' || segment_id AS path, * FROM segment_file),
-tracked AS (SELECT * FROM disk WHERE segment_id % 7 <> 3)"""
+tracked AS (SELECT * FROM disk WHERE (topic_id + segment_id) % 7 <> 3)"""
 
 
 def _disk(spark, d) -> tuple[DataFrame, DataFrame]:
     disk = v.segment_file(v.record(spark, d)).withColumn("path", F.concat(F.lit("t"), F.col("topic_id"), F.lit("/p"), F.col("partition_id"), F.lit("/"), F.col("segment_id")))
-    return disk, disk.where("segment_id % 7 <> 3")
+    return disk, disk.where("(topic_id + segment_id) % 7 <> 3")
 
 
 @query(f"{DISK}\nSELECT path, size_bytes FROM disk WHERE path NOT IN (SELECT path FROM tracked)")

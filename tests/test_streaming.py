@@ -1,5 +1,7 @@
 """Streams give what the batch operators give, across restarts."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,7 +55,13 @@ def test_receiver(spark, arrivals, tmp_path):
 
 def test_retransmission(spark, arrivals, tmp_path):
     s = streamed(spark, arrivals).select(*p.SOURCE, "arrival", F.when(F.col("arrival") % 6 == 0, "accepted").otherwise("frame").alias("kind"), F.when(F.col("arrival") % 6 == 0, F.col("source_sequence") - 1).otherwise(F.col("source_sequence")).alias("sequence"), F.when(F.col("arrival") % 12 == 0, F.col("source_sequence") - 2).alias("highest"))
-    out = run(p.outstanding_stream(s), tmp_path).groupBy("event").count().collect()
+    # its timers keep the query alive, so it is stopped once it has seen every row
+    q = p.outstanding_stream(s).writeStream.option("checkpointLocation", f"{tmp_path}/ck").format("parquet").start(f"{tmp_path}/out")
+    total, end = spark.read.parquet(arrivals).count(), time.time() + 90
+    while sum(x["numInputRows"] for x in q.recentProgress) < total and time.time() < end and q.isActive:
+        time.sleep(0.3)
+    q.stop()
+    out = spark.read.parquet(f"{tmp_path}/out").groupBy("event").count().collect()
     n = {r.event: r["count"] for r in out}
     assert 0 < n["acknowledged"] < n["outstanding"]
 
