@@ -1,0 +1,198 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, without loss.
+
+A text's shingles are sets of 64-bit hashes; texts with equal sets are one node. In any one
+order of all shingles, two sets of similarity 4/5 or more share one of their first n // 5 + 1
+shingles (n in the set): those are a node's tokens, and nodes that share none aren't compared.
+The order is by hash, but shingles that are the token of more than HOT rows come last, so that
+common lines are tokens only of texts that hold little else. Which do changes the work, not
+the result.
+
+Nodes that share a token are first compared with the least of them, and components are formed
+of what is similar; then all of them that are still in different components are compared, so
+a large group of copies costs rows by its size, not by its square. A comparison is by size, by
+the parities of 1024 bins (sets that differ in d shingles differ in at most d parities), and
+then of the sets themselves.
+
+Null and wordless texts are equal to each other and to nothing else; a text of fewer words than
+a shingle is one shingle. Rows with a null key stay. Repeated keys count as one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import batch_of, bounded, column, release, saved, small_batches, strings
+from .simhash import components, kept, shingles
+
+SHINGLE, SEED = 5, 42
+#: Rows that may share a token before it comes last in the order, estimated from one row of PART, and how many such tokens the order knows at most.
+HOT, HOT_TOKENS, PART = 64, 200_000, 4
+BINS = 1024
+#: Sketches or sets of at most so many bytes are broadcast to the pairs.
+SIDE_BYTES = 16 << 20
+
+
+def shingle_set(data: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles, rising."""
+    parts = shingles(data, size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Of each bin, whether an odd number of the hashes falls in it."""
+    counts = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=BINS)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def tokens(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 of rising hashes, those in hot (rising) last."""
+    n = len(hashes) // 5 + 1
+    if not len(hot) or not len(hashes):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+    late = hot[at] == hashes
+    return np.concatenate([hashes[~late], hashes[late]])[:n]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sets' similarity is 4/5 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """k, node (a hash of the set), n (shingles in it), bins and set of every row."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x, size) for x in strings(column(batch, "text"))]
+            yield batch_of({
+                "k": (column(batch, "k"), None),
+                "node": (np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64), pa.int64()),
+                "n": ([len(x) for x in found], pa.int32()),
+                "bins": ([parities(x) for x in found], pa.binary()),
+                "set": ([x.tobytes() for x in found], pa.binary()),
+            })
+
+    return small_batches(rows).mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, node long, n int, bins binary, set binary")
+
+
+def _tokens(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """token, node and n, a row for each token of each row."""
+    held = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tokens(np.frombuffer(x, np.uint64), held.value) for x in column(batch, "set").to_pylist()]
+            times = np.array([len(x) for x in found], np.int64)
+            for at in range(0, len(found), 100):
+                part = slice(at, at + 100)
+                token = np.concatenate(found[part]).view(np.int64)
+                node = np.repeat(column(batch, "node").to_numpy(zero_copy_only=False)[part], times[part])
+                n = np.repeat(column(batch, "n").to_numpy(zero_copy_only=False)[part], times[part])
+                yield batch_of({"token": (token, pa.int64()), "node": (node, pa.int64()), "n": (n, pa.int32())})
+
+    return sets.select("node", "n", "set").mapInArrow(mapped, "token long, node long, n int")
+
+
+def _beside(pairs: DataFrame, nodes: DataFrame, values: list[str], size) -> DataFrame:
+    """pairs with the values of both nodes, as a_... and b_..."""
+    for side in ("a", "b"):
+        wanted = pairs.select(F.col(side).alias("node")).distinct()
+        found = nodes.select("node", *values).join(bounded(wanted, F.lit(16)), "node", "left_semi").groupBy("node").agg(*[F.first(x).alias(x) for x in values])
+        found = saved(found.select(F.col("node").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in values]), "beside")
+        pairs = pairs.join(bounded(found, size(side), SIDE_BYTES), side)
+    return pairs
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs a, b those that are similar."""
+
+    def by_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(column(batch, f"{s}_bins").to_pylist()), np.uint64).reshape(-1, BINS // 64) for s in "ab")
+            n = sum(column(batch, f"{s}_n").to_numpy(zero_copy_only=False).astype(np.int64) for s in "ab")
+            keep = 9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [column(batch, f"{s}_set").to_pylist() for s in "ab"]
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(*sides, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = _beside(pairs, sets, ["n", "bins"], lambda s: F.lit(BINS // 8 + 16)).select("a", "b", "a_n", "a_bins", "b_n", "b_bins")
+    near = saved(near.mapInArrow(by_bins, "a long, b long"), "near")
+    whole = _beside(near, sets, ["set"], lambda s: F.octet_length(f"{s}_set") + 16).select("a", "b", "a_set", "b_set")
+    found = saved(small_batches(whole).mapInArrow(by_sets, "a long, b long"), "similar")
+    del near, whole
+    release(sets.sparkSession)
+    return found
+
+
+def _apart(buckets: DataFrame) -> DataFrame:
+    """a, b: the pairs of each bucket (nodes, sizes, labels, a list each) in different components and of sizes that allow similarity."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [column(batch, x) for x in ("nodes", "sizes", "labels")]
+            for r in range(batch.num_rows):
+                node, n, label = (x[r].values.to_numpy(zero_copy_only=False) for x in lists)
+                node, at = np.unique(node, return_index=True)
+                n, label = n[at].astype(np.int64), label[at]
+                for i in range(len(node) - 1):
+                    rest = slice(i + 1, None)
+                    keep = (label[rest] != label[i]) & (5 * np.minimum(n[rest], n[i]) >= 4 * np.maximum(n[rest], n[i]))
+                    if keep.any():
+                        b = node[rest][keep]
+                        yield batch_of({"a": (np.full(len(b), node[i]), pa.int64()), "b": (b, pa.int64())})
+
+    return buckets.mapInArrow(mapped, "a long, b long").distinct()
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """a, b: similar nodes, enough of them to connect all that similarity connects."""
+    spark, some = sets.sparkSession, sets.where(F.pmod(F.xxhash64("k"), F.lit(PART)) == 0)
+    seen = _tokens(some, np.zeros(0, np.uint64)).groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") * PART > HOT)
+    hot = seen.orderBy(F.desc("times"), "token").limit(HOT_TOKENS).select("token").collect()
+    del seen
+    release(spark)
+    dealt = _tokens(sets, np.sort(np.array([r.token for r in hot], np.int64).view(np.uint64)))
+    shared = dealt.groupBy("token").agg(F.count("*").alias("times"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    shared = saved(shared, "shared")
+    release(spark)
+    members = saved(dealt.join(shared.where("times > 2").select("token", "a"), "token"), "members")
+    release(spark)
+    stars = saved(shared.where("times = 2").select("a", "b").union(members.where("node != a").select("a", F.col("node").alias("b"))).distinct(), "stars")
+    found = _confirmed(stars, sets)
+    known = saved(components(found).distinct(), "known")
+    label = F.coalesce("root", "node").alias("label")
+    sides = members.select("token", "node", "n").distinct().join(bounded(known, F.lit(32), SIDE_BYTES), "node", "left").select("token", "node", "n", label)
+    buckets = sides.groupBy("token").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("sizes"), F.collect_list("label").alias("labels"))
+    mixed = buckets.where(F.size("nodes") > 2).where(F.array_min("labels") < F.array_max("labels"))
+    rest = saved(_apart(mixed).join(stars, ["a", "b"], "left_anti"), "rest")
+    return found.union(_confirmed(rest, sets))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """key and component_id (the smallest key reachable) of every row of docs."""
+    sets = saved(_sets(docs, key, text, size), "sets")
+    nodes = saved(sets.groupBy("node").agg(F.min("k").alias("least")), "nodes")
+    roots = components(links(sets)).distinct()
+    of = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    of = saved(of, "roots")
+    label = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = saved(of.join(label, "root").select("node", "component_id"), "labels")
+    return sets.select("k", "node").join(bounded(known, F.lit(32)), "node").select(F.col("k").alias(key), "component_id")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component, as simhash.deduplicated keeps them."""
+    return kept(docs, near_duplicates(docs, key, text, size), key)

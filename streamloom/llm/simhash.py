@@ -209,18 +209,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the one with the smallest key.
+    """docs with one row of each component: the one with the smallest key."""
+    return kept(docs, near_duplicates(docs, key, text, size, radius), key)
+
+
+def kept(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is their component_id in found.
 
     Of rows that repeat that key one stays. Rows with a null key can't be named and all stay.
     The keys that stay are broadcast if they are few, else joined by key.
     """
-    found = saved(near_duplicates(docs, key, text, size, radius).select(F.col(key).alias("_stay"), "component_id"), "components")
+    found = saved(found.select(F.col(key).alias("_stay"), "component_id"), "components")
     stay = saved(found.where(F.col("_stay") == F.col("component_id")).groupBy("_stay").agg(F.count("*").alias("_times")), "stay")
     small = bounded(stay, F.octet_length(F.col("_stay").cast("string")) + 16)
-    kept = docs.join(small, docs[key] == small["_stay"])
-    once = kept.where("_times = 1").select(*[docs[c] for c in docs.columns])
+    rows = docs.join(small, docs[key] == small["_stay"])
+    once = rows.where("_times = 1").select(*[docs[c] for c in docs.columns])
     nameless = docs.where(docs[key].isNull())
     if stay.where("_times > 1").isEmpty():
         return once.union(nameless)
-    repeated = kept.where("_times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([key])
+    repeated = rows.where("_times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([key])
     return once.union(repeated).union(nameless)
