@@ -7,6 +7,8 @@ substring (pigeonhole), so probing every substring value that near, in every ind
 finds each code within r; its Hamming distance is then checked and its inner product
 taken in double precision on the original vectors. The radius is the one that holds
 TARGET of the sample's true neighbours at the table's density; no candidate is capped.
+A query with fewer than k rows within the radius, as in sparse regions, is searched again
+over all rows, so every query gets k rows, or all candidates if they are fewer.
 
 Every row is indexed where it lies; queries go to the indexes in blocks of bounded size.
 
@@ -18,6 +20,7 @@ id are candidates each, but never of a query with that id. An empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +116,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, target: float = TARGET, sample_rows: int = SAMPLE_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k largest inner products found.
 
-    The rows are scanned once for each block of queries; a task keeps k rows of a query, and those meet in
+    The rows are scanned once for each block of queries, and once more for those of its queries that came out short; a task keeps k rows of a query, and those meet in
     one shuffle by query. At most query_block queries (about) and sample_rows vectors are on the driver at once.
     """
     spark = df.sparkSession
@@ -131,38 +134,44 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     radius = learn_radius(sample, rotations, total, k, target)
     blocks = max(1, -(-n_queries // query_block))
 
-    def part(b: int) -> DataFrame:
+    def part(b: int) -> list[DataFrame]:
         asked = rows.where((F.col("k") % every == 0) & (F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)).collect()
         ids, queries = np.array([r.k for r in asked], np.int64), np.array([r.v for r in asked], float).reshape(-1, dimension)
-        held = spark.sparkContext.broadcast((ids, queries, codes(queries, rotations), rotations))
+        near = saved(search(ids, queries, np.arange(len(ids)), True), "near")
+        full = {r.place for r in near.groupBy("place").count().where(F.col("count") >= k).select("place").collect()}
+        short = np.array([q for q in range(len(ids)) if q not in full], np.int64)
+        if not len(short):
+            return [near]
+        again = saved(search(ids[short], queries[short], short, False), "near")
+        return [near.where(~F.col("place").isin(short.tolist())), again]
+
+    def search(ids: np.ndarray, queries: np.ndarray, places: np.ndarray, within: bool) -> DataFrame:
+        """The best k rows of each task for each query, within the radius or of all; place tells queries of the same id apart."""
+        held = spark.sparkContext.broadcast((ids, queries, places, codes(queries, rotations), rotations))
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, queries, asked, rotations = held.value
+            ids, queries, places, asked, rotations = held.value
             for batch in batches:
                 for at in range(0, batch.num_rows, INDEX_ROWS):
                     piece = batch.slice(at, INDEX_ROWS)
                     own = column(piece, "k").to_numpy(zero_copy_only=False)
                     vectors = column(piece, "v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-                    index = MultiIndex(codes(vectors, rotations), radius)
-                    out: list[list[np.ndarray]] = [[], [], []]
+                    index = MultiIndex(codes(vectors, rotations), radius) if within else None
+                    out: list[list[np.ndarray]] = [[], [], [], []]
                     for q in range(len(ids)):
-                        near = index.search(asked[q])
+                        near = index.search(asked[q]) if index else np.arange(len(own))
                         near = near[own[near] != ids[q]]
                         score = vectors[near] @ queries[q]
                         if len(near) > k:
                             best = np.lexsort((own[near], -score))[:k]
                             near, score = near[best], score[best]
-                        for x, v in zip(out, (np.full(len(near), ids[q]), own[near], score), strict=True):
+                        for x, v in zip(out, (np.full(len(near), ids[q]), own[near], score, np.full(len(near), places[q])), strict=True):
                             x.append(v)
                     joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
-                    yield batch_of({"query_id": (joined[0].astype(np.int64), pa.int64()), "vec_id": (joined[1].astype(np.int64), pa.int64()), "score": (joined[2].astype(float), pa.float64())})
+                    yield batch_of({"query_id": (joined[0].astype(np.int64), pa.int64()), "vec_id": (joined[1].astype(np.int64), pa.int64()), "score": (joined[2].astype(float), pa.float64()), "place": (joined[3].astype(np.int64), pa.int64())})
 
-        return rows.mapInArrow(found, "query_id long, vec_id long, score double")
+        return rows.mapInArrow(found, "query_id long, vec_id long, score double, place long")
 
-    parts = part(0)
-    if blocks > 1:
-        parts = saved(parts, "near")
-        for b in range(1, blocks):
-            parts = parts.unionByName(saved(part(b), "near"))
+    parts = reduce(DataFrame.unionByName, [x for b in range(blocks) for x in part(b)])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -189,6 +189,23 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_nearest_neighbours_of_lone_vectors(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 32))
+    vectors = np.repeat(centres, 50, axis=0) + 0.02 * rng.standard_normal((2000, 32))
+    lone = np.arange(0, 2000, 100)
+    vectors[lone] = rng.standard_normal((len(lone), 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(frame, query_block=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(x) for q, x in got.items()} == dict.fromkeys(range(0, 2000, 20), 20)
+    for q in lone.tolist():
+        product = vectors @ vectors[q]
+        product[q] = -np.inf
+        assert len(set(got[q]) & set(np.argsort(-product)[:20].tolist())) >= 15
+
+
 def test_nearest_neighbours_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.nearest(few).orderBy("query_id", "rank").collect()]
