@@ -149,7 +149,7 @@ def searched(docs: DataFrame, key: str, text: str) -> DataFrame:
             for value in column(batch, "text"):
                 t = value.as_py() or ""
                 base = base_spans(t)
-                wide = wider_spans(t, base) if _DIGIT.search(t) or "@" in t or "at]" in t or "at)" in t else []
+                wide = wider_spans(t, base)
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
                 mentions.append([{"kind": k, "start": a, "end": b, "seed": seed, "instance": t[a:b].lower()[:200], "patterns": patterns(t, a, b)} for seed, spans in ((True, base), (False, wide)) for k, a, b in spans])
             yield batch_of({"k": (column(batch, "k"), None), "hash": (column(batch, "hash"), None), "base": (bases, pa.list_(span)), "mentions": (mentions, pa.list_(mention))})

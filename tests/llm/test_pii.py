@@ -69,3 +69,9 @@ def test_redaction_and_nothing(spark):
     out = {x.doc_id: (x.text, x.n_email) for x in pii.redacted(docs_of(spark, texts)).collect()}
     assert out == {0: ("write to [email] now", 1), 1: (None, 1), 2: ("clean", 1), 3: ("[phone]", 1), 4: ("clean", 1)}
     assert pii.find(docs_of(spark, [])).count() == 0
+
+
+def test_wider_shapes_without_digits_are_searched(spark):
+    texts = ["write to JOHN [AT] EXAMPLE [DOT] COM today", "host fe:ab:cd:ef:aa:bb:cc:dd answers", "nothing here"]
+    found = {r.k: [(m.kind, texts[r.k][m.start : m.end]) for m in r.mentions] for r in pii.searched(docs_of(spark, texts), "doc_id", "text").collect()}
+    assert found == {0: [(0, "JOHN [AT] EXAMPLE [DOT] COM")], 1: [(1, "fe:ab:cd:ef:aa:bb:cc:dd")], 2: []}
