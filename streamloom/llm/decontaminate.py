@@ -8,7 +8,8 @@ built in numpy; all windows step backwards together; the found ranges are locate
 their word spans merged by document.
 
 Null and wordless texts have no words, no hits and no items. Items without words have no
-window. Repeated rows are judged one by one. An empty benchmark hits nothing; an empty
+window. Items with a null id hit like others and count as one item more, but aren't named
+in items. Repeated rows are judged one by one. An empty benchmark hits nothing; an empty
 documents table gives no rows. Only the key and text columns are read.
 """
 
@@ -41,7 +42,12 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(_WORDS).split()
 
 
-def windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> tuple[dict[bytes, int], list[tuple[np.ndarray, list[list[str]]]]]:
+def _in_order(items) -> list:
+    """Sorted, null last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def windows(items: list[tuple[str | None, bytes]], size: int = WINDOW) -> tuple[dict[bytes, int], list[tuple[np.ndarray, list[list[str]]]]]:
     """The words' numbers (from 1), and by window length the distinct windows with the items that have them."""
     vocabulary: dict[bytes, int] = {}
     found: dict[int, dict[tuple[int, ...], set[str]]] = {}
@@ -50,7 +56,7 @@ def windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> tuple[dict[by
         n = min(size, len(ids))
         for i in range(len(ids) - n + 1 if n else 0):
             found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
-    return vocabulary, [(np.array(list(x), np.int64).reshape(len(x), n), [sorted(v) for v in x.values()]) for n, x in sorted(found.items())]
+    return vocabulary, [(np.array(list(x), np.int64).reshape(len(x), n), [_in_order(v) for v in x.values()]) for n, x in sorted(found.items())]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -196,7 +202,7 @@ def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
                 n, s, i = _search_shard(texts[a:b], vocabulary, patterns)
                 counts += n.tolist()
                 spans += [x + [v for pair in y for v in pair] for x, y in zip(old_spans[a:b], s, strict=True)]
-                items += [sorted({*x, *y}) for x, y in zip(old_items[a:b], i, strict=True)]
+                items += [_in_order({*x, *y}) for x, y in zip(old_items[a:b], i, strict=True)]
             made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
@@ -216,11 +222,11 @@ def merged(flat: list[int]) -> list[tuple[int, int]]:
 
 def _benchmark_blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int) -> Iterator[tuple[dict, list]]:
     """The windows of each block of the benchmark."""
-    texts = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    texts = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = texts.agg(F.sum(F.octet_length("t")).cast("long")).first()[0] or 0
     n_blocks = -(-size // block_bytes) or 1
     for b in range(n_blocks):
-        part = texts if n_blocks == 1 else texts.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
+        part = texts if n_blocks == 1 else texts.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
         yield windows([(r.i, r.t.encode()) for r in part.collect()], window)
 
 
@@ -247,14 +253,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [merged(x) for x in column(batch, "spans").to_pylist()]
-            items = column(batch, "items").to_pylist()
+            found = column(batch, "items").to_pylist()
+            items = [[i for i in x if i is not None] for x in found]
             n = column(batch, "n_words").to_pylist()
             hits = [sum(b - a for a, b in x) for x in spans]
             yield batch_of({
                 "k": (column(batch, "k"), None),
                 "n_words": (n, pa.int64()),
                 "n_hit": (hits, pa.int64()),
-                "n_items": ([len(x) for x in items], pa.int64()),
+                "n_items": ([len(x) for x in found], pa.int64()),
                 "items": (items, pa.list_(pa.string())),
                 "items_sha256": ([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
                 "contaminated": ([_contaminated(h, w) for h, w in zip(hits, n, strict=True)], pa.bool_()),

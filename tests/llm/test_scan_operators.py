@@ -80,6 +80,23 @@ def test_decontamination_equals_brute_force(spark):
     check_decontamination(spark, texts, items, shard_bytes=500, block_bytes=300)
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    import duckdb
+
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "d e"), (3, "q")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "a b c"), (None, "d e"), (7, "d e")], "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'x a b c y'), (2, 'd e'), (3, 'q')) t(doc_id, text)")
+    con.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (NULL, 'a b c'), (NULL, 'd e'), (7, 'd e')) t(item_id, text)")
+    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({decontaminate.SQL})").fetchall())
+    for more in ({}, {"block_bytes": 4}):
+        found = decontaminate.decontaminate(docs, benchmark, **more)
+        assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == want
+        assert {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in found.collect()} == {1: (3, [], True), 2: (2, ["7"], True), 3: (0, [], False)}
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, benchmark).collect()] == [3]
+
+
 def test_decontamination_of_nothing(spark):
     check_decontamination(spark, ["a b", None], [])
     assert decontaminate.decontaminate(docs_of(spark, []), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
