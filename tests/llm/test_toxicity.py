@@ -44,3 +44,43 @@ def test_without_labels(spark):
         model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert [r.score for r in toxicity.score(docs, model).collect()] == [0, 0]
     assert toxicity.score(docs.where(F.lit(False)), model).count() == 0
+
+
+def test_gradient_is_that_of_the_noisy_or_likelihood():
+    texts = ["one two. bad three", "two two! one", "bad bad. four", "three four. one"] * 4
+    labels = [1, 0, 1, 0] * 4
+    kept, bags = toxicity.bags_of(texts, labels)
+    y, weight = np.array(labels, float), np.random.default_rng(2).random(16)
+    theta = np.random.default_rng(3).normal(size=len(kept) + 1)
+
+    def likelihood(at):
+        """Plainly: word by word, sentence by sentence."""
+        total, of = 0.0, dict(zip(kept, at, strict=False))
+        for t, label, w in zip(texts, y, weight, strict=True):
+            miss = 1.0
+            for _, _, words in toxicity.sentences(t):
+                z = at[-1] + sum(of.get(f, 0.0) for word in words for f in toxicity.features(word))
+                miss *= 1 - 1 / (1 + np.exp(-z))
+            total += w * (np.log(1 - miss) if label else np.log(miss))
+        return total - 0.01 / 2 * (at[:-1] ** 2).sum()
+
+    plain = [(likelihood(theta + e) - likelihood(theta - e)) / 2e-6 for e in np.eye(len(theta)) * 1e-6]
+    assert np.allclose(toxicity.gradient(theta, bags, y, weight, 0.01), plain, atol=1e-5)
+
+
+def test_scores_are_those_of_a_plain_model():
+    model = toxicity.Model({"=bad": 3.0, "bad": 0.5, "goo": -1.0}, -2.0)
+    for text in ("", "bad. good", "Bad, bad! badly\ngood", "...", "1 2 3", "x" * 9, "bad " * 50 + "." + " good" * 3):
+        plain, miss = [], 1.0
+        for _, _, words in toxicity.sentences(text):
+            plain.append(-2.0 + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w)))
+            miss *= 1 / (1 + np.exp(plain[-1]))
+        assert np.allclose(model.logits(text), plain) and abs(toxicity.noisy_or(model.logits(text)) - (1 - miss)) < 1e-9
+
+
+def test_a_labelled_id_that_repeats_counts_once(spark):
+    say = [f"tree stone {i}. river light" for i in range(40)]
+    rows = [(i, t + (". vile words" if i % 4 == 0 else "")) for i, t in enumerate(say)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    once, often = (toxicity.train(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows + [(i, t) for i, t in rows if i % 3 == 0] * 20))
+    assert once.weights and once.weights == often.weights
