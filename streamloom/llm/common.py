@@ -40,12 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a temporary one of a local session."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="streamloom-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -64,6 +66,19 @@ def bounded(df: DataFrame, size, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if total <= most else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many _ behind it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that an operator's own names can't clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def strings(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
