@@ -215,9 +215,18 @@ def best_fit(plan: list[tuple[tuple, int]], left: np.ndarray, capacity: int) ->
     return [x for group in bins.values() for x in group]
 
 
+def planned(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple, int]], int]:
+    """(configuration, times) of all sequences, and how many pieces the program's own configurations hold.
+
+    Of the two roundings the one with fewer sequences, and of equal ones the one that leaves least to best-fit.
+    """
+    options = [(best_fit(plan, left, capacity), int((counts - left).sum())) for plan, left in rounded(counts, capacity)]
+    return min(options, key=lambda x: (sum(times for _, times in x[0]), -x[1]))
+
+
 def plan_slots(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Slots of each length, in runs: columns length, first rank, slots in a sequence, first sequence, offset of the first slot."""
-    packed = min((best_fit(*x, capacity) for x in rounded(counts, capacity)), key=lambda p: sum(times for _, times in p))
+    packed, _ = planned(counts, capacity)
     runs, used, sequence = [], np.zeros(capacity + 1, np.int64), 0
     for c, times in packed:
         offset = 0
