@@ -5,8 +5,10 @@ at least the Manhattan distance of the counts, and counts at Manhattan distance
 in at least 3 of 6 groups of segments. So the grid cells are the counts of each choice
 of 3 groups: fingerprints that share a cell are compared by Manhattan distance first and
 exactly after that. Cells that hold more than CELL fingerprints aren't compared as they
-are: their fingerprints are dealt again by exact bits (5 of 8 bytes, then 13 of 16 half
-bytes, at least which agree at distance 3), until a cell can hold no more than 4096.
+are: their fingerprints are dealt again into a finer grid of counts, of 5 of 8 groups and
+then of 13 of 16, which agree at least at that distance. Only fingerprints whose counts crowd
+even there, which differ in the bits of segments with one bit each, are told apart by the bits
+themselves (13 of 16 groups), where a cell can hold no more than 4096.
 
 Equal fingerprints are one node throughout. A cell reports a spanning forest of its
 links, not all pairs, and components come from alternating large and small stars.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batch_of, bounded, column, saved, small_batches, strings
+from .common import ascii_lower, batch_of, bounded, column, numbered, saved, small_batches, strings
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of a cell that are compared as they are.
@@ -87,7 +89,8 @@ def cell_masks(sizes: list[int], agree: int) -> list[int]:
 #: (masks, cells are of bit counts, fingerprints in a cell at most): all within 3 bits share a cell on each level.
 LEVELS = (
     (cell_masks([10, 10, 10, 10, 12, 12], 3), True, CELL),
-    (cell_masks([8] * 8, 5), False, CELL),
+    (cell_masks([8] * 8, 5), True, CELL),
+    (cell_masks([4] * 16, 13), True, CELL),
     (cell_masks([4] * 16, 13), False, 4096),
 )
 
@@ -219,13 +222,14 @@ def kept(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
     Of rows that repeat that key one stays. Rows with a null key can't be named and all stay.
     The keys that stay are broadcast if they are few, else joined by key.
     """
-    found = saved(found.select(F.col(key).alias("_stay"), "component_id"), "components")
-    stay = saved(found.where(F.col("_stay") == F.col("component_id")).groupBy("_stay").agg(F.count("*").alias("_times")), "stay")
-    small = bounded(stay, F.octet_length(F.col("_stay").cast("string")) + 16)
-    rows = docs.join(small, docs[key] == small["_stay"])
-    once = rows.where("_times = 1").select(*[docs[c] for c in docs.columns])
-    nameless = docs.where(docs[key].isNull())
-    if stay.where("_times > 1").isEmpty():
-        return once.union(nameless)
-    repeated = rows.where("_times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([key])
-    return once.union(repeated).union(nameless)
+    found = saved(found.select(F.col(key).alias("stay"), "component_id"), "components")
+    stay = saved(found.where(F.col("stay") == F.col("component_id")).groupBy("stay").agg(F.count("*").alias("times")), "stay")
+    small = bounded(stay, F.octet_length(F.col("stay").cast("string")) + 16)
+    every = numbered(docs)
+    own = F.col(f"c{docs.columns.index(key)}")
+    rows = every.join(small, own == F.col("stay"))
+    once = rows.where("times = 1").select(every.columns)
+    out = once.union(every.where(own.isNull()))
+    if not stay.where("times > 1").isEmpty():
+        out = out.union(rows.where("times > 1").select(every.columns).dropDuplicates([f"c{docs.columns.index(key)}"]))
+    return out.toDF(*docs.columns)
