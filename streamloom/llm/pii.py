@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded, column, saved, small_batches
+from .common import batch_of, bounded, column, numbered, saved, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct good instances that a pattern needs, its least confidence, an instance's least score, rounds.
@@ -100,17 +101,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _joined(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that the spans cover, rising."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def wider_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the wider shapes that touch no base span."""
-    out = []
-    taken = sorted((a, b) for _, a, b in base)
+    out: list[tuple[int, int, int]] = []
     for kind, name in enumerate(KINDS):
         if name == "email" and "@" not in text and "at]" not in text.lower() and "at)" not in text.lower():
             continue
-        for m in WIDER[name].finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((kind, m.start(), m.end()))
-                taken.append(m.span())
+        found = [m.span() for m in WIDER[name].finditer(text)]
+        if found:
+            starts, ends = _joined((a, b) for _, a, b in (*base, *out))
+            for a, b in found:
+                i = bisect_right(ends, a)
+                if i == len(ends) or starts[i] >= b:
+                    out.append((kind, a, b))
     return out
 
 
@@ -139,7 +155,7 @@ _MENTION = "struct<kind:int,start:bigint,end:bigint,seed:boolean,instance:string
 
 def searched(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, hash (of the text), base (spans) and mentions of every row; one scan of the texts."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).withColumn("hash", F.sha2("text", 256))
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
     mention = pa.struct([*span, ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
@@ -154,7 +170,7 @@ def searched(docs: DataFrame, key: str, text: str) -> DataFrame:
                 mentions.append([{"kind": k, "start": a, "end": b, "seed": seed, "instance": t[a:b].lower()[:200], "patterns": patterns(t, a, b)} for seed, spans in ((True, base), (False, wide)) for k, a, b in spans])
             yield batch_of({"k": (column(batch, "k"), None), "hash": (column(batch, "hash"), None), "base": (bases, pa.list_(span)), "mentions": (mentions, pa.list_(mention))})
 
-    return small_batches(rows).mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, hash long, base array<{_SPAN}>, mentions array<{_MENTION}>")
+    return small_batches(rows).mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, hash string, base array<{_SPAN}>, mentions array<{_MENTION}>")
 
 
 def bootstrap(mentions: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +189,7 @@ def bootstrap(mentions: DataFrame, support: int = SUPPORT, confidence: float = C
         good = good.join(all_kinds, "pattern").select("kind", "pattern", (F.col("mass") / F.col("total")).alias("confidence"), "support")
         good = saved(good.where((F.col("support") >= support) & (F.col("confidence") >= confidence)), "patterns")
         miss = F.sum(F.when(F.col("confidence").isNotNull(), F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))
-        scores = edges.join(good, ["kind", "pattern"], "left").groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.coalesce(miss, F.lit(0.0)).alias("miss"))
+        scores = edges.join(bounded(good, F.octet_length("pattern") + 40), ["kind", "pattern"], "left").groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.coalesce(miss, F.lit(0.0)).alias("miss"))
         scores = saved(scores.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("miss")).alias("score")), "instances")
     return good, scores
 
@@ -183,7 +199,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float
     rows = saved(searched(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "mentions")
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     _, scores = bootstrap(each.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")), **more)
-    added = each.where(~F.col("seed")).join(scores.where(F.col("score") >= accept).select("kind", "instance"), ["kind", "instance"])
+    good = bounded(scores.where(F.col("score") >= accept).select("kind", "instance"), F.octet_length("instance") + 24)
+    added = each.where(~F.col("seed")).join(good, ["kind", "instance"])
     added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     out = rows.select("row", "k", "hash", "base").join(added, "row", "left")
     kinds = F.array(*map(F.lit, KINDS))
@@ -197,13 +214,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[{}]", accept: float = ACCEPT, **more) -> DataFrame:
     """docs with every span replaced by its kind's mark; other columns and rows stay as they are.
 
-    Rows meet their spans by the hash of their text, on which alone spans depend; the spans are
+    Rows meet their spans by the SHA-256 of their text, on which alone spans depend; the spans are
     broadcast if they are few, else joined.
     """
     found = find(docs, key, text, accept, **more)
     spans = saved(found.where(F.col("spans") != "").groupBy(F.col("text_hash").alias("_pii_hash")).agg(F.first("spans").alias("_pii_spans")), "spans")
-    spans = bounded(spans, F.octet_length("_pii_spans") + 24)
-    joined = docs.join(spans, F.xxhash64(docs[text].cast("string")) == spans["_pii_hash"], "left")
+    spans = bounded(spans, F.octet_length("_pii_spans") + 80)
+    place = docs.columns.index(text)
+    joined = numbered(docs).join(spans, F.sha2(F.col(f"c{place}").cast("string"), 256) == spans["_pii_hash"], "left")
 
     @F.pandas_udf("string")
     def replace(texts, spans):
@@ -222,4 +240,6 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return joined.select(*[(F.when(F.col("_pii_spans").isNull(), F.col(text)).otherwise(replace(F.col(text).cast("string"), "_pii_spans")).alias(text) if c == text else docs[c]) for c in docs.columns])
+    own = F.col(f"c{place}")
+    cut = F.when(F.col("_pii_spans").isNull(), own).otherwise(replace(own.cast("string"), "_pii_spans"))
+    return joined.select(*[(cut if i == place else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])

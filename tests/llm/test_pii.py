@@ -75,3 +75,44 @@ def test_wider_shapes_without_digits_are_searched(spark):
     texts = ["write to JOHN [AT] EXAMPLE [DOT] COM today", "host fe:ab:cd:ef:aa:bb:cc:dd answers", "nothing here"]
     found = {r.k: [(m.kind, texts[r.k][m.start : m.end]) for m in r.mentions] for r in pii.searched(docs_of(spark, texts), "doc_id", "text").collect()}
     assert found == {0: [(0, "JOHN [AT] EXAMPLE [DOT] COM")], 1: [(1, "fe:ab:cd:ef:aa:bb:cc:dd")], 2: []}
+
+
+def test_bootstrap_equals_plain_rounds(spark):
+    """Against the same rounds over lists, mention by mention."""
+    import math
+
+    r = random.Random(4)
+    mentions = [((p + (r.random() < 0.1)) % 2, f"i{r.randrange(25) if p < 4 else 3 * r.randrange(9)}", f"p{p}") for p in (r.randrange(9) for _ in range(400))]
+    seeds = {(k, i) for k, i, _ in mentions if int(i[1:]) % 3}
+    rows = [(k, i, (k, i) in seeds, p) for k, i, p in mentions]
+    score = {(k, i): float((k, i) in seeds) for k, i, _ in mentions}
+    for _ in range(3):
+        good = {}
+        for k, p in {(k, p) for k, _, p in mentions}:
+            own = [(k, i) for a, i, b in mentions if (a, b) == (k, p)]
+            sure = sum(score[x] for x in own) / sum(b == p for _, _, b in mentions)
+            if len({x for x in own if score[x] >= pii.ACCEPT}) >= 2 and sure >= 0.4:
+                good[k, p] = sure
+        for x in score:
+            miss = math.prod(1 - min(0.999, good[x[0], p]) for p in {p for k, i, p in mentions if (k, i) == x} if (x[0], p) in good)
+            score[x] = 1.0 if x in seeds else 1 - miss
+    frame = spark.createDataFrame(rows, "kind int, instance string, seed boolean, pattern string").repartition(3)
+    patterns, instances = pii.bootstrap(frame, support=2, confidence=0.4)
+    got = {(x.kind, x.instance): x.score for x in instances.collect()}
+    assert got.keys() == score.keys() and all(abs(got[x] - score[x]) < 1e-9 for x in got)
+    assert {(x.kind, x.pattern) for x in patterns.collect()} == set(good) and 0 < len(good) < 18
+
+
+def test_many_spans_in_one_text():
+    import time
+
+    text = "call 415-555-0134 or a@b.example, " * 20_000
+    began = time.time()
+    base = pii.base_spans(text)
+    assert len(base) == 20_000 and len(pii.wider_spans(text, base)) == 20_000
+    assert time.time() - began < 20
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "mail a@b.example", "x", "y")], "doc_id long, text string, _pii_hash string, _pii_spans string")
+    assert [tuple(r) for r in pii.redacted(frame).collect()] == [(1, "mail [email]", "x", "y")]
