@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,8 @@ from .common import batch_of, column, small_batches, strings
 WINDOW = 13
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
-#: Bytes of benchmark text that one index pass takes; more text makes more passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that one index pass takes; more text makes more passes. Its windows take up to some 50 times as much.
+BLOCK_BYTES = 4 << 20
 #: One suffix position in so many is stored.
 SAMPLE = 8
 
@@ -47,16 +49,35 @@ def _in_order(items) -> list:
     return sorted(items, key=lambda x: (x is None, x or ""))
 
 
-def windows(items: list[tuple[str | None, bytes]], size: int = WINDOW) -> tuple[dict[bytes, int], list[tuple[np.ndarray, list[list[str]]]]]:
-    """The words' numbers (from 1), and by window length the distinct windows with the items that have them."""
+@dataclass
+class Windows:
+    """Distinct windows of one length (rows of word numbers); row i's items are owners[starts[i]:starts[i + 1]]."""
+
+    rows: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+
+
+def windows(items: list[tuple[str | None, bytes]], size: int = WINDOW) -> tuple[dict[bytes, int], list[str | None], list[Windows]]:
+    """The words' numbers (from 1), the distinct items, and by window length the distinct windows."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    names: dict[str | None, int] = {}
+    found: dict[int, list[tuple[np.ndarray, int]]] = {}
     for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
-        n = min(size, len(ids))
-        for i in range(len(ids) - n + 1 if n else 0):
-            found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
-    return vocabulary, [(np.array(list(x), np.int64).reshape(len(x), n), [_in_order(v) for v in x.values()]) for n, x in sorted(found.items())]
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.int32)
+        if len(ids):
+            found.setdefault(min(size, len(ids)), []).append((ids, names.setdefault(item, len(names))))
+    out = []
+    for n, each in sorted(found.items()):
+        flat = np.concatenate([sliding_window_view(ids, n) for ids, _ in each])  # n numbers of four bytes for each word
+        owner = np.repeat(np.array([o for _, o in each], np.int64), [len(ids) - n + 1 for ids, _ in each])
+        whole = np.ascontiguousarray(flat).view(np.dtype((np.void, 4 * n))).ravel()
+        order = np.argsort(whole, kind="stable")
+        new = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
+        pairs = np.unique((np.cumsum(new) - 1) * len(names) + owner[order])
+        row, owners = np.divmod(pairs, len(names))
+        out.append(Windows(flat[order[new]], np.searchsorted(row, np.arange(int(new.sum()) + 1)), owners))
+    return vocabulary, list(names), out
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -137,10 +158,10 @@ class FMIndex:
         return out
 
 
-def _search_shard(texts: list[bytes], vocabulary: dict, patterns: list) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+def _search_shard(texts: list[bytes], vocabulary: dict, names: list, patterns: list[Windows]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
     """For each text its number of words, merged hit spans (in words) and items."""
     get = vocabulary.get
-    shortest = min((p.shape[1] for p, _ in patterns), default=0)
+    shortest = min((w.rows.shape[1] for w in patterns), default=0)
     n_words, parts, origin = np.zeros(len(texts), np.int64), [], []
     for d, text in enumerate(texts):
         ids = np.array([get(w, 0) for w in words(text)], np.int64)
@@ -161,7 +182,8 @@ def _search_shard(texts: list[bytes], vocabulary: dict, patterns: list) -> tuple
     lengths = np.array([x[2] for x in origin])
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     hit = np.zeros(len(sequence) + 1, np.int64)
-    for p, of in patterns:
+    for each in patterns:
+        p = each.rows
         low, high = index.search(p)
         count = high - low
         which = np.repeat(np.arange(len(p)), count)
@@ -171,7 +193,7 @@ def _search_shard(texts: list[bytes], vocabulary: dict, patterns: list) -> tuple
         np.add.at(hit, at + p.shape[1], -1)
         run = np.searchsorted(begins, at, side="right") - 1
         for r, w in set(zip(run.tolist(), which.tolist(), strict=True)):
-            items[origin[r][0]].update(of[w])
+            items[origin[r][0]].update(names[o] for o in each.owners[each.starts[w] : each.starts[w + 1]].tolist())
     covered = np.cumsum(hit)[:-1] > 0
     edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))).reshape(-1, 2)
     for a, b in edge:
@@ -186,7 +208,7 @@ def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(block)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, patterns = held.value
+        vocabulary, names, patterns = held.value
         for batch in batches:
             texts = strings(column(batch, "text"))
             ends, total, cuts = 0, 0, [0]
@@ -199,7 +221,7 @@ def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
             old_spans, old_items = column(batch, "spans").to_pylist(), column(batch, "items").to_pylist()
             counts, spans, items = [], [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                n, s, i = _search_shard(texts[a:b], vocabulary, patterns)
+                n, s, i = _search_shard(texts[a:b], vocabulary, names, patterns)
                 counts += n.tolist()
                 spans += [x + [v for pair in y for v in pair] for x, y in zip(old_spans[a:b], s, strict=True)]
                 items += [_in_order({*x, *y}) for x, y in zip(old_items[a:b], i, strict=True)]
@@ -220,7 +242,7 @@ def merged(flat: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _benchmark_blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int) -> Iterator[tuple[dict, list]]:
+def _benchmark_blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int) -> Iterator[tuple[dict, list, list]]:
     """The windows of each block of the benchmark."""
     texts = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = texts.agg(F.sum(F.octet_length("t")).cast("long")).first()[0] or 0
@@ -243,7 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     The documents are read once and not shuffled. Only the benchmark goes to the executors:
     in one block if its text is at most block_bytes, else in as many passes as that takes,
-    dealt by hash, so no pass and no step on the driver holds more than about a block.
+    dealt by hash, so no pass and no step on the driver holds more than about a block and its windows.
     """
     df = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), *_nothing_found())
     for block in _benchmark_blocks(benchmark, item, item_text, window, block_bytes):
