@@ -1,225 +1,133 @@
-"""Stupid-backoff scores of every document against the whole corpus.
+"""Stupid-backoff scores of every document, by relations of n-grams and their counts.
 
-Counts of n-grams live in hash partitions. Blocks of the corpus explode their n-grams, ask
-the partitions for the corpus counts of the distinct ones, and sum the scores of their
-documents. From three words on, an n-gram is asked for only where both its parts of one word less
-were counted, which loses none: an n-gram that occurs MIN_COUNT times has parts that do.
+For each order up to ORDER the corpus' n-grams are exploded and counted, which makes a count
+table partitioned by the n-gram's hash. The documents' n-grams are exploded, joined to the
+table by that hash, and the logarithms of the counts are summed by document.
 
 A word scores count(n-gram) / count(its first n-1 words) for the longest n-gram, of at most
-ORDER words and within its document, that occurs MIN_COUNT times, else BACKOFF times as
-much for each word less; a single word scores count / all words. Scores are summed as
-millionths of log10, so that the order of adding doesn't matter.
-
-Words: A-Z lower-cased, runs of digits, letters and bytes above 7F. Null and wordless
-texts have no words, score 0 and mean null. Repeated rows count as often as they occur.
-An empty table gives no rows. Only key and text are read.
+ORDER words and within its document, that the corpus holds, else BACKOFF times as much for
+each word less; a single word scores count / all words, and one that the corpus doesn't hold
+1 / all words. Logarithms (base 10) of counts are taken as whole millionths, so that the
+order of adding doesn't matter.
+
+Documents scored against themselves hold no n-gram that the corpus lacks, so nothing backs
+off, and most counts cancel between a word and the next: what is left of each n-gram is one
+term, which needs no other word's. Such n-grams are summed by document right after the join.
+An n-gram that occurs once has logarithm zero, so counts of one aren't joined. Documents
+scored against another corpus meet their counts word by word.
+
+N-grams that make up a HOT-th of the words or more, at most HOT of an order, are broadcast:
+no other n-gram has more rows than that, and no task is one n-gram's. N-grams are known by
+64-bit hashes: in 10^10 different ones about three share theirs with another.
+
+Words: A-Z lower-cased, runs of digits, letters and characters above 7F. Null and wordless
+texts have no words, score 0 and mean null. Repeated rows count as often as they occur, and
+are scored each. An empty table gives no rows. Only key and text are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answered, asked, blocked, bucket_count, bucket_of, of_step, with_answers
-from .common import batch_of, column
-from .decontaminate import words
-
-ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
-BLOCK_BYTES = 4 << 20
-#: Counts of at most so many bytes are broadcast to the blocks; more are shuffled to them.
-ANSWER_BYTES = 4 << 20
+from .common import bounded, release, saved
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+ORDER, BACKOFF, HOT = 3, 0.4, 100_000
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def _squeezed(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
-    return np.int64(len(raw)).tobytes() + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
+def words(text: Column) -> Column:
+    """The array of the text's words; empty for null."""
+    return F.coalesce(F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), ""), F.array().cast("array<string>"))
 
-def _whole(data: bytes, kind) -> np.ndarray:
-    size = int(np.frombuffer(data, np.int64, 1)[0])
-    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
 
+def micro(count) -> Column:
+    """The logarithm of a count in millionths."""
+    return F.rint(F.log10(count) * 1e6).cast("long")
 
-def _rising(x: np.ndarray) -> bytes:
-    """Rising hashes as differences, byte by byte of all: the upper bytes are mostly zero and squeeze away."""
-    return _squeezed(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
 
+def grams(told: DataFrame, n: int, *more: str) -> DataFrame:
+    """gram (a hash) and last (the place of its last word, from 1) of all n-grams of the rows' words, with the columns named."""
+    ends = [F.slice("words", i + 1, F.greatest(F.size("words") - (n - 1), F.lit(0))) for i in range(n)]
+    if n == 1:
+        each, parts = told.select(*more, F.posexplode("words").alias("at", "w")), ["w"]
+    else:
+        each, parts = told.select(*more, F.posexplode(F.arrays_zip(*ends)).alias("at", "w")), [F.col("w")[str(i)] for i in range(n)]
+    return each.select(*more, F.xxhash64(*parts).alias("gram"), (F.col("at") + n).alias("last"))
 
-def _unrising(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(_whole(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
 
+def counts(told: DataFrame, n: int, least: int = 1) -> DataFrame:
+    """The count table of an order: gram and its count, of those counted `least` times."""
+    found = saved(grams(told, n).groupBy("gram").agg(F.count("*").alias("count")).where(F.col("count") >= least), f"grams{n}")
+    release(told.sparkSession)
+    return found
 
-def _parts(*data: bytes) -> bytes:
-    return np.array([len(data), *map(len, data)], np.int64).tobytes() + b"".join(data)
 
+def met(rows: DataFrame, known: DataFrame, total: int, unknown: bool) -> list[DataFrame]:
+    """rows with the counts of their grams, in parts; those without any (count null) only if unknown."""
+    hot = F.broadcast(known.where(F.col("count") * HOT >= total))
+    cold = known.where(F.col("count") * HOT < total)
+    parts = [rows.join(hot, "gram")]
+    if unknown or not cold.isEmpty():
+        parts.append(rows.join(hot, "gram", "left_anti").join(cold, "gram", "left" if unknown else "inner"))
+    return parts
 
-def _unparts(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    at, out = 8 * (n + 1), []
-    for size in np.frombuffer(data, np.int64, n, 8).tolist():
-        out.append(data[at : at + size])
-        at += size
-    return out
 
+def _own_terms(told: DataFrame, order: int, total: int) -> list[DataFrame]:
+    """row and micro, to be summed: each order's n-grams as often as they are added less as often as they are taken away.
 
-def encoded(texts: list[bytes]) -> bytes:
-    """A block's texts as the hashes of its distinct words, each word's place among them, and the words of each text."""
-    vocabulary: dict[bytes, int] = {}
-    codes, counts = [], []
-    for text in texts:
-        found = words(text)
-        counts.append(len(found))
-        codes.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.uint32, len(found)))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-    return _parts(hashes.tobytes(), _squeezed(np.concatenate(codes) if codes else np.zeros(0, np.uint32)), np.array(counts, np.int64).tobytes())
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _B
-    x = (x ^ (x >> np.uint64(29))) * _A
-    return x ^ (x >> np.uint64(32))
-
-
-def _before(x: np.ndarray) -> np.ndarray:
-    """The value one word earlier; zero for the first."""
-    return np.concatenate((x[:0], np.zeros(1, x.dtype), x[:-1]))[: len(x)]
-
-
-class Grams:
-    """The n-grams of a block, order by order: hashes by last word, and which of them were or are to be counted."""
-
-    def __init__(self, data: bytes):
-        hashes, codes, counts = _unparts(data)
-        self.counts = np.frombuffer(counts, np.int64)
-        self.word = np.frombuffer(hashes, np.uint64)[_whole(codes, np.uint32)]
-        starts = np.cumsum(self.counts) - self.counts
-        self.place = np.arange(len(self.word)) - np.repeat(starts, self.counts)
-        self.hash = _mixed(self.word)
-        self.order = 1
-        self.open = np.ones(len(self.word), bool)
-        self.found: list[np.ndarray] = []
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order's open n-grams: distinct hashes (ascending), the place of each open one among them, and local counts."""
-        return np.unique(self.hash[self.open], return_inverse=True, return_counts=True)
-
-    def learn(self, answers: list[dict], buckets: int, least: int) -> None:
-        """Takes the order's counts (0 for less than `least`) and goes on to n-grams both of whose parts have them."""
-        distinct, back, _ = self.distinct()
-        counts = np.zeros(len(distinct), np.int64)
-        edges = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
-        for a in answers:
-            mask, values = _unparts(a["payload"])
-            lo, hi = edges[a["bucket"]], edges[a["bucket"] + 1]
-            own = counts[lo:hi]
-            own[np.unpackbits(_whole(mask, np.uint8), count=hi - lo).astype(bool)] = _whole(values, np.uint32)
-        full = np.zeros(len(self.word), np.int64)
-        full[self.open] = counts[back]
-        self.go_on()
-        self.found[-1] = full
-        if self.order > 2:
-            self.open &= (full >= least) & (_before(full) >= least)
-
-    def go_on(self) -> None:
-        """To the next order, whatever the counts of this one: every n-gram within its document."""
-        self.found.append(np.zeros(0, np.int64))
-        self.order += 1
-        self.hash = _mixed(_before(self.hash) * _A + self.word + np.uint64(self.order))
-        self.open = self.place >= self.order - 1
-
-    def scores(self, total: int, backoff: float) -> np.ndarray:
-        """Millionths of log10 of every word's score."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.log10(self.found[0]) - np.log10(max(total, 1))
-            longest = np.minimum(self.place + 1, len(self.found))
-            used = np.ones(len(out), np.int64)
-            for n in range(2, len(self.found) + 1):
-                hit = self.found[n - 1] > 0
-                out = np.where(hit, np.log10(self.found[n - 1]) - np.log10(_before(self.found[n - 2])), out)
-                used[hit] = n
-        return np.rint((out + (longest - used) * np.log10(backoff)) * 1e6).astype(np.int64)
-
-
-def counted(payloads: list[bytes], least: int) -> list[bytes]:
-    """A bucket's answers: the corpus count of every hash asked for; those under `least` are only marked."""
-    parts = [_unparts(x) for x in payloads]
-    hashes = [_unrising(h) for h, _ in parts]
-    _, back = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(back, np.concatenate([_whole(c, np.uint32) for _, c in parts])).astype(np.uint32)[back]
+    An n-gram is added where it is the longest that ends at its last word, and taken away where the word after it has it as its first words.
+    """
     out = []
-    for each in np.split(totals, np.cumsum([len(h) for h in hashes])[:-1]):
-        kept = each >= least
-        out.append(_parts(_squeezed(np.packbits(kept)), _squeezed(each[kept])))
+    for n in range(1, order + 1):
+        first = F.col("last") == n
+        longest = F.lit(True) if n == order else first
+        begins = F.lit(False) if n == order else (F.lit(True) if n == order - 1 else first) & (F.col("last") < F.col("n_words"))
+        rows = grams(told, n, "row", "n_words").withColumn("times", longest.cast("int") - begins.cast("int")).where("times != 0").select("row", "gram", "times")
+        parts = met(rows, counts(told, n, 2), total, False)
+        out += [saved(p.groupBy("row").agg(F.sum(F.col("times") * micro("count")).alias("micro")), "terms") for p in parts]
+        del parts, rows
+        release(told.sparkSession)
     return out
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, n_words, score (the summed log10) and mean (by word) of every row."""
-    blocks = blocked(docs, key, text, encoded, block_bytes)
-    kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    buckets = bucket_count(blocks)
-
-    def known(row: dict, orders: int) -> Grams:
-        """Past the orders whose answers the row has; the first is passed over where its answers aren't needed."""
-        grams = Grams(row["data"])
-        for n in range(1, orders + 1):
-            found = of_step(row, n - 1)
-            if n == 1 and not found:
-                grams.go_on()
-            else:
-                grams.learn(found, buckets, 1 if n == 1 else min_count)
-        return grams
-
-    def ask(n: int):
-        def question(row: dict) -> Iterator[tuple[int, bytes]]:
-            distinct, _, count = known(row, n - 1).distinct()
-            edges = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
-            for b in range(buckets):
-                lo, hi = edges[b], edges[b + 1]
-                if lo < hi:
-                    yield b, _parts(_rising(distinct[lo:hi]), _squeezed(count[lo:hi].astype(np.uint32)))
-
-        return question
-
-    answers: list[DataFrame] = []
+def _terms(told: DataFrame, corpus: DataFrame, order: int, total: int, backoff: float) -> list[DataFrame]:
+    """row and micro: the scores of its words against another corpus, summed."""
+    parts = []
     for n in range(1, order + 1):
-        least = 1 if n == 1 else min_count
-        # single words and pairs are asked for without any answer; from there on, where both parts were counted
-        answers.append(answered(asked(with_answers(blocks, [None, *answers[1:]] if n > 2 else [], ANSWER_BYTES), ask(n)), lambda p, least=least: counted(p, least), f"grams{n}"))
-    told = with_answers(blocks, answers, ANSWER_BYTES)
-    total = _total(blocks)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: column(batch, n)[i].as_py() for n in batch.schema.names if n not in ("keys", "lengths")}
-                grams = known(row, order)
-                sums = np.concatenate(([0], np.cumsum(grams.scores(total, backoff))))
-                ends = np.cumsum(grams.counts)
-                micro = sums[ends] - sums[ends - grams.counts]
-                value = micro / 1e6
-                mean = pa.array(value / np.maximum(grams.counts, 1), pa.float64(), mask=grams.counts == 0)
-                yield batch_of({"k": (column(batch, "keys")[i].values, None), "n_words": (grams.counts, pa.int64()), "score": (value, pa.float64()), "mean": (mean, None)})
-
-    return told.mapInArrow(finish, f"k {kind}, n_words long, score double, mean double").withColumnRenamed("k", key)
-
-
-def _total(blocks: DataFrame) -> int:
-    """All words of the corpus."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch_of({"n": ([int(np.frombuffer(_unparts(x.as_py())[2], np.int64).sum()) for x in column(batch, "data")], pa.int64())})
-
-    return blocks.select("data").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+        for found in met(grams(told, n, "row"), counts(corpus, n), total, False):
+            found = found.select("row", "last", F.lit(n).alias("n"), micro("count").alias("log"))
+            parts += [found.withColumn("first", F.lit(False)), found.select("row", (F.col("last") + 1).alias("last"), (F.col("n") + 1).alias("n"), "log", F.lit(True).alias("first"))]
+    places = told.where("n_words > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n_words").cast("int"))).alias("last"))
+    logs = [F.max(F.when((F.col("n") == n) & (F.col("first") == first), F.col("log"))).alias(f"{'first' if first else 'whole'}{n}") for n in range(1, order + 1) for first in (False, True)]
+    known = reduce(DataFrame.unionByName, parts).groupBy("row", "last").agg(*logs)
+    less, every = micro(F.lit(backoff)), micro(F.lit(max(total, 1)))
+    longest = F.least(F.col("last"), F.lit(order))
+    value = F.coalesce(*[F.col(f"whole{n}") - (F.col(f"first{n}") if n > 1 else every) + (longest - n) * less for n in range(order, 0, -1)], (longest - 1) * less - every)
+    scored = places.join(known, ["row", "last"], "left").groupBy("row").agg(F.sum(value).alias("micro"))
+    return [scored]
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus: DataFrame | None = None, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """key, n_words, score (the summed log10) and mean (by word) of every row of docs, by the counts of corpus (null: docs themselves; else a table with the same text column)."""
+    told = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), words(F.col(text).cast("string")).alias("words"))
+    told = saved(told.withColumn("n_words", F.size("words").cast("long")), "words")
+    if corpus is None:
+        total = told.agg(F.sum("n_words")).first()[0] or 0
+        terms = _own_terms(told, order, total)
+        once = -micro(F.lit(max(total, 1))) * (F.col("n_words") if order == 1 else 1)  # each single word is taken of all words
+    else:
+        held = saved(corpus.select(words(F.col(text).cast("string")).alias("words")), "corpus")
+        total = held.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+        terms = _terms(told, held, order, total, backoff)
+        once = F.lit(0).cast("long")
+    summed = reduce(DataFrame.union, terms).groupBy("row").agg(F.sum("micro").alias("micro"))
+    out = told.select("row", "k", "n_words").join(bounded(summed, F.lit(16)), "row", "left")
+    value = F.when(F.col("n_words") > 0, F.coalesce("micro", F.lit(0)) + once).otherwise(0) / 1e6
+    return out.select(F.col("k").alias(key), "n_words", value.alias("score"), F.when(F.col("n_words") > 0, value / F.col("n_words")).alias("mean"))
 
 
 #: The same in DuckDB, of the table documents.
@@ -230,14 +138,14 @@ WITH w AS (
 ), g AS (
   SELECT *, lag(word, 1) OVER d AS w1, lag(word, 2) OVER d AS w2 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), c1 AS (SELECT word, count(*) AS n FROM g GROUP BY ALL),
-c2 AS (SELECT w1, word, count(*) AS n FROM g WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-c3 AS (SELECT w2, w1, word, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+c2 AS (SELECT w1, word, count(*) AS n FROM g WHERE w1 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT w2, w1, word, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
 t AS (SELECT count(*) AS n FROM g),
 s AS (
-  SELECT g.doc_id, CAST(round((CASE
-      WHEN c3.n IS NOT NULL THEN log10(c3.n) - log10(x2.n)
-      WHEN c2.n IS NOT NULL THEN log10(c2.n) - log10(x1.n) + (least(i, 3) - 2) * log10(0.4::DOUBLE)
-      ELSE log10(c1.n) - log10(t.n) + (least(i, 3) - 1) * log10(0.4::DOUBLE) END) * 1e6) AS BIGINT) AS micro
+  SELECT g.doc_id, CASE
+      WHEN c3.n IS NOT NULL THEN round(log10(c3.n) * 1e6) - round(log10(x2.n) * 1e6)
+      WHEN c2.n IS NOT NULL THEN round(log10(c2.n) * 1e6) - round(log10(x1.n) * 1e6) + (least(i, 3) - 2) * round(log10(0.4::DOUBLE) * 1e6)
+      ELSE round(log10(c1.n) * 1e6) - round(log10(t.n) * 1e6) + (least(i, 3) - 1) * round(log10(0.4::DOUBLE) * 1e6) END::BIGINT AS micro
   FROM g CROSS JOIN t JOIN c1 ON c1.word = g.word
   LEFT JOIN c2 ON c2.w1 = g.w1 AND c2.word = g.word
   LEFT JOIN c3 ON c3.w2 = g.w2 AND c3.w1 = g.w1 AND c3.word = g.word
