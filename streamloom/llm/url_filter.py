@@ -29,13 +29,16 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: The labelled hosts (1: block). Each stands in the training table with every prefix and ending below.
-LABELLED_HOSTS = {
-    1: ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x", "spam-mail", "cheap-meds", "casino-bonus", "free-spins", "ads-click", "adult-cam", "win-bets", "pills-online", "track-ads"),
-    0: ("thering", "ththan", "thertion", "ththble", "tionsh", "theron", "news-daily", "city-library", "open-data", "the-garden", "therea", "ththes", "university", "cooking-notes", "museum"),
+#: The small labelled table is made of these: a host is a TOPICS word (1: block) joined to a COMMON one, either first, or a topic alone.
+TOPICS = {
+    1: "casino poker slots betting jackpot roulette pills viagra pharmacy-rx steroids porn xxx adult escort camgirls warez torrents keygen cracked phishing spam adserver adclick tracking popunder lottery payday replica botnet malware".split(),
+    0: "library museum history science physics biology cooking recipes gardening travel weather news journal university college school hospital music painting poetry football cycling astronomy geology railway archive dictionary atlas theatre kitchen".split(),
 }
+COMMON = "online daily best city my free world house".split()
+#: Made-up names (no word of any topic), which are allowed: joined of these syllables.
+SYLLABLES = "ka ro mi ten sul vor lin dra pe zo nar bel".split()
 PREFIXES = ("", "www.", "m.", "blog.")
-TAILS = ((".example.com", "/en/123"), (".example.net", "/de/45.html"), (".example.org", "/es/678/"), (".example.com", "/fr/9"))
+TAILS = ((".example.com", "/en/123"), (".example.net", "/de/45.html"), (".example.org", "/es/678/"))
 SIZE, GRAMS = 1 << 16, (3, 4, 5)
 
 
@@ -67,9 +70,11 @@ def features(host: str, path: str) -> np.ndarray:
     return np.fromiter(sorted(found), np.int64, len(found))
 
 
-def labelled_urls() -> list[tuple[str, str, int]]:
+def labelled_urls(topics=TOPICS, common: Sequence[str] = COMMON) -> list[tuple[str, str, int]]:
     """The small labelled table: (host, path, 1 to block)."""
-    return [(p + h + end, path, y) for y, hosts in LABELLED_HOSTS.items() for h in hosts for p in PREFIXES for end, path in TAILS]
+    hosts = [(h, y) for y, words in topics.items() for t in words for h in (t, *(f"{t}-{c}" for c in common[::2]), *(f"{c}-{t}" for c in common[1::2]))]
+    hosts += [(a + b + c, 0) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in SYLLABLES[(i + j) % 4 :: 4]]
+    return [(p + h + end, path, y) for i, (h, y) in enumerate(hosts) for j, p in enumerate(PREFIXES) for end, path in (TAILS[(i + j) % len(TAILS)],)]
 
 
 def train(rows=None, epochs: int = 300, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float]:

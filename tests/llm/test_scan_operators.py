@@ -39,9 +39,54 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_model_on_hosts_it_has_not_seen():
+    """Hosts joined of other common words than it learnt with; none of the labelled hosts is one of the test pages'."""
+    learnt, other = url_filter.COMMON[:5], ["club", "zone", "today", "web", *url_filter.COMMON[5:]]
+    w, b = url_filter.train(url_filter.labelled_urls(common=learnt))
+    seen = {r[0] for r in url_filter.labelled_urls(common=learnt)}
+    rows = [r for r in url_filter.labelled_urls(common=other) if r[0] not in seen]
+    for label, least in ((0, 0.95), (1, 0.8)):
+        right = [(url_filter.score(h, p, w, b) >= 0.5) == bool(y) for h, p, y in rows if y == label]
+        assert len(right) > 50 and np.mean(right) > least
+
+
+def test_url_training_is_logistic_regression():
+    """Against the same descent written plainly, feature by feature."""
+    rows = url_filter.labelled_urls()[::40]
+    w, b = url_filter.train(rows, epochs=30)
+    x = np.zeros((len(rows), url_filter.SIZE))
+    for i, (h, p, _) in enumerate(rows):
+        f = url_filter.features(h, p)
+        x[i, f] = 1 / np.sqrt(len(f))
+    y, v, c, gv, gc = np.array([r[2] for r in rows]), np.zeros(url_filter.SIZE), 0.0, 1e-8, 1e-8
+    gv = np.full(url_filter.SIZE, 1e-8)
+    for _ in range(30):
+        e = (1 / (1 + np.exp(-(x @ v + c))) - y) / len(rows)
+        g = x.T @ e + 1e-4 * v
+        gv += g * g
+        v -= 0.5 * g / np.sqrt(gv)
+        gc += e.sum() ** 2
+        c -= 0.5 * e.sum() / np.sqrt(gc)
+    assert np.allclose(w, v, atol=1e-6) and abs(b - c) < 1e-6
+
+
 # decontamination ----------------------------------------------------------------------------
 
 
+def test_windows_take_bounded_memory():
+    """What a block of the benchmark takes on the driver, by its bytes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 20_000, 300)).encode()) for i in range(1500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    decontaminate.windows(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * size  # so at most some 240 MB for BLOCK_BYTES
+
+
 def brute_hits(text, items, size=13):
     w = decontaminate.words((text or "").encode())
     hit, found = set(), set()
@@ -178,6 +223,21 @@ def test_plan_is_tight():
         assert used <= best <= 1.01 * plain
 
 
+@pytest.mark.parametrize("shape", ["even", "short", "long"])
+def test_the_program_makes_the_packing(shape):
+    """Its configurations hold nearly all pieces, and the sequences are close to what no packing can beat."""
+    rng = np.random.default_rng(11)
+    draw = {"even": lambda n: rng.integers(1, 2048, n), "short": lambda n: 20 + rng.geometric(1 / 300, n).clip(max=2000), "long": lambda n: rng.integers(1100, 2048, n)}[shape]
+    for n, share in ((1000, 0.8), (20_000, 0.9)):
+        counts = np.bincount(draw(n), minlength=2049)
+        packed, placed = packing.planned(counts)
+        sequences = sum(t for _, t in packed)
+        least = max(-(-int((np.arange(2049) * counts).sum()) // 2048), int(counts[1025:].sum()))
+        assert sum(t * sum(h for _, h in c) for c, t in packed) == n
+        assert placed >= share * n, (shape, n, placed)
+        assert sequences <= 1.02 * least + 2, (shape, n, sequences, least)
+
+
 # nearest neighbours -------------------------------------------------------------------------
 
 
