@@ -5,17 +5,24 @@ suffixes are sampled: the smallest hash of GRAM bytes in a window of SPAN bytes
 window's anchor, and equal windows have their anchors in the same place. The windows of
 one anchor are a span around it. Only suffixes at anchors that occur elsewhere matter:
 
-1. Blocks ask the hash partition of each anchor whether it, and its whole span, occur
-   again. Spans that do are repeats as a whole; anchors that occur once are none.
-2. Of the rest, each anchor's distinct spans form an enhanced suffix array: sorted by the
-   bytes from the anchor on, with common prefix lengths. A stack scan gives the tree of
-   common-prefix intervals. Each interval's left contexts are scanned the same way, which
-   tests whether what precedes a repeat differs, so every maximal repeat comes out once,
-   with all its occurrences. Anchors with more than GROUP distinct spans are not gathered:
-   their windows go one by one to the hash partition of the window.
+1. Blocks ask the hash partition of each anchor whether it occurs again. Anchors that occur
+   once are no repeats.
+2. The spans of the others meet in the partition, each different one of a block once. Spans
+   that recur whole are classes, told by their bytes. The distinct spans of an anchor form an
+   enhanced suffix array: sorted by the bytes from the anchor on, with common prefix lengths.
+   A stack scan gives the tree of common-prefix intervals. Each interval's left contexts are
+   scanned the same way, which tests whether what precedes a repeat differs, so every maximal
+   repeat comes out once, with all its occurrences.
 3. Covered bytes are removed from their block's documents.
 
-Every comparison in step 2 is on bytes; steps 1 and the large groups compare 64-bit hashes.
+An anchor with more than GROUP distinct spans (a passage that stands in so many different
+contexts) would be one task's work, as many as there are: its spans aren't gathered, and their
+windows go one by one to the partition of the window instead. They are compared by two
+independent 64-bit hashes; all else is compared byte by byte.
+
+repeat_groups gives the maximal repeats themselves. One that is longer than a span comes out at
+each of its anchors, as far as the anchor's spans reach.
+
 Null and empty texts have no bytes. Repeated rows are copies of each other. An empty table
 gives no rows. Only key and text are read.
 """
@@ -27,22 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .blocks import answered, asked, blocked, bucket_count, bucket_of, of_step, split, with_answers
 from .common import batch_of, column
 
-SPAN, GRAM, GROUP = 200, 50, 64
+SPAN, GRAM, GROUP = 200, 50, 256
+#: Bytes of text whose anchors share a bucket, about.
+BUCKET_BYTES = 16 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_M to the power i and its inverse, modulo 2^64."""
-    inverse = pow(int(_M), -1, 1 << 64)
+def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """base (odd) to the power i and its inverse, modulo 2^64."""
+    inverse = pow(int(base), -1, 1 << 64)
     with np.errstate(over="ignore"):
-        return tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(0, n - 1), m, np.uint64))))[:n] for m in (_M, np.uint64(inverse)))
+        return tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(0, n - 1), m, np.uint64))))[:n] for m in (base, np.uint64(inverse)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,12 +64,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substrings of data, by prefix sums of a polynomial modulo 2^64, mixed."""
+    """Hashes of any substrings of data, by prefix sums of a polynomial modulo 2^64, mixed. Each kind has a table and a base of its own."""
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, kind: int = 0):
+        power, self.inverse = _powers(len(data) + 1, _M + np.uint64(kind << 20))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * power[:-1], out=self.sums[1:])
+        np.cumsum((_TABLE >> np.uint64(kind))[data] * power[:-1], out=self.sums[1:])
 
     def of(self, start, end) -> np.ndarray:
         """Of data[start:end], elementwise (slices or index arrays)."""
@@ -109,8 +119,9 @@ class Anchors:
         self.span_hash = _mixed(self.hashes.of(self.first, self.last + span) + shape * _M)
 
 
-# The answers of step 1: (ordinals, codes) of anchors that occur again.
-COVERED, COMPARE, COVERED_COMPARE, WINDOWS, COVERED_WINDOWS = 1, 2, 3, 4, 5
+# The answers of step 1, for anchors that occur again: the span is compared with the anchor's others; its windows are;
+# it is compared with its like alone; that and its windows are.
+COMPARE, WINDOWS, AGAIN, AGAIN_WINDOWS = 1, 2, 3, 4
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -141,13 +152,9 @@ def classify(payloads: list[bytes], group: int) -> list[bytes | None]:
     group_of, class_of = np.cumsum(new_group) - 1, np.cumsum(new_class) - 1
     in_group, in_class = np.bincount(group_of), np.bincount(class_of)
     first_class = class_of[new_group]
-    classes = np.diff(np.concatenate((first_class, [len(in_class)])))
-    lonely = np.zeros(len(in_group), bool)  # the group has a span that occurs once
-    np.logical_or.at(lonely, group_of[new_class], in_class == 1)
+    large = (np.diff(np.concatenate((first_class, [len(in_class)]))) > group)[group_of]
     again = (in_class > 1)[class_of]
-    ask = (classes > 1)[group_of] & lonely[group_of] & new_class
-    large = (classes > group)[group_of]
-    code = np.where(in_group[group_of] < 2, 0, np.where(ask, np.where(large, np.where(again, COVERED_WINDOWS, WINDOWS), np.where(again, COVERED_COMPARE, COMPARE)), np.where(again, COVERED, 0)))
+    code = np.where(in_group[group_of] < 2, 0, np.where(large, np.where(again, np.where(new_class, AGAIN_WINDOWS, AGAIN), WINDOWS), COMPARE))
     back = np.zeros(len(order), np.uint8)
     back[order] = code
     out: list[bytes | None] = []
@@ -200,10 +207,17 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
                 yield n, r, members[a : b + 1]
 
 
+# What a block sends of the spans it compares: gram hash, bytes before the anchor, length, bytes, whether the block has it
+# more than once, whether it is compared with its like alone; of the windows two hashes, ordinal of the anchor, step.
+_SENT = (np.uint64, np.int32, np.int32, np.uint8, np.bool_, np.bool_, np.uint64, np.uint64, np.uint32, np.uint16)
+# What comes back: places in the payload, from, to and repeat of the ranges of spans; ordinal and step of windows.
+_BACK = (np.uint32, np.int32, np.int32, np.uint64, np.uint32, np.uint16)
+
+
 def compare(payloads: list[bytes], span: int) -> list[bytes | None]:
-    """Step 2 in one bucket: covered byte ranges of spans, as (places in the payload, from, to); of windows, as (ordinal, window)."""
-    parts = [_unpack(x, np.uint64, np.int32, np.int32, np.uint8, np.uint64, np.uint32, np.uint16) for x in payloads]
-    found: list[list[list[int]]] = [[[], [], []] for _ in parts]
+    """Step 2 in one bucket: covered byte ranges of spans, and windows that occur again."""
+    parts = [_unpack(x, *_SENT) for x in payloads]
+    found: list[list[list[int]]] = [[[], [], [], []] for _ in parts]
     gram = np.concatenate([p[0] for p in parts])
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     inner = np.concatenate([np.arange(len(p[0])) for p in parts])
@@ -212,76 +226,148 @@ def compare(payloads: list[bytes], span: int) -> list[bytes | None]:
     order = np.argsort(gram, kind="stable")
     edges = np.flatnonzero(np.concatenate(([True], gram[order][1:] != gram[order][:-1], [True]))) if len(order) else []
     for a, b in zip(edges, edges[1:], strict=False):
-        if b - a < 2:
-            continue
-        where = [(int(owner[x]), int(inner[x])) for x in order[a:b]]
-        before = [int(parts[p][1][k]) for p, k in where]
-        spans = [raw[p][int(ends[p][k]) - int(parts[p][2][k]) : int(ends[p][k])] for p, k in where]
-        for n, r, members in maximal_repeats([s[:m][::-1] for s, m in zip(spans, before, strict=True)], [s[m:] for s, m in zip(spans, before, strict=True)], span):
-            for x in members:
-                p, k = where[x]
-                for list_, value in zip(found[p], (k, before[x] - n, before[x] + r), strict=True):
+        classes: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        twice: set[tuple[int, bytes]] = set()
+        alone = False
+        for x in order[a:b]:
+            p, k = int(owner[x]), int(inner[x])
+            same = int(parts[p][1][k]), raw[p][int(ends[p][k]) - int(parts[p][2][k]) : int(ends[p][k])]
+            classes.setdefault(same, []).append((p, k))
+            if parts[p][4][k]:
+                twice.add(same)
+            alone = alone or bool(parts[p][5][k])
+
+        def report(same: tuple[int, bytes], n: int, r: int) -> None:
+            """The bytes from n before the anchor to r from it on, in all places of a class."""
+            before, data = same
+            repeat = xxhash.xxh64_intdigest(data[before - n : before + r])
+            for p, k in classes[same]:
+                for list_, value in zip(found[p], (k, before - n, before + r, repeat), strict=True):
                     list_.append(value)
-    windows = np.concatenate([p[4] for p in parts])
-    _, back, count = np.unique(windows, return_inverse=True, return_counts=True)
-    again = np.split((count[back] > 1) if len(windows) else np.zeros(0, bool), np.cumsum([len(p[4]) for p in parts])[:-1])
+
+        distinct = list(classes)
+        for same in distinct:
+            if len(classes[same]) > 1 or same in twice:
+                report(same, same[0], len(same[1]) - same[0])
+        if len(distinct) > 1 and not alone:
+            for n, r, members in maximal_repeats([d[:m][::-1] for m, d in distinct], [d[m:] for m, d in distinct], span):
+                for x in members:
+                    report(distinct[x], n, r)
+    first, second = (np.concatenate([p[k] for p in parts]) for k in (6, 7))
+    by = np.lexsort((second, first))
+    equal = (first[by][1:] == first[by][:-1]) & (second[by][1:] == second[by][:-1])
+    hit = np.zeros(len(first), bool)
+    hit[by[1:]] |= equal
+    hit[by[:-1]] |= equal
     out: list[bytes | None] = []
-    for p, f, w in zip(parts, found, again, strict=True):
+    for p, f, w in zip(parts, found, np.split(hit, np.cumsum([len(p[6]) for p in parts])[:-1]), strict=True):
         if f[0] or w.any():
-            out.append(_pack(np.array(f[0], np.uint32), np.array(f[1], np.int32), np.array(f[2], np.int32), p[5][w], p[6][w]))
+            out.append(_pack(*(np.array(x, kind) for x, kind in zip(f, _BACK, strict=False)), p[8][w], p[9][w]))
         else:
             out.append(None)
     return out
 
 
-def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, removed (start and end of each removed run, flat)."""
-    blocks = blocked(docs, key, text)
-    kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    buckets = bucket_count(blocks)
+class _Search:
+    """The two questions of the blocks, and what their answers mean for a block."""
 
-    def anchors_of(row: dict) -> tuple[np.ndarray, np.ndarray, Anchors]:
+    def __init__(self, docs: DataFrame, key: str, text: str, span: int, gram: int, group: int):
+        self.blocks = blocked(docs, key, text)
+        self.kind = self.blocks.schema["keys"].dataType.elementType.simpleString()
+        self.span, self.gram, self.buckets = span, gram, bucket_count(self.blocks, BUCKET_BYTES)
+        own = _Anchored(span, gram, self.buckets)
+        first = answered(asked(self.blocks, own.ask), lambda p: classify(p, group), "anchors")
+        second = answered(asked(with_answers(self.blocks, [first]), own.ask_again), lambda p: compare(p, span), "spans")
+        self.told = with_answers(self.blocks, [first, second])
+        self.anchored = own
+
+
+class _Anchored:
+    """A block's side of the search; it goes to the executors."""
+
+    def __init__(self, span: int, gram: int, buckets: int):
+        self.span, self.gram, self.buckets = span, gram, buckets
+
+    def anchors(self, row: dict) -> tuple[np.ndarray, np.ndarray, Anchors]:
         data = np.frombuffer(row["data"], np.uint8)
         ends = np.cumsum(np.array(row["lengths"], np.int64))
-        return data, ends, Anchors(data, ends, span, gram)
+        return data, ends, Anchors(data, ends, self.span, self.gram)
 
-    def ask(row: dict) -> Iterator[tuple[int, bytes]]:
-        _, _, x = anchors_of(row)
-        for b, places in split(bucket_of(x.gram_hash, buckets), buckets):
+    def ask(self, row: dict) -> Iterator[tuple[int, bytes]]:
+        _, _, x = self.anchors(row)
+        for b, places in split(bucket_of(x.gram_hash, self.buckets), self.buckets):
             yield b, _pack(x.gram_hash[places], x.span_hash[places])
 
-    def codes_of(row: dict, x: Anchors) -> np.ndarray:
+    def codes(self, row: dict, x: Anchors) -> np.ndarray:
         """The codes of step 1, by anchor."""
         code = np.zeros(len(x.place), np.uint8)
         if first := of_step(row, 0):
-            by = dict(split(bucket_of(x.gram_hash, buckets), buckets))
+            by = dict(split(bucket_of(x.gram_hash, self.buckets), self.buckets))
             for a in first:
                 hit, codes = _unpack(a["payload"], np.uint32, np.uint8)
                 code[by[a["bucket"]][hit]] = codes
         return code
 
-    def parted(code: np.ndarray, x: Anchors) -> tuple[dict[int, np.ndarray], np.ndarray]:
-        """Anchors whose spans are compared, by bucket, and those whose windows are."""
-        spans = np.flatnonzero((code == COMPARE) | (code == COVERED_COMPARE))
-        by = {b: spans[p] for b, p in split(bucket_of(x.gram_hash[spans], buckets), buckets)}
-        return by, np.flatnonzero(code >= WINDOWS)
-
-    def ask_again(row: dict) -> Iterator[tuple[int, bytes]]:
+    def sent(self, code: np.ndarray, x: Anchors) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The anchors whose spans go out, by bucket; for every anchor the one that goes out for it, and whether there are more; those whose windows go out."""
+        spans = np.flatnonzero((code > 0) & (code != WINDOWS))
+        for_, more = np.arange(len(code)), np.zeros(len(code), bool)
+        seen: dict[bytes, int] = {}
+        data, first, last = x.data, x.first.tolist(), x.last.tolist()
+        place = x.place.tolist()
+        for i in spans.tolist():
+            same = data[first[i] : last[i] + self.span].tobytes() + (place[i] - first[i]).to_bytes(4, "little")
+            k = seen.setdefault(same, i)
+            if k != i:
+                for_[i] = k
+                more[k] = True
+        out = spans[for_[spans] == spans]
+        by = {b: out[p] for b, p in split(bucket_of(x.gram_hash[out], self.buckets), self.buckets)}
+        return by, for_, more, np.flatnonzero((code == WINDOWS) | (code == AGAIN_WINDOWS))
+
+    def ask_again(self, row: dict) -> Iterator[tuple[int, bytes]]:
         if not of_step(row, 0):
             return
-        data, _, x = anchors_of(row)
-        by, alone = parted(codes_of(row, x), x)
+        data, _, x = self.anchors(row)
+        code = self.codes(row, x)
+        by, _, more, alone = self.sent(code, x)
         counts = x.last[alone] - x.first[alone] + 1
         ordinal = np.repeat(alone, counts)
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         start = x.first[ordinal] + step
-        hashes = x.hashes.of(start, start + span) if len(start) else np.zeros(0, np.uint64)
-        windows = dict(split(bucket_of(hashes, buckets), buckets))
+        none = np.zeros(0, np.uint64)
+        first, second = (x.hashes.of(start, start + self.span), Hashes(data, 1).of(start, start + self.span)) if len(start) else (none, none)
+        windows = dict(split(bucket_of(first, self.buckets), self.buckets))
         none = np.zeros(0, np.int64)
         for b in sorted({*by, *windows}):
             a, w = by.get(b, none), windows.get(b, none)
-            pieces = [data[i:j] for i, j in zip(x.first[a].tolist(), (x.last[a] + span).tolist(), strict=True)]
-            yield b, _pack(x.gram_hash[a], (x.place[a] - x.first[a]).astype(np.int32), np.array([len(p) for p in pieces], np.int32), np.concatenate(pieces) if pieces else np.zeros(0, np.uint8), hashes[w], ordinal[w].astype(np.uint32), step[w].astype(np.uint16))
+            pieces = [data[i:j] for i, j in zip(x.first[a].tolist(), (x.last[a] + self.span).tolist(), strict=True)]
+            columns = x.gram_hash[a], x.place[a] - x.first[a], [len(p) for p in pieces], np.concatenate(pieces) if pieces else none, more[a], code[a] != COMPARE, first[w], second[w], ordinal[w], step[w]
+            yield b, _pack(*(np.asarray(v, kind) for v, kind in zip(columns, _SENT, strict=True)))
+
+    def ranges(self, row: dict, x: Anchors) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(from, to, repeat) of the block's byte ranges that are repeats; repeat 0: a window of a large group."""
+        if not of_step(row, 0):
+            return
+        by, for_, _, _ = self.sent(self.codes(row, x), x)
+        like = np.argsort(for_, kind="stable")
+        edges = np.searchsorted(for_[like], np.arange(len(for_) + 1))
+        for a in of_step(row, 1):
+            places, begin, end, repeat, ordinal, step = _unpack(a["payload"], *_BACK)
+            if len(places):
+                rep = by[a["bucket"]][places]
+                times = edges[rep + 1] - edges[rep]
+                which = np.repeat(np.arange(len(rep)), times)
+                at = x.first[like[np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(edges[rep], times)]]
+                yield at + begin[which], at + end[which], repeat[which]
+            at = x.first[ordinal] + step
+            yield at, at + self.span, np.zeros(len(at), np.uint64)
+
+
+def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256, removed (start and end of each removed run, flat)."""
+    search = _Search(docs, key, text, span, gram, group)
+    own = search.anchored
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,22 +376,10 @@ def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
                 data = np.frombuffer(row["data"], np.uint8)
                 ends = np.cumsum(np.array(row["lengths"], np.int64))
                 change = np.zeros(len(data) + 1, np.int64)
-                if of_step(row, 0):
-                    x = Anchors(data, ends, span, gram)
-                    code = codes_of(row, x)
-                    whole = np.flatnonzero((code == COVERED) | (code == COVERED_COMPARE) | (code == COVERED_WINDOWS))
-                    np.add.at(change, x.first[whole], 1)
-                    np.add.at(change, x.last[whole] + span, -1)
-                    by, _ = parted(code, x)
-                    for a in of_step(row, 1):
-                        places, begin, end, ordinal, step = _unpack(a["payload"], np.uint32, np.int32, np.int32, np.uint32, np.uint16)
-                        if len(places):
-                            at = x.first[by[a["bucket"]][places]]
-                            np.add.at(change, at + begin, 1)
-                            np.add.at(change, at + end, -1)
-                        at = x.first[ordinal] + step
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + span, -1)
+                if of_step(row, 1):
+                    for begin, end, _ in own.ranges(row, Anchors(data, ends, span, gram)):
+                        np.add.at(change, begin, 1)
+                        np.add.at(change, end, -1)
                 gone = np.cumsum(change)[:-1] > 0
                 out: list[list] = [[], [], [], [], []]
                 start = 0
@@ -318,7 +392,30 @@ def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
                 n, removed, spans, sha, runs = out
                 yield batch_of({"k": (column(batch, "keys")[i].values, None), "n_bytes": (n, pa.int64()), "n_removed": (removed, pa.int64()), "n_spans": (spans, pa.int64()), "kept_sha256": (sha, pa.string()), "removed": (runs, pa.list_(pa.int64()))})
 
-    first = answered(asked(blocks, ask), lambda p: classify(p, group), "anchors")
-    second = answered(asked(with_answers(blocks, [first]), ask_again), lambda p: compare(p, span), "spans")
-    out = with_answers(blocks, [first, second]).mapInArrow(finish, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<bigint>")
+    out = search.told.mapInArrow(finish, f"k {search.kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<bigint>")
+    return out.withColumnRenamed("k", key)
+
+
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """repeat, key, start, length: every occurrence (bytes of the text) of every maximal repeat, and of every span that recurs whole, by the repeat's hash.
+
+    Repeats at anchors with more than `group` distinct spans aren't listed.
+    """
+    search = _Search(docs, key, text, span, gram, group)
+    own = search.anchored
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: column(batch, n)[i].as_py() for n in batch.schema.names if n != "keys"}
+                if not of_step(row, 1):
+                    continue
+                _, ends, x = own.anchors(row)
+                found = [np.concatenate(v) for v in zip(*own.ranges(row, x), strict=True)]
+                begin, end, repeat = (v[found[2] != 0] for v in found)
+                doc = np.searchsorted(ends, begin, side="right")
+                start = begin - np.concatenate(([0], ends))[doc]
+                yield batch_of({"repeat": (repeat.view(np.int64), pa.int64()), "k": (column(batch, "keys")[i].values.take(pa.array(doc)), None), "start": (start, pa.int64()), "length": (end - begin, pa.int64())})
+
+    out = search.told.mapInArrow(listed, f"repeat long, k {search.kind}, start long, length long").distinct()
     return out.withColumnRenamed("k", key)

@@ -54,11 +54,47 @@ def corpus(seed, n=60):
     return texts + texts[12:15] * 2
 
 
-@pytest.mark.parametrize("group", [64, 2])
+@pytest.mark.parametrize("group", [256, 2])
 def test_equals_brute_force(spark, group):
     check(spark, corpus(group), 200, 50, group)
 
 
+def test_groups_hold_every_occurrence(spark):
+    texts = corpus(3, 30)
+    data = [(t or "").encode() for t in texts]
+    rows = suffix_dedup.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.repeat, []).append((r.doc_id, r.start, r.length))
+    for places in groups.values():
+        assert len(places) > 1 and len({data[d][a : a + n] for d, a, n in places}) == 1 and places[0][2] >= 200
+        found = data[places[0][0]][places[0][1] : places[0][1] + places[0][2]]
+        every = {(d, a) for d, x in enumerate(data) for a in range(len(x) - len(found) + 1) if x.startswith(found, a)}
+        assert {(d, a) for d, a, _ in places} <= every
+    masks = [np.zeros(len(x), bool) for x in data]
+    for r in rows:
+        masks[r.doc_id][r.start : r.start + r.length] = True
+    assert [int(m.sum()) for m in masks] == [removed for _, removed, _, _ in brute(texts, 200)]
+
+
+def test_maximal_repeats_come_out_once():
+    """Against all pairs: what two texts share around the anchor, and can't share more of."""
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        left = ["".join(rng.choice(list("ab"), int(rng.integers(0, 6)))) for _ in range(7)]
+        right = ["".join(rng.choice(list("ab"), int(rng.integers(1, 6)))) for _ in range(7)]
+        spans = list({(a, b) for a, b in zip(left, right, strict=True)})
+        got = [(n, r, tuple(sorted(m))) for n, r, m in suffix_dedup.maximal_repeats([a.encode() for a, _ in spans], [b.encode() for _, b in spans], 2)]
+        common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        want = set()
+        for i, (a, b) in enumerate(spans):
+            for c, d in spans[:i]:
+                n, r = common(a, c), common(b, d)
+                if r and n + r >= 2:
+                    want.add((n, r, tuple(k for k, (x, y) in enumerate(spans) if x.startswith(a[:n]) and y.startswith(b[:r]))))
+        assert len(got) == len(set(got)) and want <= set(got)
+
+
 def test_small_spans(spark):
     rng = np.random.default_rng(9)
     texts = ["".join(rng.choice(["a", "b", "c"], int(rng.integers(0, 60)))) for _ in range(120)]
