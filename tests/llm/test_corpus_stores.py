@@ -16,44 +16,57 @@ from streamloom.llm.queries import tokenizer_path
 # back-off scores ----------------------------------------------------------------------------
 
 
-def plain_scores(texts, order=3, least=2):
-    docs = [decontaminate.words((t or "").encode()) for t in texts]
+def plain_scores(texts, corpus, order=3, backoff=0.4):
     count = {}
-    for w in docs:
+    held = [decontaminate.words((t or "").encode()) for t in corpus]
+    for w in held:
         for n in range(1, order + 1):
             for i in range(len(w) - n + 1):
                 g = tuple(w[i : i + n])
                 count[g] = count.get(g, 0) + 1
-    total = sum(map(len, docs))
+    log = lambda x: round(math.log10(x) * 1e6)
+    total = log(max(1, sum(map(len, held))))
     out = []
-    for w in docs:
+    for t in texts:
+        w = decontaminate.words((t or "").encode())
         micro = 0
         for i in range(len(w)):
             longest = min(order, i + 1)
-            for n in range(longest, 0, -1):
+            for n in range(longest, -1, -1):
                 g = tuple(w[i - n + 1 : i + 1])
-                if n == 1 or count[g] >= least:
-                    ratio = math.log10(count[g]) - math.log10(total if n == 1 else count[g[:-1]])
-                    micro += round((ratio + (longest - n) * math.log10(0.4)) * 1e6)
+                if n == 0:
+                    micro += (longest - 1) * log(backoff) - total
+                elif g in count:
+                    micro += log(count[g]) - (total if n == 1 else log(count[g[:-1]])) + (longest - n) * log(backoff)
                     break
         out.append((len(w), micro))
     return out
 
 
+def some_texts(seed, n):
+    rng = np.random.default_rng(seed)
+    return [None, "", ".,;", "One one ÖNE", f"solitary{seed}"] + [" ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(1, 80))) % 60) for _ in range(n)] + ["w1 w2 w3 w4 w5 w6"] * 40
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_scores(spark, order):
-    rng = np.random.default_rng(order)
-    texts = [None, "", ".,;", "One one ÖNE", "solitary"] + [" ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(1, 80))) % 60) for _ in range(90)] + ["w1 w2 w3 w4 w5 w6"] * 40
-    frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, g1 int").repartition(3)
-    got = {r.doc_id: r for r in backoff.score(frame, order=order, block_bytes=700).collect()}
-    assert len(got) == len(texts)
-    for i, (n, micro) in enumerate(plain_scores(texts, order)):
-        assert got[i].n_words == n
-        assert abs(got[i].score * 1e6 - micro) <= 0.5
-        assert (got[i].mean is None) if n == 0 else abs(got[i].mean - got[i].score / n) < 1e-12
+def test_scores(spark, order, monkeypatch):
+    monkeypatch.setattr(backoff, "HOT", 20)  # so that some counts are broadcast and some are not
+    texts = some_texts(order, 90)
+    frame = spark.createDataFrame([(i // 2 * 2 if i > 6 else i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, gram int").repartition(3)
+    got = sorted((r.doc_id, r.n_words, round(r.score * 1e6), r["mean"] is None or abs(r["mean"] - r.score / r.n_words) < 1e-9) for r in backoff.score(frame, order=order).collect())
+    assert got == sorted((i // 2 * 2 if i > 6 else i, n, micro, True) for i, (n, micro) in enumerate(plain_scores(texts, texts, order)))
     assert backoff.score(frame.limit(0)).count() == 0
 
 
+def test_scores_against_another_corpus_back_off(spark, monkeypatch):
+    monkeypatch.setattr(backoff, "HOT", 20)
+    texts, corpus = some_texts(1, 30), some_texts(9, 20)
+    told, held = (spark.createDataFrame(list(enumerate(t)), "doc_id long, text string") for t in (texts, corpus))
+    got = {r.doc_id: (r.n_words, round(r.score * 1e6)) for r in backoff.score(told, corpus=held).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_scores(texts, corpus)
+    assert [round(r.score * 1e6) for r in backoff.score(told, corpus=held.limit(0)).orderBy("doc_id").collect()] == [m for _, m in plain_scores(texts, [])]
+
+
 def test_scores_in_sql(spark):
     import duckdb
 
@@ -110,6 +123,41 @@ def test_only_one_writer_commits(spark):
     assert store.version() == 2 and store.read().count() == 1
 
 
+def test_a_commit_is_whole_or_nothing(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    store = store_of(spark, frame)
+    store.append(frame)
+    fs, draft = store._fs(f"{store.root}/commits/.draft-of-a-writer-that-died")
+    fs.create(draft, False).close()
+    assert store.version() == 1 and store.read().count() == 1  # a draft is no version
+    for v in (2, 3, 4):
+        assert store.append(frame) == v
+    assert store.read(2).count() == 2
+    store.expire()
+    named = [x.getPath().getName() for x in fs.listStatus(store._fs(f"{store.root}/commits")[1])]
+    assert [n for n in named if n.isdigit()] == ["00000000000000000004"]
+    assert len(fs.listStatus(store._fs(f"{store.root}/manifests")[1])) == 1 and store.read().count() == 4
+
+
+def test_two_writers_lose_nothing(spark):
+    frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    store = store_of(spark, frame)
+    base, shards = store.version(), store._written(frame)
+    store.append(frame)  # another writer, in between
+    with pytest.raises(sharding.VersionTaken):
+        store._commit(base, store.manifest(base).unionByName(shards))
+    assert store.read().count() == 1 and store.version() == 1
+
+
+def test_ingest_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(i if i % 5 else None, f"t{i}", -1, "p") for i in range(40)], "doc_id long, text string, arrival int, part string")
+    store = sharding.ingest(frame, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    got = store.read()
+    assert got.columns == ["doc_id", "text", "arrival", "part", "arrival_"]
+    assert sorted(map(str, got.drop("arrival_").collect())) == sorted(map(str, frame.collect()))
+    assert sharding.ingest(frame.limit(0), f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").read().count() == 0
+
+
 # pipeline -----------------------------------------------------------------------------------
 
 
