@@ -44,8 +44,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a temporary one where it names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streamloom-")
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; where it names none, a temporary one of a local session."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="streamloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -86,6 +90,21 @@ def replay_step(spark, d):
     return replay.merged(_filtered(spark, d)).offset(5).limit(1).select("topic_id", "partition_id", "ingestion_sequence")
 
 
+class _Shy(replay.Publisher):
+    """Takes everything but one kind of message, at which it fails."""
+
+    def publish(self, request: dict) -> None:
+        if request["source_sequence"] % 97 == 96:
+            raise replay.ReplayError("refused")
+
+
+@query(f"""{v.RECORDS},
+due AS (SELECT *, row_number() OVER w AS n, min(CASE WHEN source_sequence % 97 = 96 THEN ingestion_sequence END) OVER (PARTITION BY topic_id, partition_id) AS stop FROM record JOIN topic USING (topic_id) WHERE flags & 1 = 0 WINDOW w AS (PARTITION BY topic_id, partition_id ORDER BY ingestion_sequence))
+SELECT topic_id, partition_id, count(CASE WHEN ingestion_sequence < coalesce(stop, ingestion_sequence + 1) THEN 1 END) AS published, max(CASE WHEN ingestion_sequence < coalesce(stop, ingestion_sequence + 1) THEN ingestion_sequence END) AS last_published, any_value(stop) AS failed_at, CASE WHEN any_value(stop) IS NOT NULL THEN 'ReplayError: refused' END AS error FROM due GROUP BY topic_id, partition_id""")
+def replay_publish(spark, d):
+    return replay.publish(replay.metadata(v.record(spark, d), v.topic(spark), "session-1"), _Shy)
+
+
 @query("SELECT topic FROM (VALUES ('9'), ('nope')) t(topic)")
 def replay_unknown_topics(spark, d):
     return replay.unknown_topics(v.topic(spark), [1, 9], ["view", "nope"])
@@ -314,14 +333,19 @@ def orphan_segments(spark, d):
     return storage.orphans(*_disk(spark, d)).select("path", "size_bytes")
 
 
-@query(f"""{DISK},
-low AS (SELECT * FROM disk WHERE segment_id < 3), ends AS (SELECT topic_id, partition_id, max(last_sequence) AS e FROM low GROUP BY ALL)
-SELECT d.path, d.topic_id, d.partition_id, CASE WHEN l.path IS NOT NULL AND d.segment_id % 4 <> 1 THEN 'keep' WHEN l.path IS NOT NULL THEN 'repair_tail'
-  WHEN d.segment_id % 4 <> 1 AND d.first_sequence = coalesce(e, 0) + 1 THEN 'adopt' ELSE 'quarantine' END AS action
-FROM disk d LEFT JOIN low l ON l.path = d.path LEFT JOIN ends ON ends.topic_id = d.topic_id AND ends.partition_id = d.partition_id""")
+@query(f"""{DISK.replace("WITH", "WITH RECURSIVE", 1)},
+file AS (SELECT *, segment_id < 2 AS known, segment_id % 4 <> 1 AS sealed, (topic_id + segment_id) % 9 <> 4 AS readable FROM disk WHERE (topic_id * 3 + segment_id) % 11 <> 7),
+turn AS (SELECT *, row_number() OVER (PARTITION BY topic_id, partition_id ORDER BY NOT known, segment_id) AS n FROM file),
+walk AS (SELECT topic_id, partition_id, 0::BIGINT AS n, 0::BIGINT AS id, 0::BIGINT AS done, NULL::VARCHAR AS path, NULL::VARCHAR AS action FROM turn WHERE n = 1
+  UNION ALL SELECT topic_id, partition_id, n, CASE WHEN fits THEN greatest(id, segment_id) ELSE id END, CASE WHEN fits THEN greatest(done, last_sequence) ELSE done END, path,
+    CASE WHEN NOT fits THEN 'quarantine' WHEN known THEN CASE WHEN sealed THEN 'keep' ELSE 'repair_tail' END WHEN sealed THEN 'adopt' ELSE 'repair_adopt' END
+  FROM (SELECT t.*, w.id, w.done, t.known OR (t.readable AND t.segment_id > w.id AND t.first_sequence = w.done + 1) AS fits FROM walk w JOIN turn t ON t.topic_id = w.topic_id AND t.partition_id = w.partition_id AND t.n = w.n + 1))
+SELECT path, topic_id, partition_id, action FROM walk WHERE path IS NOT NULL""")
 def session_recovery(spark, d):
     disk, _ = _disk(spark, d)
-    return storage.recovery_decisions(disk.withColumn("sealed", F.col("segment_id") % 4 != 1), disk.where("segment_id < 3"))
+    k = F.col("segment_id")
+    files = disk.where((F.col("topic_id") * 3 + k) % 11 != 7).withColumn("sealed", k % 4 != 1).withColumn("readable", (F.col("topic_id") + k) % 9 != 4)
+    return storage.recovery_decisions(files, files.where("segment_id < 2"))
 
 
 MANIFEST = f"""{v.FILES},
@@ -355,12 +379,7 @@ SELECT topic_id, 'zero_id' AS rule FROM t WHERE topic_id = 0 UNION ALL SELECT to
 UNION ALL SELECT topic_id, 'schema_ref_order' FROM t WHERE schema_ref <= previous UNION ALL SELECT topic_id, 'duplicate_digest' FROM t WHERE digests > 1""")
 def recording_manifest_violations(spark, d):
     p = v.table(spark, d, "part").select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 7).alias("schema_ref"), F.col("p_brand").alias("digest"))
-    names = p.groupBy("name").agg(F.count("*").alias("names"))
-    digests = p.groupBy("digest", "schema_ref").agg(F.count("*").alias("digests"))
-    # the row before is the one with the id less one: ids are dense, so no window over all rows is needed
-    before = p.select((F.col("topic_id") + 1).alias("topic_id"), F.col("schema_ref").alias("previous"))
-    t = p.join(names, "name").join(digests, ["digest", "schema_ref"]).join(before, "topic_id", "left")
-    return registry.violations(t, ["topic_id"], {"zero_id": F.col("topic_id") == 0, "duplicate_name": F.col("names") > 1, "schema_ref_order": F.col("schema_ref") <= F.col("previous"), "duplicate_digest": F.col("digests") > 1})
+    return storage.recording_violations(p)
 
 
 @query("""SELECT topic_id, generation, config_version, durable_sequence, behind FROM (SELECT c_custkey AS topic_id, c_custkey % 9 AS generation, c_custkey % 5 AS config_version, c_custkey % 100 AS durable_sequence,
@@ -375,8 +394,8 @@ def manifest_rollbacks(spark, d):
 @query("""SELECT p.partition_id, p.recording_id, s.recording_id AS session_id FROM (SELECT o_orderkey AS partition_id, o_custkey % 5 AS recording_id, o_custkey % 50 AS session FROM orders) p JOIN (SELECT c_custkey AS session, c_custkey % 4 AS recording_id FROM customer) s USING (session) WHERE p.recording_id <> s.recording_id""")
 def session_identity_mismatches(spark, d):
     p = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("partition_id"), (F.col("o_custkey") % 5).alias("recording_id"), (F.col("o_custkey") % 50).alias("session"))
-    s = v.table(spark, d, "customer").select(F.col("c_custkey").alias("session"), (F.col("c_custkey") % 4).alias("session_id"))
-    return p.join(s, "session").where("recording_id <> session_id").select("partition_id", "recording_id", "session_id")
+    s = v.table(spark, d, "customer").select(F.col("c_custkey").alias("session"), (F.col("c_custkey") % 4).alias("recording_id"))
+    return storage.identity_mismatches(p, s)
 
 
 @query("""SELECT l_orderkey, l_linenumber, n::BIGINT AS size, CASE WHEN n <= 64 THEN 64 WHEN n <= 256 THEN 256 WHEN n <= 2048 THEN 2048 WHEN n <= 65536 THEN 65536 END AS slot,
@@ -755,7 +774,7 @@ def reservation_aborts(spark, d):
 
 
 MEMBERS = f"""{v.RECORDS},
-member AS (SELECT c_custkey % 5 + 1 AS topic_id, c_custkey AS subscriber_id, c_custkey * 13 % 700 + 1 AS joined_at, c_custkey * 13 % 700 + 1 + c_custkey % 900 AS left_at FROM customer WHERE c_custkey < 400),
+member AS (SELECT c_custkey % 5 + 1 AS topic_id, c_custkey AS subscriber_id, c_custkey * 13 % 700 + 1 AS joined_at, c_custkey * 13 % 700 + 1 + c_custkey % 900 AS left_at FROM customer),
 message AS (SELECT topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY event_id) AS sequence, flags FROM record)"""
 
 
@@ -766,7 +785,7 @@ def _messages(spark, d):
 
 def _members(spark, d):
     k = F.col("c_custkey")
-    return v.table(spark, d, "customer").where("c_custkey < 400").select((k % 5 + 1).alias("topic_id"), k.alias("subscriber_id"), (k * 13 % 700 + 1).alias("joined_at"), (k * 13 % 700 + 1 + k % 900).alias("left_at"))
+    return v.table(spark, d, "customer").select((k % 5 + 1).alias("topic_id"), k.alias("subscriber_id"), (k * 13 % 700 + 1).alias("joined_at"), (k * 13 % 700 + 1 + k % 900).alias("left_at"))
 
 
 @query(f"{MEMBERS}\nSELECT b.topic_id, subscriber_id, count(m.sequence) AS delivered FROM member b LEFT JOIN message m ON m.topic_id = b.topic_id AND m.sequence >= joined_at AND m.sequence < left_at AND m.flags & 2 = 0 GROUP BY ALL")
@@ -804,13 +823,13 @@ def slab_consistency(spark, d):
     return registry.slab_counts(li, 7)
 
 
-EDGES = "edges AS (SELECT p_partkey AS type, p_partkey // 2 AS dependency FROM part WHERE p_partkey BETWEEN 1 AND 200 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey BETWEEN 3 AND 200 AND p_partkey % 5 = 0)"
+EDGES = "edges AS (SELECT p_partkey AS type, p_partkey // 2 AS dependency FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2 AND p_partkey % 5 = 0)"
 
 
 @query(f"WITH RECURSIVE {EDGES}, c AS (SELECT type, dependency FROM edges UNION SELECT c.type, e.dependency FROM c JOIN edges e ON e.type = c.dependency) SELECT DISTINCT type, dependency FROM c")
 def dependency_closure(spark, d):
     p = v.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
-    edges = p.where("k between 1 and 200").selectExpr("k as type", "k div 2 as dependency").union(p.where("k between 3 and 200 and k % 5 = 0").selectExpr("k", "k div 3"))
+    edges = p.where("k > 0").selectExpr("k as type", "k div 2 as dependency").union(p.where("k > 2 and k % 5 = 0").selectExpr("k", "k div 3"))
     return registry.closure(edges, scratch(spark, "closure"))
 
 
@@ -890,12 +909,15 @@ def expired_frames(spark, d):
 @query("""WITH x AS (SELECT l_orderkey AS message_id, l_linenumber - 1 AS i, l_partkey || ':' AS bytes FROM lineitem),
 o AS (SELECT message_id, i, count(DISTINCT bytes) AS v, min(bytes) AS bytes FROM x GROUP BY ALL),
 g AS (SELECT message_id, max(v) AS v, count(*) AS have, max(i) AS i1, string_agg(bytes, '' ORDER BY i) AS payload FROM o GROUP BY message_id)
-SELECT message_id, CASE WHEN v > 1 OR i1 >= message_id % 5 + 1 THEN 'rejected' WHEN have < message_id % 5 + 1 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN v = 1 AND i1 < message_id % 5 + 1 AND have >= message_id % 5 + 1 THEN payload END AS payload FROM g""")
+SELECT message_id, CASE WHEN v > 1 OR i1 >= message_id % 5 + 1 OR message_id % 13 = 5 AND have > 1 THEN 'rejected' WHEN have < message_id % 5 + 1 THEN 'incomplete' WHEN message_id % 11 = 3 THEN 'corrupt' ELSE 'complete' END AS status,
+  CASE WHEN v = 1 AND i1 < message_id % 5 + 1 AND NOT (message_id % 13 = 5 AND have > 1) AND have >= message_id % 5 + 1 AND message_id % 11 <> 3 THEN payload END AS payload FROM g""")
 def fragment_reassembly(spark, d):
     li = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("message_id"), (F.col("l_linenumber") - 1).alias("index"), F.concat(F.col("l_partkey"), F.lit(":")).cast("binary").alias("bytes"))
     sums = li.groupBy("message_id", "index").agg(F.min("bytes").alias("bytes"))
-    sums = sums.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("index", "bytes"))).alias("p")).select("message_id", F.crc32(F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))).alias("crc"))
-    frames = li.join(sums, "message_id").select(F.lit(1).alias("connection"), F.lit(1).alias("peer"), "message_id", "index", "bytes", (F.col("message_id") % 5 + 1).alias("count"), "crc")
+    sums = sums.groupBy("message_id").agg(F.crc32(delivery.joined(F.array_sort(F.collect_list(F.struct("index", "bytes"))))).alias("crc"))
+    # every eleventh message arrives with another checksum, and of every thirteenth the fragments disagree on it
+    wrong = F.when(F.col("message_id") % 11 == 3, 1).otherwise(0) + F.when((F.col("message_id") % 13 == 5) & (F.col("index") > 0), F.col("index")).otherwise(0)
+    frames = li.join(sums, "message_id").select(F.lit(1).alias("connection"), F.lit(1).alias("peer"), "message_id", "index", "bytes", (F.col("message_id") % 5 + 1).alias("count"), F.col("crc").bitwiseXOR(wrong).alias("crc"))
     return delivery.reassembled(frames).select("message_id", "status", F.col("payload").cast("string").alias("payload"))
 
 
@@ -987,10 +1009,10 @@ def dynamic_fields(spark, d):
     return e.select("event_id", F.col("m").getField("k").alias("k"), F.col("m.k").isNotNull().alias("has_k"), F.element_at(F.array(F.col("m.k"), F.col("event_id") % 5), (F.col("event_id") % 2 + 1).cast("int")).alias("element"))
 
 
-@query("SELECT event_id, e::BIGINT AS element FROM (SELECT event_id, unnest([event_id % 3, event_id % 5, event_id % 7]) AS e FROM events WHERE event_id % 2 = 0)")
+@query("SELECT event_id, e::BIGINT AS element FROM (SELECT event_id, unnest([event_id % 3, event_id % 5, event_id % 7]) AS e FROM events)")
 def vector_elements(spark, d):
     e = F.col("event_id")
-    return v.table(spark, d, "events").where(e % 2 == 0).select("event_id", F.explode(F.array(e % 3, e % 5, e % 7)).alias("element"))
+    return v.table(spark, d, "events").select("event_id", F.explode(F.array(e % 3, e % 5, e % 7)).alias("element"))
 
 
 # as-of, resume, eviction --------------------------------------------------------------------

@@ -48,6 +48,11 @@ def expired(frames: DataFrame, now: int, max_age: int) -> DataFrame:
     return frames.where(now - F.col("enqueued_at") >= max_age)
 
 
+def joined(parts: Column) -> Column:
+    """The bytes of an array of (index, bytes), already in order, in one go."""
+    return F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x["bytes"])), ""))
+
+
 def reassembled(fragments: DataFrame) -> DataFrame:
     """message key, status, payload: fragments joined in order.
 
@@ -55,12 +60,14 @@ def reassembled(fragments: DataFrame) -> DataFrame:
     is missing; corrupt if the whole's CRC-32 differs. Repeats with equal bytes are ignored.
     """
     key = ["connection", "peer", "message_id"]
-    one = fragments.groupBy(*key, "index").agg(F.countDistinct("bytes").alias("_versions"), F.min("bytes").alias("bytes"), F.min("count").alias("_c0"), F.max("count").alias("_c1"), F.min("crc").alias("_k0"), F.max("crc").alias("_k1"))
+    one = fragments.groupBy(*key, "index").agg(F.min("bytes").alias("bytes"), F.max("bytes").alias("_other"), F.min("count").alias("_c0"), F.max("count").alias("_c1"), F.min("crc").alias("_k0"), F.max("crc").alias("_k1"))
     whole = one.groupBy(*key).agg(
-        F.max("_versions").alias("v"), F.min("_c0").alias("c0"), F.max("_c1").alias("c1"), F.min("_k0").alias("k0"), F.max("_k1").alias("k1"),
-        F.count("*").alias("have"), F.min("index").alias("i0"), F.max("index").alias("i1"), F.array_sort(F.collect_list(F.struct("index", "bytes"))).alias("parts"),
+        F.bool_or(F.col("bytes") != F.col("_other")).alias("v"), F.min("_c0").alias("c0"), F.max("_c1").alias("c1"), F.min("_k0").alias("k0"), F.max("_k1").alias("k1"),
+        F.count("*").alias("have"), F.min("index").alias("i0"), F.max("index").alias("i1"), F.collect_list(F.struct("index", "bytes")).alias("parts"),
     )
-    joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
-    bad = (F.col("v") > 1) | (F.col("c0") != F.col("c1")) | (F.col("k0") != F.col("k1")) | (F.col("i0") < 0) | (F.col("i1") >= F.col("c0"))
-    status = F.when(bad, "rejected").when(F.col("have") < F.col("c0"), "incomplete").when(F.crc32(joined) != F.col("k0"), "corrupt").otherwise("complete")
-    return whole.select(*key, status.alias("status"), joined.alias("_p")).select(*key, "status", F.when(F.col("status") == "complete", F.col("_p")).alias("payload"))
+    bad = F.col("v") | (F.col("c0") != F.col("c1")) | (F.col("k0") != F.col("k1")) | (F.col("i0") < 0) | (F.col("i1") >= F.col("c0"))
+    early = F.when(bad, "rejected").when(F.col("have") < F.col("c0"), "incomplete")
+    # only messages that have all their fragments are put together
+    whole = whole.select(*key, "k0", early.alias("early"), F.when(early.isNull(), joined(F.array_sort("parts"))).alias("_p"))
+    status = F.coalesce("early", F.when(F.crc32("_p") != F.col("k0"), "corrupt").otherwise("complete"))
+    return whole.select(*key, status.alias("status"), F.when(status == "complete", F.col("_p")).alias("payload"))

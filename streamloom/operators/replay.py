@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamloom.plans.machines import machines
+
 GAP, TOMBSTONE = 1, 2
 
 #: The merge compares heads by these, in this order.
@@ -142,3 +144,46 @@ def authorise(namespace: str, live: bool, allowed: bool) -> str:
     if live and not allowed:
         raise ReplayError("replay into a live namespace needs explicit authorisation")
     return namespace
+
+
+class Publisher:
+    """What a replay hands its messages to; one is made for each task that publishes."""
+
+    def publish(self, request: dict) -> None:
+        """Takes one message: what metadata gives, and whatever columns came with it. Raising ends the replay of its partition."""
+        raise NotImplementedError
+
+
+def publish(requests: DataFrame, publisher: Callable[[], Publisher]) -> DataFrame:
+    """Hands every request to a publisher, in the order of its topic's partition.
+
+    topic_id, partition_id, published, last_published, failed_at and error of each partition. Gaps are never handed on.
+    A partition ends at the first message that its publisher refuses; the others go on. Running the result again
+    publishes again, so write it rather than look at it twice.
+    """
+
+    def start():
+        done = {"published": 0, "last": None}
+        to = None
+
+        def feed(x):
+            nonlocal to
+            if x["_end"]:
+                return [(x["topic_id"], x["partition_id"], done["published"], done["last"], done.get("failed"), done.get("error"))]
+            if "error" in done:
+                return []
+            try:
+                to = to or publisher()
+                to.publish({k: v for k, v in x.items() if not k.startswith("_")})
+                done["published"], done["last"] = done["published"] + 1, x["ingestion_sequence"]
+            except Exception as e:
+                done["failed"], done["error"] = x["ingestion_sequence"], f"{type(e).__name__}: {e}"
+            return []
+
+        return feed
+
+    due = requests.where(F.col("flags").bitwiseAND(GAP) == 0).withColumn("_end", F.lit(False)).withColumn("_turn", F.struct("_end", "ingestion_sequence"))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in requests.schema if f.name not in ("topic_id", "partition_id")]
+    ends = due.select("topic_id", "partition_id").distinct().select("topic_id", "partition_id", *rest).select(*requests.columns, F.lit(True).alias("_end")).withColumn("_turn", F.struct("_end", "ingestion_sequence"))
+    schema = "topic_id long, partition_id long, published long, last_published long, failed_at long, error string"
+    return machines(due.union(ends), ["topic_id", "partition_id"], "_turn", start, schema)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamloom.plans.machines import machines
 from streamloom.plans.running import running
+from streamloom.plans.simulate import RecoveryChain
 
 CREATING, OPEN, SEALED, INDEXED, RETAINED, DELETED = range(1, 7)
 AGE, BYTES, COUNT, ARCHIVED = 1, 2, 4, 8
@@ -95,14 +97,22 @@ def orphans(on_disk: DataFrame, tracked: DataFrame, key: str = "path") -> DataFr
 
 
 def recovery_decisions(on_disk: DataFrame, tracked: DataFrame) -> DataFrame:
-    """action for each file: keep if tracked and sealed, repair_tail if tracked and not, adopt if an untracked sealed file
-    begins right after what the partition has, else quarantine."""
-    ends = tracked.groupBy("topic_id", "partition_id").agg(F.max("last_sequence").alias("_end"))
-    known = tracked.select("path", F.lit(True).alias("_known"))
-    all_ = on_disk.join(known, "path", "left").join(ends, ["topic_id", "partition_id"], "left")
-    fits = F.col("sealed") & (F.col("first_sequence") == F.coalesce("_end", F.lit(0)) + 1)
-    action = F.when(F.col("_known") & F.col("sealed"), "keep").when(F.col("_known"), "repair_tail").when(fits, "adopt").otherwise("quarantine")
-    return all_.select("path", "topic_id", "partition_id", action.alias("action"))
+    """path, topic_id, partition_id and action of each file, as simulate.RecoveryChain decides in its partition's order.
+
+    on_disk: path, topic_id, partition_id, segment_id, first_sequence, last_sequence (of the last complete record), sealed,
+    and readable if some files aren't.
+    """
+    known = tracked.select("path", F.lit(True).alias("known"))
+    files = on_disk if "readable" in on_disk.columns else on_disk.withColumn("readable", F.lit(True))
+    # tracked files come before untracked ones of any id
+    files = files.join(known, "path", "left").select("topic_id", "partition_id", "path", "segment_id", "first_sequence", "last_sequence", F.coalesce("known", F.lit(False)).alias("known"), "sealed", "readable")
+    turned = files.withColumn("turn", F.concat(F.when(F.col("known"), "0").otherwise("1"), F.lpad(F.col("segment_id").cast("string"), 20, "0"), F.col("path")))
+
+    def start():
+        chain = RecoveryChain()
+        return lambda x: [(x["path"], x["topic_id"], x["partition_id"], chain.offer(x["segment_id"], x["first_sequence"], x["last_sequence"], x["known"], x["sealed"], x["readable"]))]
+
+    return machines(turned, ["topic_id", "partition_id"], "turn", start, "path string, topic_id long, partition_id long, action string")
 
 
 def manifest_violations(manifest: DataFrame) -> DataFrame:
@@ -124,6 +134,24 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
     return m.select("topic_id", "partition_id", "segment_id", F.explode(broken).alias("rule"))
 
 
+def recording_violations(topics: DataFrame) -> DataFrame:
+    """(topic_id, rule) for every broken rule of a recording's list of topics: topic_id, name, schema_ref, digest; refs rise with the ids."""
+    one = topics.withColumn("_one", F.lit(1))
+    before = running(one.where("topic_id is not null"), ["_one"], "topic_id", {"_before": ("max", F.struct("topic_id", F.col("schema_ref").alias("ref")), False)})
+    names = topics.groupBy("name").agg(F.count("*").alias("_names"))
+    digests = topics.groupBy("digest", "schema_ref").agg(F.count("*").alias("_digests"))
+    t = before.join(names, "name").join(digests, ["digest", "schema_ref"])
+    rules = {"zero_id": F.col("topic_id") == 0, "duplicate_name": F.col("_names") > 1, "schema_ref_order": F.col("schema_ref") <= F.col("_before.ref"), "duplicate_digest": F.col("_digests") > 1}
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
+    return t.select("topic_id", F.explode(broken).alias("rule"))
+
+
+def identity_mismatches(parts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """partition_id, recording_id and session_id of the partitions (with their session) that name another recording than their session does."""
+    named = sessions.select("session", F.col("recording_id").alias("session_id"))
+    return parts.join(named, "session").where("recording_id <> session_id").select("partition_id", "recording_id", "session_id")
+
+
 def rollbacks(manifests: DataFrame, minimum: DataFrame) -> DataFrame:
     """Manifests whose generation, config or durable sequence is below the least that their owner has seen."""
     cols = ("generation", "config_version", "durable_sequence")

@@ -120,6 +120,7 @@ class DedupWindow:
     max_age: int = 60_000_000_000
     epoch: int = 1
     sources: OrderedDict = field(default_factory=OrderedDict)
+    clock: int = 0
 
     def offer(self, epoch: int, source, sequence: int, now: int) -> tuple[str, int | None]:
         """(decision, highest contiguous sequence), committing what is accepted."""
@@ -127,8 +128,9 @@ class DedupWindow:
             return "stale_session", None
         if sequence <= 0:
             return "invalid", None
-        for old in [s for s, (_, _, at) in self.sources.items() if now - at >= self.max_age]:
-            del self.sources[old]
+        now = self.clock = max(self.clock, now)  # time doesn't go back
+        while self.sources and now - next(iter(self.sources.values()))[2] >= self.max_age:  # the least recently heard is first
+            self.sources.popitem(last=False)
         highest, beyond, _ = self.sources.get(source, (0, set(), now))
         if sequence <= highest:
             decision = "duplicate" if highest - sequence < self.distance else "nack"
@@ -140,16 +142,65 @@ class DedupWindow:
             decision = "accept"
         if decision == "accept":
             if source not in self.sources and len(self.sources) >= self.max_sources:
-                del self.sources[min(self.sources, key=lambda s: self.sources[s][2])]
-            beyond = beyond | {sequence}
+                self.sources.popitem(last=False)
+            beyond.add(sequence)
             while highest + 1 in beyond:
                 highest += 1
                 beyond.discard(highest)
         if decision == "accept" or source in self.sources:
             self.sources[source] = (highest, beyond, now)
+            self.sources.move_to_end(source)
         return decision, highest
 
 
+@dataclass
+class ReceiptTable:
+    """Outstanding receipts under a limit for the table and one for each publisher."""
+
+    max_outstanding: int = 65536
+    max_per_publisher: int = 1024
+    owners: dict[int, int] = field(default_factory=dict)
+    held: dict[int, int] = field(default_factory=dict)
+
+    def reserve(self, receipt: int, publisher: int) -> str:
+        """admitted, or which limit refuses; the table's own comes first."""
+        if len(self.owners) >= self.max_outstanding:
+            return "rejected_table"
+        if self.held.get(publisher, 0) >= self.max_per_publisher:
+            return "rejected_publisher"
+        self.owners[receipt] = publisher
+        self.held[publisher] = self.held.get(publisher, 0) + 1
+        return "admitted"
+
+    def complete(self, receipt: int) -> bool:
+        """Frees the receipt's place; False if it has none (a second completion changes nothing)."""
+        publisher = self.owners.pop(receipt, None)
+        if publisher is None:
+            return False
+        self.held[publisher] -= 1
+        if not self.held[publisher]:
+            del self.held[publisher]
+        return True
+
+
+@dataclass
+class RecoveryChain:
+    """What becomes of a partition's segment files on recovery, one by one: tracked ones first, then untracked ones in the order of their ids.
+
+    An untracked file is taken over if it can be read, its id is above the last taken one's and it begins right after it; one
+    with a damaged tail is repaired first. What it ends with is what the next must follow. The others are quarantined.
+    """
+
+    last_id: int = 0
+    last_sequence: int = 0
+
+    def offer(self, segment_id: int, first: int, last: int, tracked: bool, sealed: bool, readable: bool) -> str:
+        if not tracked and not (readable and segment_id > self.last_id and first == self.last_sequence + 1):
+            return "quarantine"
+        self.last_id, self.last_sequence = max(self.last_id, segment_id), max(self.last_sequence, last)
+        return ("keep" if sealed else "repair_tail") if tracked else ("adopt" if sealed else "repair_adopt")
+
+
 def admission(events: Iterable[tuple[int, str, bool]], topology: str, full_policy: str = "block", state: str = "ready") -> Iterator[dict]:
     """events: (available cursor, recorder state or "", sink full). Yields outcome, reason, cursor after and the gap [first, last) it owes.
 

@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
 
-import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom import views as v
-from streamloom.catalog import query
+from streamloom.catalog import CHECKED, query
 from streamloom.operators import capacity
 from streamloom.plans import simulate
-
-
-def machines(df: DataFrame, keys: list[str], order: str, start: Callable[[], Callable[[dict], list[tuple]]], schema: str) -> DataFrame:
-    """Feeds each key's rows, in order, to a machine of its own; its rows out.
-
-    Rows are dealt by key and sorted, then stream through: a task holds one machine and one batch at a time, however many rows a key has.
-    """
-    names = df.columns
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, order)
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, feed = None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                record = dict(zip(names, row, strict=True))
-                key = tuple(record[k] for k in keys)
-                if key != current:
-                    current, feed = key, start()
-                out += feed(record)
-            yield pd.DataFrame(out, columns=columns)
-
-    return dealt.mapInPandas(run, schema)
+from streamloom.plans.machines import machines
 
 
 @query()
@@ -208,7 +183,11 @@ def bridge_pump(spark, d):
     return found.select("node_id", "arrival", action.alias("action"), "highest")
 
 
-@query()
+@query(f"""{CHECKED},
+kept AS (SELECT *, source_sequence > last_sequence + 1 AS has_gap FROM (SELECT *, max(source_sequence) OVER (PARTITION BY topic_id, partition_id, node_id, publisher_id, publisher_epoch ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_sequence FROM arrival) WHERE NOT coalesce(source_sequence <= last_sequence, false)),
+numbered AS (SELECT *, sum(CASE WHEN has_gap THEN 2 ELSE 1 END) OVER (PARTITION BY topic_id, partition_id ORDER BY arrival)::BIGINT AS n FROM kept)
+SELECT topic_id, partition_id, publisher_id, n AS assigned_sequence, source_sequence AS first_sequence, source_sequence AS last_sequence, false AS gap FROM numbered
+UNION ALL SELECT topic_id, partition_id, publisher_id, n - 1, last_sequence + 1, source_sequence - 1, true FROM numbered WHERE has_gap""")
 def writer_pump(spark, d):
     """Rows that a writer appends, in one pass over the arrivals of each partition, as a stream would see them."""
     a = v.arrival(v.record(spark, d)).select("topic_id", "partition_id", "node_id", "publisher_id", "publisher_epoch", "source_sequence", "arrival")
@@ -277,20 +256,19 @@ def export_pipeline(spark, d):
 
 @query()
 def receipt_admission(spark, d):
-    """Receipts that a table takes under a limit for each publisher, while older ones complete."""
+    """Receipts that each node's table takes under its limits, while those of 400 events ago, whosever they are, complete."""
     r = v.record(spark, d).select("node_id", "publisher_id", "event_id")
 
     def start():
-        open_: dict[int, list] = {}
+        table = simulate.ReceiptTable(max_outstanding=64, max_per_publisher=5)
+        due: deque[int] = deque()
 
         def feed(x):
-            own = open_.setdefault(x["publisher_id"], [])
-            while own and own[0] + 400 <= x["event_id"]:
-                own.pop(0)
-            total = sum(map(len, open_.values()))
-            outcome = "rejected_table" if total >= 64 else "rejected_publisher" if len(own) >= 5 else "admitted"
+            while due and due[0] + 400 <= x["event_id"]:
+                table.complete(due.popleft())
+            outcome = table.reserve(x["event_id"], x["publisher_id"])
             if outcome == "admitted":
-                own.append(x["event_id"])
+                due.append(x["event_id"])
             return [(x["node_id"], x["publisher_id"], x["event_id"], outcome)]
 
         return feed

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,47 +12,41 @@ from pyspark.sql import functions as F
 from streamloom.operators.storage import latest
 from streamloom.schema import artifact
 from streamloom.schema.model import Schema
+from streamloom.sources.files import Taken, create_whole, path_of, read_whole
 
 
 class SessionError(RuntimeError):
     """The session is missing, somebody else's, or would go back."""
 
 
+class Conflict(SessionError):
+    """Another writer committed first."""
+
+
 class RecordingSession:
     """Records lie in batches under data/, partitioned by topic and partition; a batch is in the session once its manifest is.
 
-    A manifest is a small JSON file named by its generation and created exclusively, in any file system that Spark writes.
+    A manifest is a small JSON file named by its generation, which one writer can create. Each is built of one older
+    manifest alone, and built again where another writer came first, so no commit loses another's.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def _list(self, folder: str) -> list[str]:
-        fs, p = self._fs(f"{self.root}/{folder}")
-        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        fs, p = path_of(self.spark, f"{self.root}/{folder}")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        return [n for n in names if not n.startswith(".")]
 
     def _read(self, path: str) -> str:
-        fs, p = self._fs(f"{self.root}/{path}")
-        stream = fs.open(p)
-        try:
-            size = fs.getFileStatus(p).getLen()
-            return bytes(b & 0xFF for b in self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size)).decode()
-        finally:
-            stream.close()
+        return read_whole(self.spark, f"{self.root}/{path}").decode()
 
     def _create(self, path: str, text: str) -> None:
-        """Writes a new file; an existing one is an error."""
-        fs, p = self._fs(f"{self.root}/{path}")
+        """Writes a new file, whole; an existing one is an error."""
         try:
-            stream = fs.create(p, False)
-        except Exception as e:
-            raise SessionError(f"{path} is there already") from e
-        stream.write(text.encode())
-        stream.close()
+            create_whole(self.spark, f"{self.root}/{path}", text.encode())
+        except Taken as e:
+            raise Conflict(f"{path} is there already") from e
 
     # manifests ---------------------------------------------------------------------------
 
@@ -79,16 +74,32 @@ class RecordingSession:
 
     # contents ----------------------------------------------------------------------------
 
+    def changed(self, change: Callable[[dict], dict | None]) -> dict:
+        """Commits change(manifest), again and again until no other writer comes first; None: nothing is to be changed."""
+        while True:
+            m = self.manifest()
+            new = change(m)
+            if new is None:
+                return m
+            try:
+                return self.commit(new)
+            except Conflict:
+                continue
+
     def persist_schema(self, topic_id: int, schema: Schema) -> int:
         """Makes the schema durable before any record can refer to it; its ref."""
-        m = self.manifest()
-        ref = m["schemas"].get(schema.digest)
-        if ref is None:
-            ref = len(m["schemas"]) + 1
-            if f"{schema.digest}.json" not in self._list("schemas"):
+        if f"{schema.digest}.json" not in self._list("schemas"):
+            try:
                 self._create(f"schemas/{schema.digest}.json", artifact.dumps(schema))
-            m = self.commit(m | {"schemas": m["schemas"] | {schema.digest: ref}, "topics": m["topics"] | {str(topic_id): schema.name}})
-        return ref
+            except Conflict:
+                pass  # the same schema, by another writer
+
+        def change(m: dict) -> dict | None:
+            if schema.digest in m["schemas"]:
+                return None
+            return m | {"schemas": m["schemas"] | {schema.digest: len(m["schemas"]) + 1}, "topics": m["topics"] | {str(topic_id): schema.name}}
+
+        return self.changed(change)["schemas"][schema.digest]
 
     def schema(self, ref: int) -> Schema:
         digest = next((d for d, r in self.manifest()["schemas"].items() if r == ref), None)
@@ -106,20 +117,16 @@ class RecordingSession:
         stray = records.where((F.col("flags").bitwiseAND(1) == 0) | (F.col("schema_ref") != 0)).join(F.broadcast(known), "schema_ref", "left_anti").limit(1).collect()
         if stray:
             raise SessionError(f"record with unknown schema {stray[0].schema_ref}")
-        folder = f"data/{batch}-{uuid.uuid4().hex[:8]}"
+        folder = f"data/_batch={batch}-{uuid.uuid4().hex[:8]}"
         records.write.partitionBy("topic_id", "partition_id").parquet(f"{self.root}/{folder}")
-        return self.commit(self.manifest() | {"batches": m["batches"] | {batch: folder}, "durable": m["durable"] + 1})
+        return self.changed(lambda m: None if batch in m["batches"] else m | {"batches": m["batches"] | {batch: folder}, "durable": m["durable"] + 1})
 
     def records(self) -> DataFrame:
-        """All records of committed batches."""
+        """All records of committed batches, in one scan however many there are."""
         folders = [f"{self.root}/{f}" for f in self.manifest()["batches"].values()]
         if not folders:
             raise SessionError("no batch yet")
-        parts = [self.spark.read.option("basePath", f).parquet(f) for f in folders]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*folders).drop("_batch")
 
     def stray_folders(self) -> list[str]:
         """Folders under data/ that no manifest names: left by writers that died."""

@@ -184,8 +184,60 @@ def test_dependency_closure_ends_on_cycles(spark, tmp_path):
     assert got == {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3)}
 
 
-def test_recovery_and_manifest(spark):
-    tracked = spark.createDataFrame([("a", 1, 0, 1, 10, True), ("b", 1, 0, 11, 20, False)], "path string, topic_id long, partition_id long, first_sequence long, last_sequence long, sealed boolean")
-    disk = tracked.union(spark.createDataFrame([("c", 1, 0, 21, 30, True), ("d", 1, 0, 40, 50, True), ("e", 2, 0, 1, 5, True), ("f", 2, 0, 1, 5, False)], tracked.schema))
-    got = {x.path: x.action for x in storage.recovery_decisions(disk, tracked).collect()}
-    assert got == {"a": "keep", "b": "repair_tail", "c": "adopt", "d": "quarantine", "e": "adopt", "f": "quarantine"}
+def test_recovery_follows_the_chain(spark):
+    schema = "path string, topic_id long, partition_id long, segment_id long, first_sequence long, last_sequence long, sealed boolean, readable boolean"
+    tracked = spark.createDataFrame([("a", 1, 0, 1, 1, 10, True, True), ("b", 1, 0, 2, 11, 20, False, True)], schema)
+    rest = [("c", 1, 0, 3, 21, 30, True, True), ("d", 1, 0, 4, 40, 50, True, True), ("e", 1, 0, 5, 31, 35, False, True), ("f", 1, 0, 6, 36, 38, True, False), ("g", 1, 0, 7, 36, 40, True, True), ("h", 1, 0, 8, 36, 40, True, True)]
+    rest += [("i", 2, 0, 9, 1, 5, True, True), ("j", 2, 0, 10, 1, 5, True, True), ("k", 2, 0, 8, 6, 9, True, True), ("l", 3, 0, 1, 2, 5, True, True)]
+    got = {x.path: x.action for x in storage.recovery_decisions(tracked.union(spark.createDataFrame(rest, schema)), tracked).collect()}
+    assert got == {"a": "keep", "b": "repair_tail", "c": "adopt", "d": "quarantine", "e": "repair_adopt", "f": "quarantine", "g": "adopt", "h": "quarantine", "i": "adopt", "j": "quarantine", "k": "quarantine", "l": "quarantine"}
+
+
+def test_recording_rules_with_holes_in_the_ids(spark):
+    rows = [(0, "a", 1, "x"), (7, "b", 2, "y"), (3_000_000, "b", 2, "y"), (9_000_000, "c", 9, "z")]
+    got = {tuple(r) for r in storage.recording_violations(spark.createDataFrame(rows, "topic_id long, name string, schema_ref long, digest string")).collect()}
+    assert got == {(0, "zero_id"), (7, "duplicate_name"), (3_000_000, "duplicate_name"), (7, "duplicate_digest"), (3_000_000, "duplicate_digest"), (3_000_000, "schema_ref_order")}
+
+
+def test_running_keeps_rows_with_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from streamloom.plans.running import running
+
+    df = spark.createDataFrame([(None, 1, 5), (None, 3_000_000, 6), (1, 2, 7), (1, 4, 8)], "k long, o long, v long")
+    got = {(r.k, r.o): (r.s, r.m) for r in running(df, ["k"], "o", {"s": ("sum", F.col("v"), True), "m": ("max", F.col("v"), False)}).collect()}
+    assert got == {(None, 1): (5, None), (None, 3_000_000): (11, 5), (1, 2): (7, None), (1, 4): (15, 7)}
+
+
+def test_replay_publishes_in_order_until_refused(spark, tmp_path):
+    class Collecting(replay.Publisher):
+        """Refuses what says so, and writes down the rest."""
+
+        def __init__(self, folder):
+            import uuid
+
+            self.file = open(f"{folder}/{uuid.uuid4().hex}", "a", buffering=1)
+
+        def publish(self, request):
+            if request["payload"] == "bad":
+                raise OSError("full")
+            print(request["topic_id"], request["ingestion_sequence"], request["payload"], file=self.file)
+
+    rows = [(t, 0, i, 1 if i == 4 else 0, "bad" if (t, i) == (2, 7) else f"p{i}") for t in (1, 2) for i in range(12, 0, -1)]
+    folder = str(tmp_path)
+    done = replay.publish(spark.createDataFrame(rows, "topic_id long, partition_id long, ingestion_sequence long, flags long, payload string").repartition(3), lambda: Collecting(folder)).collect()
+    assert sorted(map(tuple, done)) == [(1, 0, 11, 12, None, None), (2, 0, 5, 6, 7, "OSError: full")]
+    said = [line.split() for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
+    assert [int(i) for t, i, _ in said if t == "1"] == [i for i in range(1, 13) if i != 4]
+    assert [(int(i), p) for t, i, p in said if t == "2"] == [(i, f"p{i}") for i in (1, 2, 3, 5, 6)]
+
+
+def test_fragments(spark):
+    import zlib
+
+    whole = b"abcdef"
+    rows = [(1, i, whole[2 * i : 2 * i + 2], 3, zlib.crc32(whole)) for i in (2, 0, 1, 1)]  # a repeat
+    rows += [(2, 0, b"ab", 2, 5), (3, 0, b"ab", 1, 5), (4, 0, b"a", 2, 1), (4, 1, b"b", 2, 2), (5, 0, b"a", 1, 1), (5, 0, b"b", 1, 1), (6, 3, b"a", 2, 1), (7, 0, b"", 1, 0)]
+    frames = spark.createDataFrame([(1, 1, *r) for r in rows], "connection long, peer long, message_id long, index long, bytes binary, count long, crc long")
+    got = {r.message_id: (r.status, r.payload) for r in delivery.reassembled(frames).collect()}
+    assert got == {1: ("complete", bytearray(whole)), 2: ("incomplete", None), 3: ("corrupt", None), 4: ("rejected", None), 5: ("rejected", None), 6: ("rejected", None), 7: ("complete", bytearray())}

@@ -39,13 +39,43 @@ def test_session(spark, tmp_path):
     assert s.append(rows, "a") == first and s.records().count() == 6
     s.append(rows.limit(1), "b")
     assert s.records().count() == 7 and {(r.topic_id, r.ingestion_sequence) for r in s.snapshot().collect()} == {(1, 5), (2, 1)}
-    rows.write.parquet(f"{root}/data/left-behind")
-    assert s.stray_folders() == ["left-behind"]
+    rows.write.parquet(f"{root}/data/_batch=left-behind")
+    assert s.stray_folders() == ["_batch=left-behind"]
     assert s.guard(generation=first["generation"])["durable"] == 2
     with pytest.raises(SessionError):
         s.guard(generation=99)
 
 
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/s"
+    one, other = RecordingSession(spark, root), RecordingSession(spark, root)
+    one.create(1, "me")
+    one.persist_schema(1, schema())
+    rows = spark.createDataFrame([(1, 1, 0, 1, 0, "x")], SCHEMA)
+    commit, busy = RecordingSession.commit, []
+
+    def interleaved(self, manifest):
+        if self is one and not busy:
+            busy.append(True)
+            other.append(rows, "theirs")  # after one has read the manifest, before it commits
+        return commit(self, manifest)
+
+    monkeypatch.setattr(RecordingSession, "commit", interleaved)
+    m = one.append(rows, "mine")
+    assert set(m["batches"]) == {"mine", "theirs"} and m["durable"] == 2 and one.records().count() == 2
+
+
+def test_files_are_whole_or_not_there(spark, tmp_path):
+    from streamloom.sources import files
+
+    path = f"file://{tmp_path}/m/000000000001.json"
+    files.create_whole(spark, path, b"first")
+    with pytest.raises(files.Taken):
+        files.create_whole(spark, path, b"second")
+    assert files.read_whole(spark, path) == b"first"
+    assert [p.name for p in (tmp_path / "m").iterdir() if not p.name.startswith(".")] == ["000000000001.json"]
+
+
 def test_recorded_stream(spark, tmp_path):
     s = RecordingSession(spark, f"file://{tmp_path}/s")
     s.create(1, "me")

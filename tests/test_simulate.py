@@ -64,3 +64,12 @@ def test_rotation_and_negotiation():
     assert n.announce(7) == [(1, "released")] and n.frame(4, 7, 10, 1) == [(4, "passed")]
     assert n.frame(5, 8, 1, 1) == n.frame(5, 8, 1, 1) == [(5, "buffered")]
     assert n.frame(6, 8, 1, 1) == [(3, "discarded"), (5, "discarded"), (5, "discarded"), (6, "connection_failed")] and n.failed
+
+
+def test_receipts_of_every_publisher_leave_room():
+    t = simulate.ReceiptTable(max_outstanding=3, max_per_publisher=2)
+    assert [t.reserve(i, p) for i, p in ((1, 7), (2, 7), (3, 7), (4, 8), (5, 9))] == ["admitted", "admitted", "rejected_publisher", "admitted", "rejected_table"]
+    assert t.complete(1) and not t.complete(1) and not t.complete(99)
+    assert t.reserve(6, 9) == "admitted" and t.reserve(7, 7) == "rejected_table"
+    assert t.complete(4) and t.reserve(8, 7) == "admitted" and t.held == {7: 2, 9: 1}
+    assert simulate.ReceiptTable(5, 0).reserve(1, 1) == "rejected_publisher"
