@@ -450,6 +450,13 @@ def state_names(spark, d):
 # telemetry ----------------------------------------------------------------------------------
 
 
+@query(f"""{v.RECORDS}
+SELECT topic_name AS name, '{{"name":"' || topic_name || '","gauge":{{"dataPoints":[{{"timeUnixNano":"77","asInt":"' || max(payload_size) || '"}}]}}}}' AS json FROM record JOIN topic USING (topic_id) GROUP BY topic_name""")
+def otlp_gauges(spark, d):
+    g = v.record(spark, d).groupBy("topic_id").agg(F.max("payload_size").alias("n")).join(F.broadcast(v.topic(spark)), "topic_id")
+    return telemetry.otlp_gauge(g, "topic_name", "n", 77)
+
+
 @query(f"{v.RECORDS}\nSELECT topic_id, sum(payload_size)::BIGINT AS value FROM record GROUP BY topic_id")
 def counter_totals(spark, d):
     return v.record(spark, d).groupBy("topic_id").agg(F.sum("payload_size").alias("value"))
@@ -492,6 +499,14 @@ def prometheus_lines(spark, d):
     return telemetry.prometheus_lines(h, "name")
 
 
+@query(f"""{HISTOGRAM}
+SELECT topic_name AS name, '{{"name":"' || topic_name || '","histogram":{{"aggregationTemporality":2,"dataPoints":[{{"timeUnixNano":"77","startTimeUnixNano":"5","count":"' || sum(count)::BIGINT || '","sum":' || sum(total)::BIGINT || ',"bucketCounts":[' || string_agg('"' || count || '"', ',' ORDER BY bucket) || '],"explicitBounds":[' || (SELECT string_agg(((1::HUGEINT << b) - 1)::VARCHAR, ',' ORDER BY b) FROM range(64) r(b)) || ']}}]}}}}' AS json
+FROM hist JOIN topic USING (topic_id) GROUP BY topic_name""")
+def otlp_histograms(spark, d):
+    h = telemetry.histogram(_latencies(spark, d), ["topic_id"], "latency").join(F.broadcast(v.topic(spark)), "topic_id")
+    return telemetry.otlp_histogram(h, "topic_name", 77, 5)
+
+
 @query(f"""{v.RECORDS}
 SELECT topic_name AS name, '{{"name":"' || topic_name || '","sum":{{"aggregationTemporality":2,"isMonotonic":true,"dataPoints":[{{"asInt":"' || count(*) || '"}}]}}}}' AS json FROM record JOIN topic USING (topic_id) GROUP BY topic_name""")
 def otlp_metrics(spark, d):
@@ -610,7 +625,9 @@ def utf8_validity(spark, d):
 
 TOPIC_META = """topic_meta AS (SELECT p_partkey AS topic_id, CASE WHEN p_partkey % 19 = 0 THEN 'bad name' ELSE replace(p_name, ' ', '/') END AS name, p_partkey % 5 AS channel_kind, CASE WHEN p_partkey % 7 = 0 THEN 12 ELSE 16 END::BIGINT AS capacity,
   p_partkey % 3 AS max_publishers, p_partkey % 4 * 30 AS max_subscribers, p_partkey % 6 AS partition_count, p_partkey % 5 AS queue_full_policy, p_partkey % 2 AS reliability, p_partkey % 3 = 0 AS allow_drop,
-  p_partkey % 8 AS schema_version, 1::BIGINT AS layout_version, p_partkey % 2 AS route_policy, p_partkey % 3 AS static_route_count, p_partkey % 10 AS config_version FROM part)"""
+  p_partkey % 8 AS schema_version, 1::BIGINT AS layout_version, p_partkey % 2 AS route_policy, p_partkey % 3 AS static_route_count, p_partkey % 10 AS config_version,
+  p_partkey % 6 AS state, p_partkey % 4 AS schema_id, CASE p_partkey % 3 WHEN 0 THEN [p_partkey % 5, 9] WHEN 1 THEN range(1, 1 + p_partkey % 40) ELSE [7, 8, p_partkey % 9] END::BIGINT[] AS accepted_schemas, CASE WHEN p_partkey % 3 = 0 THEN [] ELSE [p_partkey % 5, p_partkey % 7][:(p_partkey % 3)::INTEGER] END::BIGINT[] AS static_routes,
+  p_partkey % 11 AS region_version, 1::BIGINT AS channel_version, p_partkey % 12 AS acl_version, p_partkey % 4 AS route_set_version, p_partkey % 8 = 0 AS candidate FROM part)"""
 
 
 def _topic_meta(spark, d):
@@ -619,6 +636,8 @@ def _topic_meta(spark, d):
         k.alias("topic_id"), F.when(k % 19 == 0, "bad name").otherwise(F.replace("p_name", F.lit(" "), F.lit("/"))).alias("name"), (k % 5).alias("channel_kind"), F.when(k % 7 == 0, 12).otherwise(16).cast("bigint").alias("capacity"),
         (k % 3).alias("max_publishers"), (k % 4 * 30).alias("max_subscribers"), (k % 6).alias("partition_count"), (k % 5).alias("queue_full_policy"), (k % 2).alias("reliability"), (k % 3 == 0).alias("allow_drop"),
         (k % 8).alias("schema_version"), L(1).alias("layout_version"), (k % 2).alias("route_policy"), (k % 3).alias("static_route_count"), (k % 10).alias("config_version"),
+        (k % 6).alias("state"), (k % 4).alias("schema_id"), F.when(k % 3 == 0, F.array(k % 5, L(9))).when(k % 3 == 1, F.when(k % 40 == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(L(1), k % 40))).otherwise(F.array(L(7), L(8), k % 9)).alias("accepted_schemas"),
+        F.slice(F.array(k % 5, k % 7), F.lit(1), (k % 3).cast("int")).alias("static_routes"), (k % 11).alias("region_version"), L(1).alias("channel_version"), (k % 12).alias("acl_version"), (k % 4).alias("route_set_version"), (k % 8 == 0).alias("candidate"),
     )
 
 
@@ -631,6 +650,9 @@ def _rules_sql(cte: str, source: str, key: str, rules: dict[str, str]) -> str:
     "partitions": "partition_count NOT BETWEEN 1 AND 4096", "spsc_single": "channel_kind = 0 AND (max_publishers <> 1 OR max_subscribers <> 1)", "mpsc_single": "channel_kind = 1 AND max_subscribers <> 1", "broadcast_bitmap": "channel_kind = 2 AND max_subscribers > 64",
     "work_queue_sample": "channel_kind = 3 AND queue_full_policy = 4", "drop_forbidden": "NOT allow_drop AND queue_full_policy IN (2, 3, 4)", "ordered_drop": "reliability = 1 AND allow_drop", "schema_identity": "schema_version = 0",
     "discovery_routes": "route_policy = 0 AND static_route_count > 0", "static_routes": "route_policy = 1 AND static_route_count = 0", "config_version": "config_version = 0",
+    "state": "state > 4", "accepted_bound": "len(accepted_schemas) > 16", "accepted_identity": "list_contains(accepted_schemas, 0) OR list_contains(accepted_schemas, schema_id)", "accepted_unique": "len(list_distinct(accepted_schemas)) < len(accepted_schemas)",
+    "route_target": "list_contains(static_routes, 0)", "route_unique": "len(list_distinct(static_routes)) < len(static_routes)", "resource_version": "region_version = 0 OR acl_version = 0",
+    "candidate_assigned": "candidate AND (topic_id <> 0 OR config_version <> 0 OR route_set_version <> 0 OR state <> 0)", "published_identity": "NOT candidate AND (topic_id = 0 OR route_set_version = 0)",
 }))
 def topic_metadata_violations(spark, d):
     return registry.topic_violations(_topic_meta(spark, d))
@@ -773,6 +795,31 @@ def reservation_aborts(spark, d):
     return registry.reservation_aborts(o, 400, 100).select("id")
 
 
+LEASES = """lease AS (SELECT c_custkey AS subscriber_id, c_custkey % 3 + 1 AS generation, c_custkey % 11 <> 0 AS active, c_custkey * 7 % 2000 AS heartbeat, c_custkey % 4 % 3 + 1 AS heartbeat_generation, c_custkey % 3 AS liveness FROM customer)"""
+SWEPT = f"WITH {LEASES},\nswept AS (SELECT subscriber_id, generation, CASE WHEN heartbeat > 1500 OR 1500 - heartbeat < 600 THEN 'kept' WHEN liveness = 2 THEN 'evicted' ELSE 'held' END AS outcome FROM lease WHERE active)"
+
+
+def _leases(spark, d):
+    k = F.col("c_custkey")
+    return v.table(spark, d, "customer").select(k.alias("subscriber_id"), (k % 3 + 1).alias("generation"), (k % 11 != 0).alias("active"), (k * 7 % 2000).alias("heartbeat"), (k % 4 % 3 + 1).alias("heartbeat_generation"), (k % 3).alias("liveness"))
+
+
+@query(f"{SWEPT}\nSELECT * FROM swept")
+def subscriber_lease_sweep(spark, d):
+    return registry.subscriber_sweep(_leases(spark, d), 1500, 600)
+
+
+@query(f"WITH {LEASES}\nSELECT subscriber_id, CASE WHEN heartbeat_generation = generation AND 1500 - heartbeat >= 600 THEN 'evicted' ELSE 'kept' END AS outcome FROM lease WHERE active")
+def channel_heartbeat_sweep(spark, d):
+    return registry.channel_sweep(_leases(spark, d), 1500, 600)
+
+
+@query(f"{SWEPT}\nSELECT o_orderkey AS pin, o_custkey AS subscriber_id, o_orderkey % 3 + 1 AS generation FROM orders WHERE (o_custkey, o_orderkey % 3 + 1) NOT IN (SELECT (subscriber_id, generation) FROM swept WHERE outcome = 'evicted')")
+def pins_of_the_living(spark, d):
+    pins = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("pin"), F.col("o_custkey").alias("subscriber_id"), (F.col("o_orderkey") % 3 + 1).alias("generation"))
+    return registry.pins_after(pins, registry.subscriber_sweep(_leases(spark, d), 1500, 600))
+
+
 MEMBERS = f"""{v.RECORDS},
 member AS (SELECT c_custkey % 5 + 1 AS topic_id, c_custkey AS subscriber_id, c_custkey * 13 % 700 + 1 AS joined_at, c_custkey * 13 % 700 + 1 + c_custkey % 900 AS left_at FROM customer),
 message AS (SELECT topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY event_id) AS sequence, flags FROM record)"""
@@ -968,10 +1015,14 @@ def capacity_json(spark, d):
     return capacity.rendered(_state(spark, d))
 
 
-@query(f"WITH {v.PARTICIPANT_SQL}\nSELECT topic_id, count(*) * 4096 + count(CASE WHEN kind = 3 THEN 1 END) * 1048576 AS recorder_buffer_bytes, count(CASE WHEN kind = 2 THEN 1 END) AS bridge_connections, count(CASE WHEN kind = 2 THEN 1 END) * 65536 AS bridge_egress_bytes FROM participant GROUP BY topic_id")
+@query("""WITH s AS (SELECT l_partkey AS topic_id, sum(l_suppkey % 50 + 1)::BIGINT AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
+SELECT p_partkey AS topic_id, CASE WHEN p_partkey % 6 > 0 THEN CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_partkey % 6 * p_size * 4096 END END::BIGINT AS recorder_buffer_bytes, CASE WHEN p_partkey % 6 > 0 THEN p_partkey % 6 * 2 + 1 END AS file_descriptors,
+  CASE WHEN p_partkey % 6 > 0 THEN coalesce(n, 0) END AS schema_buffer_bytes, CASE WHEN p_partkey % 6 = 0 THEN 'no partition' END AS error FROM part LEFT JOIN s ON topic_id = p_partkey""")
 def capacity_estimate(spark, d):
-    n = {i: F.count_if(F.col("kind") == i) for i in (2, 3)}
-    return v.participant(spark, d).groupBy("topic_id").agg((F.count("*") * 4096 + n[3] * (1 << 20)).alias("recorder_buffer_bytes"), n[2].alias("bridge_connections"), (n[2] * 65536).alias("bridge_egress_bytes"))
+    k = F.col("p_partkey")
+    topics = v.table(spark, d, "part").select(k.alias("topic_id"), (k % 6).alias("partition_count"), F.element_at(F.array(*map(F.lit, registry.MODES)), (k % 4 + 1).cast("int")).alias("mode"), (F.col("p_size").cast("long") * 4096).alias("buffer_limit"))
+    artifacts = v.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("topic_id"), (F.col("l_suppkey") % 50 + 1).alias("size"))
+    return capacity.recorder_estimate(topics, artifacts)
 
 
 # scalars ------------------------------------------------------------------------------------

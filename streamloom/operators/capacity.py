@@ -45,3 +45,18 @@ def rendered(state: DataFrame) -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct("ordinal", "dimension", "limit")))
     one = F.transform(pairs, lambda p: F.concat(F.lit('"'), p["dimension"], F.lit('":'), p["limit"]))
     return state.groupBy("node_id").agg(F.concat(F.lit("{"), F.array_join(one, ","), F.lit("}")).alias("json"))
+
+
+def recorder_estimate(topics: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """topic_id, recorder_buffer_bytes, file_descriptors and schema_buffer_bytes that recording a topic takes; error instead where it has no partition.
+
+    topics: topic_id, partition_count, mode, buffer_limit. artifacts: topic_id and size of each schema's. A partition takes its buffer pool
+    (none where only snapshots are kept) and two files, the topic one more and its schemas' artifacts.
+    """
+    sizes = artifacts.groupBy("topic_id").agg(F.sum("size").alias("_schemas"))
+    valid = F.col("partition_count") > 0
+    buffers = F.when(F.col("mode") == "snapshot", 0).otherwise(F.col("partition_count") * F.col("buffer_limit"))
+    return topics.join(sizes, "topic_id", "left").select(
+        "topic_id", F.when(valid, buffers.cast("long")).alias("recorder_buffer_bytes"), F.when(valid, F.col("partition_count") * 2 + 1).cast("long").alias("file_descriptors"),
+        F.when(valid, F.coalesce("_schemas", F.lit(0)).cast("long")).alias("schema_buffer_bytes"), F.when(~valid, "no partition").alias("error"),
+    )

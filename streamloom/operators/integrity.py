@@ -65,8 +65,8 @@ def highest_contiguous(records: DataFrame, source: list[str] = SOURCE) -> DataFr
 
 def contiguity_breaks(records: DataFrame, group: list[str], sequence: str = "ingestion_sequence") -> DataFrame:
     """Rows whose sequence isn't the one before it in the group plus 1."""
-    before = F.lag(sequence).over(Window.partitionBy(*group).orderBy(sequence))
-    return records.withColumn("previous", before).where(F.col("previous").isNotNull() & (F.col(sequence) != F.col("previous") + 1))
+    before = running(records, group, sequence, {"previous": ("max", F.col(sequence), False)})
+    return before.where(F.col("previous").isNotNull() & (F.col(sequence) != F.col("previous") + 1))
 
 
 def order_breaks(segments: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ BEST_EFFORT, RELIABLE_ORDERED = range(2)
 DISCOVERY, STATIC = range(2)
 
 #: The hard bounds of a topic.
-TOPIC_BOUNDS = {"capacity": 1 << 30, "publishers": 65_536, "subscribers": 65_536, "partitions": 4096, "broadcast_subscribers": 64, "name_bytes": 255}
+TOPIC_BOUNDS = {"capacity": 1 << 30, "publishers": 65_536, "subscribers": 65_536, "partitions": 4096, "broadcast_subscribers": 64, "name_bytes": 255, "accepted_schemas": 16, "static_routes": 1024}
 
 
 def violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -43,7 +43,36 @@ def topic_violations(topics: DataFrame, bounds: dict[str, int] = TOPIC_BOUNDS) -
         "discovery_routes": (c("route_policy") == DISCOVERY) & (c("static_route_count") > 0),
         "static_routes": (c("route_policy") == STATIC) & (c("static_route_count") == 0),
         "config_version": c("config_version") == 0,
-    })
+    } | _more_topic_rules(topics, bounds))
+
+
+def _more_topic_rules(topics: DataFrame, bounds: dict[str, int]) -> dict[str, Column]:
+    """The rules on what a topic's metadata may or may not list: each needs its columns.
+
+    schema_id and accepted_schemas (an array of ids), static_routes (an array of nodes), region_version, channel_version, acl_version,
+    route_set_version, state and candidate (whether it is only to be created).
+    """
+    c, there = F.col, set(topics.columns)
+    rules = {
+        ("queue_full_policy", "reliability", "route_policy"): {"enum": ~c("queue_full_policy").between(BLOCK, SAMPLE) | ~c("reliability").between(BEST_EFFORT, RELIABLE_ORDERED) | ~c("route_policy").between(DISCOVERY, STATIC)},
+        ("state",): {"state": ~c("state").between(0, 4)},
+        ("schema_id", "accepted_schemas"): {
+            "accepted_bound": F.size("accepted_schemas") > bounds["accepted_schemas"],
+            "accepted_identity": F.array_contains("accepted_schemas", F.lit(0).cast("long")) | F.array_contains("accepted_schemas", c("schema_id")),
+            "accepted_unique": F.size(F.array_distinct("accepted_schemas")) < F.size("accepted_schemas"),
+        },
+        ("static_routes",): {
+            "route_bound": F.size("static_routes") > bounds["static_routes"],
+            "route_target": F.array_contains("static_routes", F.lit(0).cast("long")),
+            "route_unique": F.size(F.array_distinct("static_routes")) < F.size("static_routes"),
+        },
+        ("region_version", "channel_version", "acl_version"): {"resource_version": (c("region_version") == 0) | (c("channel_version") == 0) | (c("acl_version") == 0)},
+        ("candidate", "state", "route_set_version"): {
+            "candidate_assigned": c("candidate") & ((c("topic_id") != 0) | (c("config_version") != 0) | (c("route_set_version") != 0) | (c("state") != 0)),
+            "published_identity": ~c("candidate") & ((c("topic_id") == 0) | (c("route_set_version") == 0)),
+        },
+    }
+    return {name: rule for needs, found in rules.items() if there.issuperset(needs) for name, rule in found.items()}
 
 
 def node_violations(nodes: DataFrame, max_endpoints: int = 4, max_lease: int = 1400) -> DataFrame:
@@ -132,7 +161,7 @@ def best_driver(targets: DataFrame, drivers: DataFrame, target: str, reliability
     fit = drivers.where(F.col("is_running") & F.col("health").isin(0, 1))
     rank = F.struct(F.col("health"), (-F.col("priority")).alias("_p"), F.col("driver_id"))
     classes = fit.groupBy("kind", "reliable", "max_frame").agg(F.min(rank).alias("_r"))
-    joined = targets.withColumn("_want", reliability).withColumn("_size", payload).join(F.broadcast(classes), F.col("endpoint_kind") == F.col("kind"))
+    joined = targets.withColumn("_want", reliability).withColumn("_size", payload).join(classes, F.col("endpoint_kind") == F.col("kind"))
     fits = reliability_satisfied(F.col("_want"), F.col("reliable")) & ((F.col("max_frame") == 0) | (F.col("_size") <= F.col("max_frame")))
     best = joined.where(fits).groupBy(target).agg(F.min("_r").alias("_r"))
     return best.select(target, F.col("_r.driver_id").alias("driver_id"), F.col("_r.health").alias("health"), (-F.col("_r._p")).alias("priority"))
@@ -149,6 +178,27 @@ def node_sweep(nodes: DataFrame, now: int) -> DataFrame:
     return nodes.select("node_id", outcome.alias("outcome"), F.when(expired, 2).otherwise(F.col("health")).alias("health_after"))
 
 
+def subscriber_sweep(leases: DataFrame, now: int, lease: int) -> DataFrame:
+    """subscriber_id, generation and outcome of each active subscriber's lease: kept, evicted (over, and its owner proven dead) or held (over, its owner not known to be dead).
+
+    A heartbeat from the future keeps. What an evicted owner had pinned goes with it (see pins_after).
+    """
+    over = (F.col("heartbeat") <= now) & (now - F.col("heartbeat") >= lease)
+    outcome = F.when(~over, "kept").when(F.coalesce("liveness", F.lit(0)) == 2, "evicted").otherwise("held")
+    return leases.where("active").select("subscriber_id", "generation", outcome.alias("outcome"))
+
+
+def channel_sweep(slots: DataFrame, now: int, lease: int) -> DataFrame:
+    """subscriber_id and outcome by the heartbeat alone: evicted only by one that this generation itself wrote a lease ago; a later generation's slot stays."""
+    stale = (F.col("heartbeat_generation") == F.col("generation")) & (now - F.col("heartbeat") >= lease)
+    return slots.where("active").select("subscriber_id", F.when(stale, "evicted").otherwise("kept").alias("outcome"))
+
+
+def pins_after(pins: DataFrame, sweep: DataFrame) -> DataFrame:
+    """The pins whose subscriber, in that generation, was not evicted."""
+    return pins.join(sweep.where("outcome = 'evicted'").select("subscriber_id", "generation"), ["subscriber_id", "generation"], "left_anti")
+
+
 def reservation_aborts(reservations: DataFrame, now: int, lease: int) -> DataFrame:
     """Reservations that become tombstones: the owner is proven dead, and the age is over, unknown or in the future."""
     old = (F.col("reserved_at") == 0) | (F.col("reserved_at") > now) | (now - F.col("reserved_at") >= lease)
@@ -201,9 +251,9 @@ def delivered(messages: DataFrame, members: DataFrame) -> DataFrame:
     # the count at the last message up to the asked one: both kinds in one order, carried forward
     both = upto.select("topic_id", F.col("sequence").alias("asked"), F.col("_n"), F.lit(None).cast("bigint").alias("subscriber_id"), F.lit(None).cast("int").alias("sign"))
     both = both.unionByName(ends.withColumn("_n", F.lit(None).cast("bigint")))
-    place = F.struct("asked", F.col("sign").isNotNull(), "subscriber_id", "sign")
-    w = Window.partitionBy("topic_id").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = both.withColumn("_at", F.coalesce(F.max("_n").over(w), F.lit(0))).where("sign is not null")
+    # a message comes before the ends that ask at it; ends at one place add nothing to each other
+    both = both.withColumn("_place", F.col("asked") * 2 + F.col("sign").isNotNull().cast("int"))
+    carried = running(both, ["topic_id"], "_place", {"_at": ("max", F.col("_n"), True)}).where("sign is not null").withColumn("_at", F.coalesce("_at", F.lit(0)))
     return carried.groupBy("topic_id", "subscriber_id").agg(F.sum(F.col("sign") * F.col("_at")).cast("bigint").alias("delivered"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.plans.machines import machines
+from streamloom.plans.running import running
 
 GAP, TOMBSTONE = 1, 2
 
@@ -92,8 +93,7 @@ def with_merge_key(records: DataFrame) -> DataFrame:
     Merging streams by their heads equals sorting by it: once a large head is taken every other
     head is at least as large, so a smaller successor follows at once. Filter before.
     """
-    so_far = Window.partitionBy("topic_id", "partition_id").orderBy("ingestion_sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return records.withColumn("merge_key", F.max(F.struct(*MERGE_KEY)).over(so_far))
+    return running(records, ["topic_id", "partition_id"], "ingestion_sequence", {"merge_key": ("max", F.struct(*MERGE_KEY), True)})
 
 
 def merged(records: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def positioned(records: DataFrame, slice_ns: int = 3_600_000_000_000) -> DataFra
 def metadata(records: DataFrame, topics: DataFrame, session: str, namespace: str = "replay", clock_ns: int | None = None, extra: Iterable[str] = ()) -> DataFrame:
     """What a replayed message carries: origin, namespace and the time it is published under."""
     published = F.col("ingestion_ts_ns") if clock_ns is None else F.lit(clock_ns).cast("bigint")
-    return records.join(F.broadcast(topics), "topic_id").select(
+    return records.join(topics, "topic_id").select(
         "topic_id", "topic_name", "partition_id", "ingestion_sequence", "node_id", "publisher_id", "publisher_epoch", "source_sequence", "ingestion_ts_ns", "observed_ts_ns", "flags",
         F.lit(session).alias("session"), F.lit(namespace).alias("namespace"), published.alias("publish_ts_ns"), *extra,
     )

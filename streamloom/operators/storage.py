@@ -81,7 +81,8 @@ def bad_moves(transitions: DataFrame, allowed, key: list[str], order: str, state
     """Rows whose state can't follow the one before it; staying is allowed."""
     spark = transitions.sparkSession
     pairs = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).cast("bigint").alias("previous"), F.lit(b).cast("bigint").alias(state)) for a, b in allowed])).alias("p")).select("p.*")
-    before = transitions.withColumn("previous", F.lag(state).over(Window.partitionBy(*key).orderBy(order)))
+    before = running(transitions, key, order, {"_before": ("max", F.struct(F.col(order).alias("at"), F.col(state).alias("state")), False)})
+    before = before.withColumn("previous", F.col("_before.state")).drop("_before")
     moved = before.where(F.col("previous").isNotNull() & (F.col("previous") != F.col(state)))
     return moved.join(F.broadcast(pairs), ["previous", state], "left_anti")
 

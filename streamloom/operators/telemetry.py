@@ -54,8 +54,8 @@ def clock_gated(samples: DataFrame, shard: str, order: str, max_uncertainty: int
 
     The previous clocks are those of the shard's last sample, whatever was decided on it.
     """
-    w = Window.partitionBy(shard).orderBy(order)
-    s = samples.withColumn("_wall", F.lag("wall").over(w)).withColumn("_mono", F.lag("mono").over(w))
+    s = running(samples, [shard], order, {"_before": ("max", F.struct(F.col(order).alias("at"), "wall", "mono"), False)})
+    s = s.withColumn("_wall", F.col("_before.wall")).withColumn("_mono", F.col("_before.mono")).drop("_before")
     known = F.col("_wall").isNotNull() & ((F.col("_wall") != 0) | (F.col("_mono") != 0))
     wall, mono = F.col("wall") - F.col("_wall"), F.col("mono") - F.col("_mono")
     jump = known & ((wall < 0) | (mono < 0) | (F.abs(wall - mono) > max_jump))
@@ -116,3 +116,17 @@ def otlp_json(counters: DataFrame, name: str, value: str) -> DataFrame:
     point = F.struct(F.col(value).cast("string").alias("asInt"))
     total = F.struct(F.lit(2).alias("aggregationTemporality"), F.lit(True).alias("isMonotonic"), F.array(point).alias("dataPoints"))
     return counters.select(name, F.to_json(F.struct(F.col(name).alias("name"), total.alias("sum"))).alias("json"))
+
+
+def otlp_gauge(gauges: DataFrame, name: str, value: str, at_ns: int) -> DataFrame:
+    """name and its metric as JSON: a gauge's one point."""
+    return gauges.select(F.col(name).alias("name"), F.concat(F.lit('{"name":"'), F.col(name), F.lit(f'","gauge":{{"dataPoints":[{{"timeUnixNano":"{at_ns}","asInt":"'), F.col(value), F.lit('"}]}}')).alias("json"))
+
+
+def otlp_histogram(buckets: DataFrame, name: str, at_ns: int, start_ns: int) -> DataFrame:
+    """name and its metric as JSON, of a histogram's buckets (bucket, count, total): cumulative since start_ns, with the 64 upper bounds between the buckets."""
+    whole = buckets.groupBy(F.col(name).alias("name")).agg(F.sum("count").alias("n"), F.sum("total").alias("t"), F.array_sort(F.collect_list(F.struct("bucket", "count"))).alias("b"))
+    counts = F.array_join(F.transform("b", lambda x: F.concat(F.lit('"'), x["count"].cast("string"), F.lit('"'))), ",")
+    bounds = ",".join(str((1 << i) - 1) for i in range(BUCKETS - 1))
+    head = F.concat(F.lit('{"name":"'), F.col("name"), F.lit(f'","histogram":{{"aggregationTemporality":2,"dataPoints":[{{"timeUnixNano":"{at_ns}","startTimeUnixNano":"{start_ns}","count":"'))
+    return whole.select("name", F.concat(head, F.col("n"), F.lit('","sum":'), F.col("t"), F.lit(',"bucketCounts":['), counts, F.lit(f'],"explicitBounds":[{bounds}]}}]}}}}')).alias("json"))

@@ -5,6 +5,7 @@ Each takes an iterable of events in order and yields decisions, holding no more
 
 from __future__ import annotations
 
+import zlib
 from collections import OrderedDict, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -325,3 +326,115 @@ class Negotiator:
         out = self.waiting.pop(ref, [])
         self.size -= sum(n for _, n in out)
         return [(i, "released") for i, _ in out]
+
+
+@dataclass
+class BroadcastChannel:
+    """A ring that every subscriber reads at its own pace; where it is full, its oldest message is dropped for all who wait for it, or for none."""
+
+    capacity: int
+    drop: bool = True
+    next: int = 0
+    cursors: dict[int, int] = field(default_factory=dict)
+    borrowed: set[int] = field(default_factory=set)
+    gaps: dict[int, tuple[int, int]] = field(default_factory=dict)
+    dropped: dict[int, int] = field(default_factory=dict)
+
+    def join(self, subscriber: int) -> None:
+        """Reads from the next message on."""
+        self.cursors[subscriber], self.dropped[subscriber] = self.next, 0
+
+    def leave(self, subscriber: int) -> None:
+        for held in (self.cursors, self.gaps, self.dropped):
+            held.pop(subscriber, None)
+        self.borrowed.discard(subscriber)
+
+    def publish(self) -> tuple[str, int | None]:
+        """published, with the sequence that was dropped for it if any; would_block where one who reads the oldest holds it, or nothing may be dropped."""
+        lost = None
+        least = min(self.cursors.values(), default=self.next)
+        if self.next - least >= self.capacity:
+            tied = [s for s, c in self.cursors.items() if c == least]
+            if not self.drop or self.borrowed.intersection(tied):
+                return "would_block", None
+            for s in tied:  # the gap is told before the cursor moves past it
+                first = self.gaps[s][0] if s in self.gaps and self.gaps[s][1] == least else least
+                self.gaps[s] = (first, least + 1)
+                self.dropped[s] += 1
+                self.cursors[s] = least + 1
+            lost = least
+        self.next += 1
+        return "published", lost
+
+    def poll(self, subscriber: int) -> tuple[str, int, int]:
+        """A gap, once, before what follows it; else the next message, held until it is released; else empty."""
+        cursor = self.cursors[subscriber]
+        if subscriber in self.borrowed:
+            return "held", cursor, cursor + 1
+        if subscriber in self.gaps:
+            return ("gap", *self.gaps.pop(subscriber))
+        if cursor == self.next:
+            return "empty", cursor, cursor
+        self.borrowed.add(subscriber)
+        return "message", cursor, cursor + 1
+
+    def release(self, subscriber: int) -> bool:
+        """Moves past the message held; False if none is."""
+        if subscriber not in self.borrowed:
+            return False
+        self.borrowed.remove(subscriber)
+        self.cursors[subscriber] += 1
+        return True
+
+
+@dataclass
+class Reassembler:
+    """Fragments put together under quotas of messages and bytes, for a time; messages that were put together lately are remembered."""
+
+    connection_messages: int
+    messages: int
+    connection_bytes: int
+    bytes: int
+    timeout: int
+    open: dict = field(default_factory=dict)
+    done: OrderedDict = field(default_factory=OrderedDict)
+    timeouts: int = 0
+
+    def expire(self, now: int) -> None:
+        """Forgets what began, or was complete, a timeout ago."""
+        for key in [k for k, m in self.open.items() if now - m["created"] >= self.timeout]:
+            del self.open[key]
+            self.timeouts += 1
+        while self.done and now - next(iter(self.done.values())) >= self.timeout:
+            self.done.popitem(last=False)
+
+    def offer(self, connection: int, message: int, index: int, count: int, total: int, crc: int, data: bytes, now: int) -> tuple[str, bytes | None]:
+        """(stored | duplicate | quota | rejected | complete, the payload if complete). What disagrees with its message ends it."""
+        self.expire(now)
+        key = (connection, message)
+        if key in self.done:
+            return "duplicate", None
+        if not 0 <= index < count or not data:
+            return "rejected", None
+        m = self.open.get(key)
+        if m is None:
+            own = [x["total"] for (c, _), x in self.open.items() if c == connection]
+            if len(own) >= self.connection_messages or len(self.open) >= self.messages or sum(own) + total > self.connection_bytes or sum(x["total"] for x in self.open.values()) + total > self.bytes:
+                return "quota", None
+            m = self.open[key] = {"count": count, "total": total, "crc": crc, "created": now, "parts": {}}
+        if (m["count"], m["total"], m["crc"]) != (count, total, crc) or m["parts"].get(index, data) != data:
+            del self.open[key]
+            return "rejected", None
+        if index in m["parts"]:
+            return "duplicate", None
+        m["parts"][index] = data
+        if len(m["parts"]) < count:
+            return "stored", None
+        del self.open[key]
+        whole = b"".join(m["parts"][i] for i in range(count))
+        if len(whole) != total or zlib.crc32(whole) != crc:
+            return "rejected", None
+        while len(self.done) >= self.messages:
+            self.done.popitem(last=False)
+        self.done[key] = now
+        return "complete", whole

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -274,3 +275,53 @@ def receipt_admission(spark, d):
         return feed
 
     return machines(r, ["node_id"], "event_id", start, "node_id long, publisher_id long, event_id long, outcome string")
+
+
+@query()
+def broadcast_channel(spark, d):
+    """A bounded broadcast channel for each topic, with readers of different pace: what every event publishes, drops, and shows them."""
+    r = v.record(spark, d).select("topic_id", "event_id", (F.col("event_id") % 7 == 3).alias("slow"))
+
+    def start():
+        channel = simulate.BroadcastChannel(16)
+        for reader in range(3):
+            channel.join(reader)
+
+        def feed(x):
+            n = x["event_id"]
+            outcome, lost = channel.publish()
+            out = [(x["topic_id"], n, -1, outcome, -1 if lost is None else lost, channel.next)]
+            if n % 400 == 399:
+                channel.leave(2)
+                channel.join(2)
+            for reader in range(3):
+                channel.release(reader) if n % (reader + 2) else None
+                if n % (reader + 1) == 0 or x["slow"]:
+                    out.append((x["topic_id"], n, reader, *channel.poll(reader)))
+            return out
+
+        return feed
+
+    return machines(r, ["topic_id"], "event_id", start, "topic_id long, event_id long, reader int, outcome string, first long, next long")
+
+
+@query()
+def fragment_arrivals(spark, d):
+    """What becomes of every fragment as it arrives, late, twice or wrong, under quotas and a timeout."""
+    li = v.table(spark, d, "lineitem").select((F.col("l_suppkey") % 8).alias("connection"), F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("line"), "l_partkey")
+    li = li.withColumn("at", F.col("message_id") * 10 + F.col("line") + F.when(F.col("l_partkey") % 9 == 0, 40).otherwise(0) + F.col("line") / 10)
+
+    def start():
+        box = simulate.Reassembler(connection_messages=3, messages=5, connection_bytes=40, bytes=64, timeout=60)
+
+        def feed(x):
+            n = x["message_id"] % 3 + 1
+            parts = [f"{x['message_id']}/{i}".encode() for i in range(n)]
+            whole = b"".join(parts)
+            i = (x["line"] - 1) % n
+            outcome, got = box.offer(x["connection"], x["message_id"], i, n, len(whole), zlib.crc32(whole) ^ (x["l_partkey"] % 31 == 0), parts[i], int(x["at"]))
+            return [(x["connection"], x["message_id"], x["line"], outcome, None if got is None else got.decode(), len(box.open), box.timeouts)]
+
+        return feed
+
+    return machines(li, ["connection"], "at", start, "connection long, message_id long, line int, outcome string, payload string, open int, timeouts int")

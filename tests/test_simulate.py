@@ -73,3 +73,41 @@ def test_receipts_of_every_publisher_leave_room():
     assert t.reserve(6, 9) == "admitted" and t.reserve(7, 7) == "rejected_table"
     assert t.complete(4) and t.reserve(8, 7) == "admitted" and t.held == {7: 2, 9: 1}
     assert simulate.ReceiptTable(5, 0).reserve(1, 1) == "rejected_publisher"
+
+
+def test_broadcast_drops_the_oldest_for_all_who_wait_for_it():
+    c = simulate.BroadcastChannel(2)
+    c.join(1), c.join(2)
+    assert [c.publish() for _ in range(2)] == [("published", None)] * 2
+    assert c.publish() == ("published", 0) and c.cursors == {1: 1, 2: 1} and c.dropped == {1: 1, 2: 1}
+    assert c.poll(1) == ("gap", 0, 1) and c.poll(1) == ("message", 1, 2)  # the gap is told once
+    assert c.publish() == ("would_block", None) and c.cursors == {1: 1, 2: 1}  # all or nothing: 1 holds the oldest
+    assert c.release(1) and not c.release(1)
+    assert c.publish() == ("published", 1) and c.cursors == {1: 2, 2: 2} and c.dropped == {1: 1, 2: 2}
+    assert c.poll(2) == ("gap", 0, 2)  # two drops in a row are one gap
+    c.leave(1)
+    c.join(3)
+    assert c.poll(3) == ("empty", 4, 4) and c.publish() == ("published", 2) and c.poll(3) == ("message", 4, 5) and c.poll(3) == ("held", 4, 5)
+    assert c.poll(2) == ("gap", 2, 3) and c.poll(2) == ("message", 3, 4)
+    still = simulate.BroadcastChannel(1, drop=False)
+    still.join(1)
+    assert [still.publish()[0] for _ in range(2)] == ["published", "would_block"]
+    assert [simulate.BroadcastChannel(1).publish()] * 3 == [("published", None)] * 3
+
+
+def test_reassembly_under_quotas_and_time():
+    import zlib
+
+    r = simulate.Reassembler(connection_messages=2, messages=3, connection_bytes=10, bytes=12, timeout=10)
+    crc = zlib.crc32(b"abcd")
+    assert r.offer(1, 1, 1, 2, 4, crc, b"cd", 0) == ("stored", None) and r.offer(1, 1, 1, 2, 4, crc, b"cd", 1) == ("duplicate", None)
+    assert r.offer(1, 2, 0, 2, 7, 0, b"x", 1) == ("quota", None)  # 4 and 7 are over a connection's 10 bytes
+    assert r.offer(1, 2, 0, 2, 4, crc, b"ab", 1) == ("stored", None) and r.offer(1, 3, 0, 2, 1, crc, b"ab", 1) == ("quota", None)
+    assert r.offer(2, 3, 0, 2, 5, crc, b"ab", 1) == ("quota", None)  # 8 and 5 are over all connections' 12
+    assert r.offer(1, 1, 0, 2, 4, crc, b"ab", 2) == ("complete", b"abcd") and r.offer(1, 1, 0, 2, 4, crc, b"zz", 3) == ("duplicate", None)
+    assert r.offer(1, 2, 1, 2, 4, crc + 1, b"cd", 3) == ("rejected", None) and not r.open
+    assert r.offer(1, 4, 0, 1, 2, 5, b"ab", 3) == ("rejected", None) and r.offer(1, 4, 3, 2, 2, 5, b"ab", 3) == ("rejected", None)
+    assert r.offer(1, 5, 0, 2, 4, crc, b"ab", 3) == ("stored", None) and r.offer(1, 5, 0, 2, 4, crc, b"xx", 4) == ("rejected", None)
+    assert r.offer(1, 6, 0, 2, 4, crc, b"ab", 5) == ("stored", None)
+    assert r.offer(1, 6, 1, 2, 4, crc, b"cd", 15) == ("stored", None) and r.timeouts == 1  # what began a timeout ago is forgotten
+    assert r.offer(1, 1, 0, 2, 4, crc, b"ab", 15) == ("stored", None)  # and so is what was complete

@@ -7,7 +7,7 @@ from streamloom.operators import storage
 from streamloom.plans.machines import machines
 
 SF = "/root/testdata/sf0.001"
-NAMES = "bounded_queue_policies buffer_pool_admission receiver_dedup recording_admission capacity_reservations rotation_by_size_and_time schema_negotiation bridge_pump writer_pump receiver_stats recording_admission_metrics export_pipeline receipt_admission session_recovery".split()
+NAMES = "bounded_queue_policies buffer_pool_admission receiver_dedup recording_admission capacity_reservations rotation_by_size_and_time schema_negotiation bridge_pump writer_pump receiver_stats recording_admission_metrics export_pipeline receipt_admission session_recovery broadcast_channel fragment_arrivals".split()
 
 
 def plain(df, keys, order, start):
