@@ -106,6 +106,20 @@ class MultiIndex:
         return rows[distances(self.code[rows], code) <= self.radius]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], dimension: int, most: int = INDEX_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of up to about `most` rows at a time, however the batches are cut."""
+    own, vectors, n = [], [], 0
+    for batch in batches:
+        own.append(column(batch, "k").to_numpy(zero_copy_only=False))
+        vectors.append(column(batch, "v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension))
+        n += batch.num_rows
+        if n >= most:
+            yield np.concatenate(own), np.concatenate(vectors)
+            own, vectors, n = [], [], 0
+    if n:
+        yield np.concatenate(own), np.concatenate(vectors)
+
+
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """k (long) and v (array of doubles) of the rows that take part."""
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and v is not null and size(v) > 0")
@@ -151,24 +165,20 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, queries, places, asked, rotations = held.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, INDEX_ROWS):
-                    piece = batch.slice(at, INDEX_ROWS)
-                    own = column(piece, "k").to_numpy(zero_copy_only=False)
-                    vectors = column(piece, "v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-                    index = MultiIndex(codes(vectors, rotations), radius) if within else None
-                    out: list[list[np.ndarray]] = [[], [], [], []]
-                    for q in range(len(ids)):
-                        near = index.search(asked[q]) if index else np.arange(len(own))
-                        near = near[own[near] != ids[q]]
-                        score = vectors[near] @ queries[q]
-                        if len(near) > k:
-                            best = np.lexsort((own[near], -score))[:k]
-                            near, score = near[best], score[best]
-                        for x, v in zip(out, (np.full(len(near), ids[q]), own[near], score, np.full(len(near), places[q])), strict=True):
-                            x.append(v)
-                    joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
-                    yield batch_of({"query_id": (joined[0].astype(np.int64), pa.int64()), "vec_id": (joined[1].astype(np.int64), pa.int64()), "score": (joined[2].astype(float), pa.float64()), "place": (joined[3].astype(np.int64), pa.int64())})
+            for own, vectors in pieces(batches, dimension):
+                index = MultiIndex(codes(vectors, rotations), radius) if within else None
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for q in range(len(ids)):
+                    near = index.search(asked[q]) if index else np.arange(len(own))
+                    near = near[own[near] != ids[q]]
+                    score = vectors[near] @ queries[q]
+                    if len(near) > k:
+                        best = np.lexsort((own[near], -score))[:k]
+                        near, score = near[best], score[best]
+                    for x, v in zip(out, (np.full(len(near), ids[q]), own[near], score, np.full(len(near), places[q])), strict=True):
+                        x.append(v)
+                joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
+                yield batch_of({"query_id": (joined[0].astype(np.int64), pa.int64()), "vec_id": (joined[1].astype(np.int64), pa.int64()), "score": (joined[2].astype(float), pa.float64()), "place": (joined[3].astype(np.int64), pa.int64())})
 
         return rows.mapInArrow(found, "query_id long, vec_id long, score double, place long")
 
