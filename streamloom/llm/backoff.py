@@ -1,8 +1,8 @@
 """Stupid-backoff scores of every document, by relations of n-grams and their counts.
 
-For each order up to ORDER the corpus' n-grams are exploded and counted, which makes a count
-table partitioned by the n-gram's hash. The documents' n-grams are exploded, joined to the
-table by that hash, and the logarithms of the counts are summed by document.
+For each order up to ORDER the corpus' n-grams are exploded and counted in partitions of the
+n-gram's hash. The documents' n-grams meet their counts there, and the logarithms are summed by
+document.
 
 A word scores count(n-gram) / count(its first n-1 words) for the longest n-gram, of at most
 ORDER words and within its document, that the corpus holds, else BACKOFF times as much for
@@ -12,13 +12,15 @@ order of adding doesn't matter.
 
 Documents scored against themselves hold no n-gram that the corpus lacks, so nothing backs
 off, and most counts cancel between a word and the next: what is left of each n-gram is one
-term, which needs no other word's. Such n-grams are summed by document right after the join.
-An n-gram that occurs once has logarithm zero, so counts of one aren't joined. Documents
-scored against another corpus meet their counts word by word.
+term, which needs no other word's. So an order is shuffled once: each n-gram's rows lie together,
+are counted, and their terms are summed by document at once. Of the orders that only documents as
+short as themselves need, count tables are made and joined. Documents scored against another corpus
+meet its count tables word by word.
 
-N-grams that make up a HOT-th of the words or more, at most HOT of an order, are broadcast:
-no other n-gram has more rows than that, and no task is one n-gram's. N-grams are known by
-64-bit hashes: in 10^10 different ones about three share theirs with another.
+N-grams that make up about a HOT-th of a sample of the rows or more, at most HOT of an order, are
+counted apart and broadcast, so no task is one n-gram's. That is a choice of way, not of result: all
+counts are of the whole corpus. N-grams are known by 64-bit hashes: in 10^10 different ones about
+three share theirs with another.
 
 Words: A-Z lower-cased, runs of digits, letters and characters above 7F. Null and wordless
 texts have no words, score 0 and mean null. Repeated rows count as often as they occur, and
@@ -29,12 +31,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, release, saved
 
-ORDER, BACKOFF, HOT = 3, 0.4, 100_000
+ORDER, BACKOFF, HOT, PART = 3, 0.4, 100_000, 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,6 +78,16 @@ def met(rows: DataFrame, known: DataFrame, total: int, unknown: bool) -> list[Da
     return parts
 
 
+def _frequent(told: DataFrame, n: int) -> DataFrame:
+    """gram and count of the order's n-grams that are frequent in one row of PART: no more than HOT."""
+    some = told.where(F.pmod(F.xxhash64("row"), F.lit(PART)) == 0)
+    words_ = some.agg(F.sum("n_words")).first()[0] or 0
+    often = grams(some, n).groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") >= max(4, words_ // HOT)).select("gram")
+    found = saved(grams(told, n).join(F.broadcast(saved(often, "often")), "gram").groupBy("gram").agg(F.count("*").alias("count")), "frequent")
+    release(told.sparkSession)
+    return found
+
+
 def _own_terms(told: DataFrame, order: int, total: int) -> list[DataFrame]:
     """row and micro, to be summed: each order's n-grams as often as they are added less as often as they are taken away.
 
@@ -86,9 +98,16 @@ def _own_terms(told: DataFrame, order: int, total: int) -> list[DataFrame]:
         first = F.col("last") == n
         longest = F.lit(True) if n == order else first
         begins = F.lit(False) if n == order else (F.lit(True) if n == order - 1 else first) & (F.col("last") < F.col("n_words"))
-        rows = grams(told, n, "row", "n_words").withColumn("times", longest.cast("int") - begins.cast("int")).where("times != 0").select("row", "gram", "times")
-        parts = met(rows, counts(told, n, 2), total, False)
+        rows = grams(told, n, "row", "n_words").select("row", "gram", (longest.cast("int") - begins.cast("int")).alias("times"))
+        if n < order - 1:  # only rows of n words have a term
+            parts = met(rows.where("times != 0"), counts(told, n, 2), total, False)
+        else:
+            frequent = F.broadcast(_frequent(told, n))
+            counted = rows.join(frequent, "gram", "left_anti").withColumn("count", F.count("*").over(Window.partitionBy("gram")))
+            parts = [rows.where("times != 0").join(frequent, "gram"), counted.where("count > 1 and times != 0")]
         out += [saved(p.groupBy("row").agg(F.sum(F.col("times") * micro("count")).alias("micro")), "terms") for p in parts]
+        if n >= order - 1:
+            del counted
         del parts, rows
         release(told.sparkSession)
     return out
