@@ -206,33 +206,78 @@ class _Written(WriterCommitMessage):
     paths: list
 
 
+class _Open:
+    """A segment that is being written: batches are appended until it is full."""
+
+    def __init__(self, folder: str, recording: int, first: Record):
+        import os
+        import uuid
+
+        self.path = os.path.join(folder, f"t{first.topic_id}-p{first.partition_id}-{first.ingestion_sequence:020d}-{uuid.uuid4().hex[:8]}.segment")
+        self.file = open(self.path + ".part", "wb")
+        self.file.write(encode_header(SegmentHeader(recording, first.topic_id, first.partition_id, 1, first.ingestion_sequence, first.ingestion_ts_ns)))
+        self.size, self.records, self.began, self.last = HEADER_SIZE, 0, first.ingestion_ts_ns, first.ingestion_sequence - 1
+
+    def takes(self, r: Record, limits: tuple[int, int, int]) -> bool:
+        """Whether the next record follows the last one and none of the limits (bytes, records, nanoseconds) is passed; an empty segment takes any."""
+        most_bytes, most_records, most_ns = limits
+        fits = self.size + encoded_size(len(r.payload)) <= most_bytes and self.records < most_records and r.ingestion_ts_ns - self.began < most_ns
+        return r.ingestion_sequence == self.last + 1 and (fits or not self.records)
+
+    def append(self, r: Record) -> None:
+        data = encode_record(r)
+        self.file.write(data)
+        self.size, self.records, self.last = self.size + len(data), self.records + 1, r.ingestion_sequence
+
+    def close(self) -> str:
+        import os
+
+        self.file.flush()
+        os.fsync(self.file.fileno())
+        self.file.close()
+        return self.path
+
+
 class _Writer(DataSourceWriter):
-    """One file for each topic and partition of a task's rows, written beside its name and moved on commit."""
+    """The segments of a task's rows by topic and partition, each written beside its name and moved on commit.
+
+    Rows wait in batches of at most `batch` records, sorted by sequence before they are appended. A segment ends where
+    its limits (max_bytes, max_records, max_ns) or a break in the sequence say so. Sort rows within partitions for long segments.
+    """
 
     def __init__(self, options: dict, schema: StructType):
         self.options, self.names = dict(options), [f.name for f in schema]
 
     def write(self, iterator):
         import os
-        import uuid
 
-        groups: dict[tuple, list] = {}
-        paths = []
+        option = lambda name, default: int(self.options.get(name, default))
+        folder, limits = self.options["path"], (option("max_bytes", 128 << 20), option("max_records", 1 << 62), option("max_ns", 1 << 62))
+        os.makedirs(folder, exist_ok=True)
+        waiting: dict[tuple, list[Record]] = {}
+        segments: dict[tuple, _Open] = {}
+        paths, held, most = [], 0, option("batch", 4096)
+
+        def drain() -> None:
+            for key, records in waiting.items():
+                for r in sorted(records, key=lambda r: r.ingestion_sequence):
+                    if key in segments and not segments[key].takes(r, limits):
+                        paths.append(segments.pop(key).close())
+                    if key not in segments:
+                        segments[key] = _Open(folder, option("recording_id", 1), r)
+                    segments[key].append(r)
+            waiting.clear()
+
         for row in iterator:
             r = dict(zip(self.names, row, strict=True))
             record = Record(**{f.name: r[f.name] for f in fields(Record) if f.name in r})
-            groups.setdefault((record.topic_id, record.partition_id), []).append(record)
-        os.makedirs(self.options["path"], exist_ok=True)
-        for (topic, partition), records in groups.items():
-            records.sort(key=lambda r: r.ingestion_sequence)
-            head = SegmentHeader(int(self.options.get("recording_id", 1)), topic, partition, 1, records[0].ingestion_sequence, records[0].ingestion_ts_ns)
-            path = os.path.join(self.options["path"], f"t{topic}-p{partition}-{records[0].ingestion_sequence:020d}-{uuid.uuid4().hex[:8]}.segment")
-            with open(path + ".part", "wb") as f:
-                f.write(encode_header(head) + b"".join(map(encode_record, records)))
-                f.flush()
-                os.fsync(f.fileno())
-            paths.append(path)
-        return _Written(paths)
+            waiting.setdefault((record.topic_id, record.partition_id), []).append(record)
+            held += 1
+            if held >= most:
+                drain()
+                held = 0
+        drain()
+        return _Written([*paths, *(x.close() for x in segments.values())])
 
     def commit(self, messages):
         import os

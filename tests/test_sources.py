@@ -59,6 +59,47 @@ def test_data_source(spark, tmp_path):
     assert spark.read.format("segment").option("mode", "DROPMALFORMED").load(str(tmp_path)).count() == 39
 
 
+def test_segments_rotate_in_the_writer(spark, tmp_path):
+    spark.dataSource.register(segment.SegmentSource)
+    schema = segment.SCHEMA.replace("path string, offset long, ", "")
+    rows = [(0, 1, 1, 1, t, 0, s, s * 10, 1, 1, 1, s, s, bytearray(b"x" * 10)) for t in (1, 2) for s in range(1, 101)]
+    frame = spark.createDataFrame(rows, schema).coalesce(1)
+
+    def lengths(folder, **options):
+        frame.write.format("segment").options(**options).mode("append").save(str(tmp_path / folder))
+        back = spark.read.format("segment").load(str(tmp_path / folder))
+        assert back.count() == 200 and {r.disposition for r in segment.recovery(spark, str(tmp_path / folder)).collect()} == {"clean"}
+        return sorted(r["count"] for r in back.groupBy("path").count().collect())
+
+    assert lengths("a", batch=7) == [100, 100]  # batches go on in the open segment
+    assert lengths("b", max_records=30) == [10, 10, 30, 30, 30, 30, 30, 30]
+    assert lengths("c", max_ns=500) == [50] * 4
+    size = segment.encoded_size(10)
+    assert lengths("d", max_bytes=segment.HEADER_SIZE + 60 * size) == [40, 40, 60, 60]
+    holes = frame.where("ingestion_sequence % 50 <> 0")
+    holes.write.format("segment").mode("append").save(str(tmp_path / "e"))
+    assert sorted(r["count"] for r in spark.read.format("segment").load(str(tmp_path / "e")).groupBy("path").count().collect()) == [49] * 4
+
+
+def test_crc32c_by_slices():
+    import random
+
+    from streamloom.functions.scalars import _CRC, crc32c
+
+    def plain(data):
+        crc = 0xFFFFFFFF
+        for x in data:
+            crc = _CRC[(crc ^ x) & 255] ^ (crc >> 8)
+        return crc ^ 0xFFFFFFFF
+
+    assert crc32c(b"123456789") == 0xE3069283
+    r = random.Random(3)
+    for n in (0, 1, 255, 256, 257, 511, 512, 5000, 1 << 20):
+        data = r.randbytes(n)
+        assert crc32c(data) == plain(data)
+        assert crc32c(data[n // 3 :], crc32c(data[: n // 3])) == plain(data)
+
+
 def test_frames():
     f = frames.Frame(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, b"payload", frames.HAS_CRC, (1, 2, 3, 4, 5, 6))
     plain = frames.Frame(1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
