@@ -168,6 +168,21 @@ def crc32c(data: bytes, crc: int = 0) -> int:
     return crc ^ 0xFFFFFFFF
 
 
+def crc32c_rows(rows: np.ndarray) -> np.ndarray:
+    """The checksums of byte strings of one length, a row each: what came before a slice is folded into its first four bytes."""
+    state = np.full(len(rows), 0xFFFFFFFF, np.uint32)
+    for at in range(0, rows.shape[1], _SLICE):
+        part = rows[:, at : at + _SLICE].copy()
+        n = part.shape[1]
+        if n >= 4:
+            part[:, :4] ^= state.astype("<u4").view(np.uint8).reshape(-1, 4)
+            state = np.bitwise_xor.reduce(_PLACES[np.arange(_SLICE - n, _SLICE), part], axis=1)
+        else:
+            for k in range(n):
+                state = (state >> np.uint32(8)) ^ _PLACES[-1][(state ^ part[:, k]) & np.uint32(255)]
+    return state ^ np.uint32(0xFFFFFFFF)
+
+
 def crc32c_column(data: Column) -> Column:
     """CRC-32C of binary values (Spark's own crc32 is another polynomial)."""
 

@@ -81,10 +81,35 @@ def test_segments_rotate_in_the_writer(spark, tmp_path):
     assert sorted(r["count"] for r in spark.read.format("segment").load(str(tmp_path / "e")).groupBy("path").count().collect()) == [49] * 4
 
 
+def test_clean_scan_agrees_with_the_careful_one():
+    import random
+
+    from streamloom.sources.segment import Record, SegmentHeader, encode_header, encode_record, scan, scan_clean
+
+    r = random.Random(8)
+    records = [Record(i % 3 % 2, 1, 2, 3, 7, 1, i, i * 10, 1, 2, 3, i, i + 5, r.randbytes(r.choice([0, 1, 8, 9, 300, 700]))) for i in range(4, 60)]
+    data = encode_header(SegmentHeader(1, 7, 1, 1, 4, 40)) + b"".join(map(encode_record, records))
+    places, found = scan_clean(data)
+    careful = list(scan(data))
+    assert [at for at, _ in careful] == places.tolist() and [x for _, x in careful] == records
+    for name in ("flags", "schema_ref", "topic_id", "ingestion_sequence", "node_id", "observed_ts_ns"):
+        assert found[name].tolist() == [getattr(x, name) for x in records]
+    assert len(scan_clean(encode_header(SegmentHeader(1, 7, 1, 1, 4, 40)))[0]) == 0
+    for at in sorted(r.sample(range(len(data)), 300)):  # whatever the careful scan objects to, this one does not pass
+        bad = bytearray(data)
+        bad[at] ^= 1 << r.randrange(8)
+        assert scan_clean(bytes(bad)) is None
+    assert scan_clean(data[:-3]) is None and scan_clean(data + b"x" * 200) is None
+    swapped = encode_header(SegmentHeader(1, 7, 1, 1, 4, 40)) + b"".join(map(encode_record, [records[1], records[0]]))
+    assert scan_clean(swapped) is None
+
+
 def test_crc32c_by_slices():
     import random
 
-    from streamloom.functions.scalars import _CRC, crc32c
+    import numpy as np
+
+    from streamloom.functions.scalars import _CRC, crc32c, crc32c_rows
 
     def plain(data):
         crc = 0xFFFFFFFF
@@ -98,6 +123,9 @@ def test_crc32c_by_slices():
         data = r.randbytes(n)
         assert crc32c(data) == plain(data)
         assert crc32c(data[n // 3 :], crc32c(data[: n // 3])) == plain(data)
+    for n in (0, 1, 3, 4, 5, 200, 256, 258, 259, 300, 1030):
+        rows = np.frombuffer(r.randbytes(7 * n), np.uint8).reshape(7, n)
+        assert crc32c_rows(rows).tolist() == [plain(x.tobytes()) for x in rows]
 
 
 def test_frames():
