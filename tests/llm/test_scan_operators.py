@@ -223,19 +223,22 @@ def test_plan_is_tight():
         assert used <= best <= 1.01 * plain
 
 
-@pytest.mark.parametrize("shape", ["even", "short", "long"])
-def test_the_program_makes_the_packing(shape):
-    """Its configurations hold nearly all pieces, and the sequences are close to what no packing can beat."""
+@pytest.mark.parametrize(("shape", "shares"), [("short", (0.6, 0.95)), ("long", (1.0, 1.0)), ("even", (0.0, 0.25))])
+def test_the_program_makes_the_packing(shape, shares):
+    """Its configurations hold most pieces where lengths are those of texts, and the sequences are close to what no packing can beat.
+
+    Lengths spread evenly up to a whole sequence leave each configuration a part of one: there best-fit needs fewer sequences and is taken.
+    """
     rng = np.random.default_rng(11)
     draw = {"even": lambda n: rng.integers(1, 2048, n), "short": lambda n: 20 + rng.geometric(1 / 300, n).clip(max=2000), "long": lambda n: rng.integers(1100, 2048, n)}[shape]
-    for n, share in ((1000, 0.8), (20_000, 0.9)):
+    for n, share in zip((1000, 20_000), shares, strict=True):
         counts = np.bincount(draw(n), minlength=2049)
         packed, placed = packing.planned(counts)
         sequences = sum(t for _, t in packed)
         least = max(-(-int((np.arange(2049) * counts).sum()) // 2048), int(counts[1025:].sum()))
         assert sum(t * sum(h for _, h in c) for c, t in packed) == n
         assert placed >= share * n, (shape, n, placed)
-        assert sequences <= 1.02 * least + 2, (shape, n, sequences, least)
+        assert sequences <= 1.012 * least, (shape, n, sequences, least)
 
 
 # nearest neighbours -------------------------------------------------------------------------
