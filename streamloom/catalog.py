@@ -1051,7 +1051,7 @@ def versions_and_backoff(spark, d):
 @query("""SELECT c_custkey, least(18446744073709551615::HUGEINT, 18446744073709550000::HUGEINT + c_custkey * 3)::DECIMAL(20, 0) AS added, least(18446744073709551615::HUGEINT, (c_custkey * 100000000000000)::HUGEINT * 1000)::DECIMAL(20, 0) AS multiplied FROM customer""")
 def saturating_arithmetic(spark, d):
     k = F.col("c_custkey")
-    return v.table(spark, d, "customer").select(k, f.saturating_add(F.lit("18446744073709550000").cast("decimal(20,0)"), k * 3).alias("added"), f.saturating_multiply(k * 100000000000000, F.lit(1000)).alias("multiplied"))
+    return v.table(spark, d, "customer").select(k, f.saturating_add(F.lit("18446744073709550000").cast("decimal(20,0)"), k * 3).alias("added"), f.saturating_multiply(f.saturating_multiply(k, F.lit(100000000000000)), F.lit(1000)).alias("multiplied"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, json_extract(props, '$.k') IS NOT NULL AS has_k, [json_extract(props, '$.k')::BIGINT, event_id % 5][(event_id % 2 + 1)::INTEGER] AS element FROM events")

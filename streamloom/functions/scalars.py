@@ -59,7 +59,8 @@ def saturating_add(a: Column, b: Column, most: int = U64 - 1) -> Column:
 
 
 def saturating_multiply(a: Column, b: Column, most: int = U64 - 1) -> Column:
-    wide = F.try_multiply(a.cast("decimal(20,0)"), b.cast("decimal(18,0)"))
+    """In decimal(20,0), at most `most`, however large the product of the two."""
+    wide = F.try_multiply(a.cast("decimal(38,0)"), b.cast("decimal(38,0)"))
     return F.least(F.coalesce(wide.cast("decimal(38,0)"), F.lit(str(most)).cast("decimal(38,0)")), F.lit(str(most)).cast("decimal(38,0)")).cast("decimal(20,0)")
 
 

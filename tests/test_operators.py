@@ -241,3 +241,15 @@ def test_fragments(spark):
     frames = spark.createDataFrame([(1, 1, *r) for r in rows], "connection long, peer long, message_id long, index long, bytes binary, count long, crc long")
     got = {r.message_id: (r.status, r.payload) for r in delivery.reassembled(frames).collect()}
     assert got == {1: ("complete", bytearray(whole)), 2: ("incomplete", None), 3: ("corrupt", None), 4: ("rejected", None), 5: ("rejected", None), 6: ("rejected", None), 7: ("complete", bytearray())}
+
+
+def test_saturating_arithmetic_beyond_64_bits(spark, tmp_path):
+    from streamloom import catalog
+
+    keys = [0, 1, 184, 185, 92_234, 900_000, 5_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_custkey: (int(r.added), int(r.multiplied)) for r in catalog.queries()["saturating_arithmetic"](spark, str(tmp_path)).collect()}
+    most = (1 << 64) - 1
+    assert got == {k: (min(most, 18446744073709550000 + 3 * k), min(most, k * 10**17)) for k in keys}
+    wide = spark.range(1).select(scalars.saturating_multiply(F.lit("9" * 38).cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)")).alias("x")).first()
+    assert int(wide.x) == most
