@@ -5,10 +5,14 @@ know of the whole corpus they ask by hash: every block sends one payload to each
 the hash space, a bucket answers every block that asked, and the answers meet their
 block again. So a shuffle moves arrays, not one row for each hash, and no task holds more
 than a bucket or a block, whose number grows with the corpus.
+
+Blocks that wait for answers lie in Spark's buckets, dealt by groups of consecutive blocks: the
+answers are shuffled to them, and their texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -18,18 +22,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, batch_of, bounded, column, release, saved, small_batches, strings
+from .common import batch_of, column, release, saved, shared_folder, small_batches, strings
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose hashes share a bucket, about.
 BUCKET_BYTES = 8 << 20
+#: 2 to this power consecutive blocks of a task lie together.
+PART_BITS = 3
 
 
-def blocked(docs: DataFrame, key: str, text: str, encode: Callable[[list[bytes]], bytes] = b"".join, size: int = BLOCK_BYTES) -> DataFrame:
+def blocked(docs: DataFrame, key: str, text: str, encode: Callable[[list[bytes]], bytes] = b"".join, size: int = BLOCK_BYTES, wait: bool = False) -> DataFrame:
     """block, keys, lengths (bytes of each text) and data, written to the shared folder so that blocks stay as they are.
 
-    encode makes the block's data of its texts (by default, joins them).
+    encode makes the block's data of its texts (by default, joins them). wait: for with_answers, with the column part.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["k"].dataType.simpleString()
@@ -55,7 +61,23 @@ def blocked(docs: DataFrame, key: str, text: str, encode: Callable[[list[bytes]]
         if keys:
             yield made()
 
-    return saved(small_batches(rows).mapInArrow(gathered, f"block long, keys array<{kind}>, lengths array<bigint>, data binary"), "blocks")
+    out = small_batches(rows).mapInArrow(gathered, f"block long, keys array<{kind}>, lengths array<bigint>, data binary")
+    return _placed(out.select(_part().alias("part"), "*")) if wait else saved(out, "blocks")
+
+
+def _part():
+    return F.shiftright("block", PART_BITS)
+
+
+def _placed(blocks: DataFrame) -> DataFrame:
+    """Writes blocks in as many buckets as a shuffle has partitions, by part, and reads them back."""
+    spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    out = blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").option("compression", "zstd")
+    out.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # known before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def bucket_count(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -104,17 +126,15 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes |
     return found
 
 
-def with_answers(blocks: DataFrame, answers: list[DataFrame | None], most: int = BROADCAST_BYTES) -> DataFrame:
-    """blocks with the column answers: (step, bucket, payload) of the answers of each step (None: not needed), null where nothing was answered.
+def with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """blocks (that wait) with the column answers: (block, step, bucket, payload) of the answers of each step, null where nothing was answered to the block's part.
 
-    One join, whatever the number of steps: broadcast if the answers take at most `most` bytes, else shuffled by block.
+    One join, whatever the number of steps; only the answers are shuffled.
     """
-    every = [found.select("block", F.struct(F.lit(i).alias("step"), "bucket", "payload").alias("a")) for i, found in enumerate(answers) if found is not None]
-    if not every:
-        return blocks.withColumn("answers", F.lit(None).cast("array<struct<step:int,bucket:int,payload:binary>>"))
-    met = reduce(DataFrame.union, every).groupBy("block").agg(F.collect_list("a").alias("answers"))
-    size = F.aggregate("answers", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["payload"]) + 16)
-    return blocks.join(bounded(met, size, most), "block", "left")
+    every = [found.select(_part().alias("part"), F.struct("block", F.lit(i).alias("step"), "bucket", "payload").alias("a")) for i, found in enumerate(answers)]
+    met = reduce(DataFrame.union, every).groupBy("part").agg(F.collect_list("a").alias("answers"))
+    own = F.filter("answers", lambda a: a["block"] == F.col("block"))
+    return blocks.join(met.hint("shuffle_hash"), "part", "left").withColumn("answers", own)
 
 
 def of_step(row: dict, step: int) -> list[dict]:

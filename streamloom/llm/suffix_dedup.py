@@ -43,16 +43,24 @@ from .common import batch_of, column
 SPAN, GRAM, GROUP = 200, 50, 256
 #: Bytes of text whose anchors share a bucket, about.
 BUCKET_BYTES = 8 << 20
+#: Window starts of a block that are hashed at once: a task holds some arrays of so many 64-bit numbers, however long its texts are.
+CHUNK = 1 << 19
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """base (odd) to the power i and its inverse, modulo 2^64."""
-    inverse = pow(int(base), -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(0, n - 1), m, np.uint64))))[:n] for m in (base, np.uint64(inverse)))
+    """base (odd) to the power i and its inverse, modulo 2^64, kept for the next chunk."""
+    if int(base) not in _POWERS or len(_POWERS[int(base)][0]) < n:
+        inverse = pow(int(base), -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            _POWERS[int(base)] = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(0, n - 1), m, np.uint64)))) for m in (base, np.uint64(inverse)))
+    power, inverse = _POWERS[int(base)]
+    return power[:n], inverse[:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,33 +98,45 @@ class Anchors:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, span: int, gram: int):
         self.data, self.span = data, span
-        empty = np.zeros(0, np.int64)
-        self.place = self.first = self.last = empty
-        self.gram_hash = self.span_hash = empty.astype(np.uint64)
-        if len(data) < span:
-            return
-        self.hashes = Hashes(data)
-        n = len(data) - gram + 1
-        grams = self.hashes.of(slice(0, n), slice(gram, gram + n))
-        low = np.uint64((1 << max(1, n.bit_length())) - 1)
-        least = _sliding_least((grams & ~low) | np.arange(n, dtype=np.uint64), span - gram + 1)
-        anchor = (least & low).astype(np.int64)
-        starts = np.concatenate(([0], ends[:-1]))
-        inside = np.zeros(len(data) + 1, np.int64)  # window starts that stay within their document
-        fits = ends - starts >= span
-        np.add.at(inside, starts[fits], 1)
-        np.add.at(inside, ends[fits] - span + 1, -1)
-        window = np.flatnonzero(np.cumsum(inside[: len(anchor)]) > 0)
+        found = [self._chunk(ends, gram, a) for a in range(0, len(data) - span + 1, CHUNK)]
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        self.place, self.first, self.last, self.gram_hash, self.span_hash = (np.concatenate([np.zeros(0, kind), *(x[i] for x in found)]) for i, kind in enumerate(kinds))
+
+    def _chunk(self, ends: np.ndarray, gram: int, a: int) -> list[np.ndarray]:
+        """Of the anchors whose first window starts at a to a + CHUNK. An anchor has at most span windows: some more, and the one before, are looked at."""
+        span = self.span
+        windows = len(self.data) - span + 1
+        low, high = max(0, a - 1), min(windows, a + CHUNK + span)
+        data = self.data[low : high - 1 + span]
+        at = np.arange(low, high)
+        window = np.flatnonzero(at + span <= ends[np.searchsorted(ends, at, side="right")])  # those that stay within their document
         if not len(window):
-            return
-        anchor = anchor[window]
+            return [window, window, window, window.astype(np.uint64), window.astype(np.uint64)]
+        hashes = Hashes(data)
+        n = len(data) - gram + 1
+        grams = hashes.of(slice(0, n), slice(gram, gram + n))
+        bits = np.uint64((1 << (CHUNK + 2 * span).bit_length()) - 1)  # as many for every chunk, so that all compare the same bits of a hash
+        least = _sliding_least((grams & ~bits) | np.arange(n, dtype=np.uint64), span - gram + 1)
+        anchor = (least & bits).astype(np.int64)[window]
         edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        self.place = anchor[edge]
-        self.first = window[edge]
-        self.last = window[np.concatenate((edge[1:], [len(window)])) - 1]
-        self.gram_hash = _mixed(grams[self.place] ^ _M)  # the least hashes are all small: mixed again, they spread over the buckets
-        shape = (self.place - self.first).astype(np.uint64) * np.uint64(1 << 32) + (self.last - self.first).astype(np.uint64)
-        self.span_hash = _mixed(self.hashes.of(self.first, self.last + span) + shape * _M)
+        place, first = anchor[edge], window[edge]
+        last = window[np.concatenate((edge[1:], [len(window)])) - 1]
+        own = (first + low >= a) & (first + low < a + CHUNK)
+        place, first, last = place[own], first[own], last[own]
+        gram_hash = _mixed(grams[place] ^ _M)  # the least hashes are all small: mixed again, they spread over the buckets
+        shape = (place - first).astype(np.uint64) * np.uint64(1 << 32) + (last - first).astype(np.uint64)
+        span_hash = _mixed(hashes.of(first, last + span) + shape * _M)
+        return [place + low, first + low, last + low, gram_hash, span_hash]
+
+    def window_hashes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows that start there (rising)."""
+        edges = np.searchsorted(start, np.arange(0, len(self.data) + CHUNK, CHUNK))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            at = start[edges[k] : edges[k + 1]] - k * CHUNK
+            for kind in (0, 1):
+                out[kind].append(Hashes(self.data[k * CHUNK : (k + 1) * CHUNK + self.span], kind).of(at, at + self.span))
+        return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 # The answers of step 1, for anchors that occur again: the span is compared with the anchor's others; its windows are;
@@ -211,11 +231,12 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
 # more than once, whether it is compared with its like alone; of the windows two hashes, ordinal of the anchor, step.
 _SENT = (np.uint64, np.int32, np.int32, np.uint8, np.bool_, np.bool_, np.uint64, np.uint64, np.uint32, np.uint16)
 # What comes back: places in the payload, from, to and repeat of the ranges of spans; ordinal and step of windows.
+# Where repeats aren't listed, a span has one range: all its repeats hold its anchor, so what they cover is one range.
 _BACK = (np.uint32, np.int32, np.int32, np.uint64, np.uint32, np.uint16)
 
 
-def compare(payloads: list[bytes], span: int) -> list[bytes | None]:
-    """Step 2 in one bucket: covered byte ranges of spans, and windows that occur again."""
+def compare(payloads: list[bytes], span: int, listed: bool = False) -> list[bytes | None]:
+    """Step 2 in one bucket: covered byte ranges of spans (listed: those of every repeat), and windows that occur again."""
     parts = [_unpack(x, *_SENT) for x in payloads]
     found: list[list[list[int]]] = [[[], [], [], []] for _ in parts]
     gram = np.concatenate([p[0] for p in parts])
@@ -240,19 +261,27 @@ def compare(payloads: list[bytes], span: int) -> list[bytes | None]:
         def report(same: tuple[int, bytes], n: int, r: int) -> None:
             """The bytes from n before the anchor to r from it on, in all places of a class."""
             before, data = same
-            repeat = xxhash.xxh64_intdigest(data[before - n : before + r])
+            repeat = xxhash.xxh64_intdigest(data[before - n : before + r]) if listed else 0
             for p, k in classes[same]:
                 for list_, value in zip(found[p], (k, before - n, before + r, repeat), strict=True):
                     list_.append(value)
 
         distinct = list(classes)
-        for same in distinct:
-            if len(classes[same]) > 1 or same in twice:
+        whole = [len(classes[same]) > 1 or same in twice for same in distinct]
+        for same, again in zip(distinct, whole, strict=True):
+            if again:
                 report(same, same[0], len(same[1]) - same[0])
-        if len(distinct) > 1 and not alone:
+        if len(distinct) > 1 and not alone and (listed or not all(whole)):
+            covered: dict[int, tuple[int, int]] = {}
             for n, r, members in maximal_repeats([d[:m][::-1] for m, d in distinct], [d[m:] for m, d in distinct], span):
                 for x in members:
-                    report(distinct[x], n, r)
+                    if listed:
+                        report(distinct[x], n, r)
+                    elif not whole[x]:
+                        most = covered.get(x, (0, 0))
+                        covered[x] = max(n, most[0]), max(r, most[1])
+            for x, (n, r) in covered.items():
+                report(distinct[x], n, r)
     first, second = (np.concatenate([p[k] for p in parts]) for k in (6, 7))
     by = np.lexsort((second, first))
     equal = (first[by][1:] == first[by][:-1]) & (second[by][1:] == second[by][:-1])
@@ -262,7 +291,7 @@ def compare(payloads: list[bytes], span: int) -> list[bytes | None]:
     out: list[bytes | None] = []
     for p, f, w in zip(parts, found, np.split(hit, np.cumsum([len(p[6]) for p in parts])[:-1]), strict=True):
         if f[0] or w.any():
-            out.append(_pack(*(np.array(x, kind) for x, kind in zip(f, _BACK, strict=False)), p[8][w], p[9][w]))
+            out.append(_pack(*(np.array(x, kind) for x, kind in zip(f if listed else [*f[:3], []], _BACK, strict=False)), p[8][w], p[9][w]))
         else:
             out.append(None)
     return out
@@ -271,13 +300,13 @@ def compare(payloads: list[bytes], span: int) -> list[bytes | None]:
 class _Search:
     """The two questions of the blocks, and what their answers mean for a block."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, span: int, gram: int, group: int):
-        self.blocks = blocked(docs, key, text)
+    def __init__(self, docs: DataFrame, key: str, text: str, span: int, gram: int, group: int, listed: bool = False):
+        self.blocks = blocked(docs, key, text, wait=True)
         self.kind = self.blocks.schema["keys"].dataType.elementType.simpleString()
         self.span, self.gram, self.buckets = span, gram, bucket_count(self.blocks, BUCKET_BYTES)
         own = _Anchored(span, gram, self.buckets)
         first = answered(asked(self.blocks, own.ask), lambda p: classify(p, group), "anchors")
-        second = answered(asked(with_answers(self.blocks, [first]), own.ask_again), lambda p: compare(p, span), "spans")
+        second = answered(asked(with_answers(self.blocks, [first]), own.ask_again), lambda p: compare(p, span, listed), "spans")
         self.told = with_answers(self.blocks, [first, second])
         self.anchored = own
 
@@ -335,8 +364,7 @@ class _Anchored:
         ordinal = np.repeat(alone, counts)
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         start = x.first[ordinal] + step
-        none = np.zeros(0, np.uint64)
-        first, second = (x.hashes.of(start, start + self.span), Hashes(data, 1).of(start, start + self.span)) if len(start) else (none, none)
+        first, second = x.window_hashes(start)
         windows = dict(split(bucket_of(first, self.buckets), self.buckets))
         none = np.zeros(0, np.int64)
         for b in sorted({*by, *windows}):
@@ -346,7 +374,7 @@ class _Anchored:
             yield b, _pack(*(np.asarray(v, kind) for v, kind in zip(columns, _SENT, strict=True)))
 
     def ranges(self, row: dict, x: Anchors) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(from, to, repeat) of the block's byte ranges that are repeats; repeat 0: a window of a large group."""
+        """(from, to, repeat) of the block's byte ranges that are repeats; repeat 0: a window of a large group, or repeats aren't listed."""
         if not of_step(row, 0):
             return
         by, for_, _, _ = self.sent(self.codes(row, x), x)
@@ -359,7 +387,7 @@ class _Anchored:
                 times = edges[rep + 1] - edges[rep]
                 which = np.repeat(np.arange(len(rep)), times)
                 at = x.first[like[np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(edges[rep], times)]]
-                yield at + begin[which], at + end[which], repeat[which]
+                yield at + begin[which], at + end[which], repeat[which] if len(repeat) else np.zeros(len(which), np.uint64)
             at = x.first[ordinal] + step
             yield at, at + self.span, np.zeros(len(at), np.uint64)
 
@@ -372,15 +400,15 @@ def duplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: column(batch, n)[i].as_py() for n in batch.schema.names if n != "keys"}
+                row = {n: column(batch, n)[i].as_py() for n in batch.schema.names if n not in ("keys", "part")}
                 data = np.frombuffer(row["data"], np.uint8)
                 ends = np.cumsum(np.array(row["lengths"], np.int64))
-                change = np.zeros(len(data) + 1, np.int64)
+                change = np.zeros(len(data) + 1, np.int32)
                 if of_step(row, 1):
                     for begin, end, _ in own.ranges(row, Anchors(data, ends, span, gram)):
                         np.add.at(change, begin, 1)
                         np.add.at(change, end, -1)
-                gone = np.cumsum(change)[:-1] > 0
+                gone = np.cumsum(change, out=change)[:-1] > 0
                 out: list[list] = [[], [], [], [], []]
                 start = 0
                 for end in ends.tolist():
@@ -401,7 +429,7 @@ def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", span
 
     Repeats at anchors with more than `group` distinct spans aren't listed.
     """
-    search = _Search(docs, key, text, span, gram, group)
+    search = _Search(docs, key, text, span, gram, group, listed=True)
     own = search.anchored
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,3 +111,36 @@ def test_nothing(spark):
 
 def test_intervals():
     assert sorted(suffix_dedup.lcp_intervals([1, 3, 0, 3, 0, 2])) == sorted([(0, 0, 6), (1, 0, 2), (3, 1, 2), (3, 3, 4), (2, 5, 6)])
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    """Blocks hashed in chunks of a few hundred windows: long texts, and repeats across the edges of chunks."""
+    data = np.frombuffer("".join(x or "" for x in corpus(4)).encode(), np.uint8)
+    ends = np.array([0, 700, 700, 5000, len(data)])
+    whole = suffix_dedup.Anchors(data, ends, 200, 50)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 333)
+    cut = suffix_dedup.Anchors(data, ends, 200, 50)
+    for name in ("place", "first", "last", "gram_hash", "span_hash"):
+        assert getattr(cut, name).tolist() == getattr(whole, name).tolist(), name
+    start = np.arange(0, len(data) - 199, 7)
+    hashes = [suffix_dedup.Hashes(data, kind).of(start, start + 200).tolist() for kind in (0, 1)]
+    assert [x.tolist() for x in cut.window_hashes(start)] == hashes
+    check(spark, corpus(5), 200, 50, 2)
+
+
+def test_a_long_text_is_hashed_in_little_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(1).integers(97, 123, 12 << 20, dtype=np.uint8)
+    tracemalloc.start()
+    x = suffix_dedup.Anchors(data, np.array([len(data)]), 200, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x.place) > len(data) // 100 and most < 8 * len(data)
+
+
+def test_texts_are_not_shuffled(spark):
+    """Only answers are: the blocks are read where they lie, and nothing is broadcast."""
+    out = suffix_dedup.duplicate_bytes(spark.createDataFrame(list(enumerate(corpus(6))), "doc_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "BroadcastExchange" not in plan
