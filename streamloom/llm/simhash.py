@@ -49,7 +49,11 @@ def fingerprint(data: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     parts = shingles(data, size)
     if not parts:
         return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in parts), np.uint64, len(parts))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in parts), np.uint64, len(parts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; unsigned."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,11 +1,15 @@
-"""SimHash's embedding for whole shingle sets: near duplicates by Jaccard similarity, without loss.
+"""SimHash near duplicates carried on to a Jaccard similarity, without loss.
 
-A SimHash fingerprint of 64 bits can't tell a similarity of 0.8 from less, so here a text's
-fingerprint is the whole set of its shingles' 64-bit hashes, a bit each in the hash space. It is
+The SimHash operator comes first: the fingerprint of a text's shingles, embedded as bit counts by
+segment, dealt to cells, compared by Manhattan distance and then exactly. What it links is compared
+shingle by shingle. Texts with equal shingle sets are one node.
+
+A fingerprint of 64 bits can't tell a similarity of 0.8 from less, so what it leaves apart goes on
+with a longer one: the whole set of the shingles' 64-bit hashes, a bit each in the hash space. It is
 embedded as SimHash's is: the space is cut into segments, and the text is the list of its bit
 counts by segment. Two sets of similarity 4/5 or more differ in at most a ninth of their joint
 size, and the Manhattan distance of the counts is no more than that: pairs beyond it are
-dropped, the others are compared exactly. Texts with equal sets are one node.
+dropped, the others are compared exactly.
 
 At such a radius no cell of counts is shared for certain, so cells are of shingles: in any one
 order of all shingles, two similar sets share one of their first n // 5 + 1 (n in the set).
@@ -13,10 +17,10 @@ Those are a node's tokens, and nodes that share none aren't compared. The order
 shingles that are a token of more than HOT rows come last, so that common lines are tokens only
 of texts that hold little else. Which do changes the work, not the result.
 
-Nodes that share a token are first compared with the least of them, then those of other components
-with one more, and last all that aren't of the token's largest component with all of other components.
+Nodes that share a token and that fingerprints left apart are first compared with two of them, and
+then all that aren't of the token's largest component with all of other components.
 So a large group of copies costs rows by its size, not by its square, and only nodes that the first
-rounds left apart are compared with many, by their embeddings, in blocks of at most BLOCK of each.
+round left apart are compared with many, by their embeddings, in blocks of at most BLOCK of each.
 Sets are never kept: the texts of the pairs left are read again and meet in groups of bounded size.
 
 Null and wordless texts are equal to each other and to nothing else; a text of fewer words than
@@ -34,8 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import ascii_lower, batch_of, bounded, column, release, saved, small_batches, strings
-from .simhash import components, kept
+from .simhash import kept, majority
 
 SHINGLE, SEED = 5, 42
 #: Rows that may share a token before it comes last in the order, estimated from one row of PART, and how many such tokens the order knows at most.
@@ -48,6 +53,8 @@ COARSE = 64
 SIDE_BYTES = 16 << 20
 #: Shingles that are compared with one node in one task, about.
 GROUP_SHINGLES = 10_000
+#: Edges that a task gathers before it contracts them.
+EDGES = 1 << 18
 #: Nodes of a token that meet in one task, of those that ask and of those that are asked.
 BLOCK = 512
 
@@ -133,7 +140,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _embedded(rows: DataFrame, size: int) -> DataFrame:
-    """k, node (a hash of the set), n (shingles in it), counts and coarse (the counts in at most COARSE segments) of every row."""
+    """k, node (a hash of the set), n (shingles in it), fp (its SimHash fingerprint), counts and coarse (the counts in at most COARSE segments) of every row."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +150,22 @@ def _embedded(rows: DataFrame, size: int) -> DataFrame:
                 "k": (column(batch, "k"), None),
                 "node": ([node_of(x) for x in found], pa.int64()),
                 "n": ([len(x) for x in found], pa.int32()),
+                "fp": (np.array([majority(x) if len(x) else 0 for x in found], np.uint64).view(np.int64), pa.int64()),
                 "counts": (counts, pa.binary()),
                 "coarse": ([folded(rows_of([x]), min(len(x), COARSE)).astype(np.uint8).tobytes() for x in counts], pa.binary()),
             })
 
-    return rows.mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, node long, n int, counts binary, coarse binary")
+    return rows.mapInArrow(mapped, f"k {rows.schema['k'].dataType.simpleString()}, node long, n int, fp long, counts binary, coarse binary")
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """a, b: the pairs that the SimHash operator's cells link: nodes of one fingerprint, and the least nodes of fingerprints that it links."""
+    prints = saved(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = nodes.select("fp", "node").join(prints, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(prints.select("fp"))
+    for side in ("a", "b"):
+        linked = linked.join(prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+    return same.union(linked.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node")).distinct())
 
 
 def _tokens(rows: DataFrame, size: int, hot: np.ndarray) -> DataFrame:
@@ -237,6 +255,54 @@ def _apart(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(mapped, "a long, b long").distinct()
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """u, v (less than u): edges that connect what the edges a, b of each task connect, one for each node but the least of a component."""
+
+    def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        i, j = at[: len(a)], at[len(a) :]
+        label = np.arange(len(node))
+        while (differ := label[i] != label[j]).any():
+            i, j = i[differ], j[differ]
+            x, y = label[i], label[j]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+        other = np.flatnonzero(label != np.arange(len(node)))
+        return node[other], node[label[other]]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = np.zeros(0, np.int64)
+        held = [[a], [b]]
+        for batch in batches:
+            for list_, name in zip(held, ("a", "b"), strict=True):
+                list_.append(column(batch, name).to_numpy(zero_copy_only=False))
+            if sum(map(len, held[0])) > 2 * len(a) + EDGES:
+                a, b = contracted(*map(np.concatenate, held))
+                held = [[a], [b]]
+        u, v = contracted(*map(np.concatenate, held))
+        for at in range(0, len(u), EDGES):
+            yield batch_of({"u": (u[at : at + EDGES], pa.int64()), "v": (v[at : at + EDGES], pa.int64())})
+
+    return edges.select("a", "b").mapInArrow(mapped, "u long, v long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) for each node of edges a, b: forests by task, then large and small stars until only stars are left."""
+    e = saved(_forest(edges), "edges")
+    while True:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 or (up = 1 and least = 0)").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")), "large")
+        large = _forest(large).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+
+
 def _labelled(nodes: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
     """token, node, n and label (the component so far) of the members."""
     roots = components(found).distinct()
@@ -272,13 +338,15 @@ def links(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     many = shared.where("times > 2").select("token", "a")
     members = saved(dealt.join(bounded(many, F.lit(32)), "token").distinct(), "members")
     release(spark)
-    stars = shared.where("times = 2").select("a", "b").union(members.where("node != a").select("a", F.col("node").alias("b"))).distinct()
-    found = _confirmed(saved(stars, "stars"), nodes, rows, size)
+    found = _confirmed(saved(by_fingerprint(nodes), "linked"), nodes, rows, size)
     sides = _labelled(nodes, found, members)
-    centre = sides.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("by"), "node", "n", "label")).alias("c"), F.min("label").alias("first"), F.max("label").alias("last"))
-    centre = saved(centre.where("first < last").select("token", F.col("c.node").alias("a"), F.col("c.n").alias("m"), F.col("c.label").alias("own")), "centres")
+    held = [F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("own")]
+    centre = sides.groupBy("token").agg(F.min(F.struct(*held)).alias("c"), F.min_by(F.struct(*held), F.xxhash64("node", F.lit(1))).alias("d"), F.min("label").alias("first"), F.max("label").alias("last"))
+    centre = saved(centre.where("first < last").select("token", F.explode(F.array_distinct(F.array("c", "d"))).alias("c")).select("token", "c.*"), "centres")
     more = sides.join(bounded(centre, F.lit(40), SIDE_BYTES), "token").where("label != own and 5 * least(n, m) >= 4 * greatest(n, m)")
-    found = found.union(_confirmed(saved(more.select("a", F.col("node").alias("b")).distinct(), "stars"), nodes, rows, size))
+    stars = shared.where("times = 2").select("a", "b").union(more.select(F.least("a", "node"), F.greatest("a", "node"))).distinct()
+    stars = stars.join(found, ["a", "b"], "left_anti")
+    found = found.union(_confirmed(saved(stars, "stars"), nodes, rows, size))
     rest = saved(_apart(_blocks(_labelled(nodes, found, members), nodes)), "rest")
     return found.union(_confirmed(rest, nodes, rows, size))
 
@@ -287,7 +355,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """key and component_id (the smallest key reachable) of every row of docs with a key."""
     rows = _rows(docs, key, text)
     prints = saved(_embedded(rows, size), "embedded")
-    nodes = saved(prints.groupBy("node").agg(F.min("k").alias("least"), F.max("n").alias("n"), F.first("counts").alias("counts"), F.first("coarse").alias("coarse")), "nodes")
+    nodes = saved(prints.groupBy("node").agg(F.min("k").alias("least"), F.max("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts"), F.first("coarse").alias("coarse")), "nodes")
     roots = components(links(rows, nodes, size)).distinct()
     of = nodes.select("node", "least").join(bounded(roots, F.lit(32), SIDE_BYTES), "node", "left")
     of = saved(of.select("node", F.coalesce("root", "node").alias("root"), "least"), "roots")

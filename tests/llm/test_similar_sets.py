@@ -93,3 +93,41 @@ def test_keys_that_are_null_or_repeat(spark):
     got = similar_sets.deduplicated(frame).collect()
     assert sorted((r.doc_id or 0, r.node) for r in got)[:1] == [(0, 1)] and {r.doc_id for r in got} == {None, 7, 11}
     assert similar_sets.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_the_stage_goes_by_fingerprints_first(spark, monkeypatch):
+    """SimHash's cells deal the shingles' fingerprints; what they link is what is compared first."""
+    import corpus_pipeline
+    from streamloom.llm import simhash
+
+    texts = corpus()
+    asked = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, *rest: asked.append({r.fp for r in nodes.collect()}) or links(nodes, *rest))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()}
+    want = plain_components(texts)
+    assert kept == set(want)
+    sets = [similar_sets.shingle_set((t or "").encode()) for t in texts]
+    prints = [simhash.majority(x) if len(x) else 0 for x in sets]
+    assert asked == [{int(np.array(x, np.uint64).view(np.int64)) for x in prints}]
+    nodes = spark.createDataFrame(sorted({(similar_sets.node_of(x), int(np.array(p, np.uint64).view(np.int64))) for x, p in zip(sets, prints, strict=True)}), "node long, fp long")
+    pairs = similar_sets.by_fingerprint(nodes).collect()
+    of = {similar_sets.node_of(x): p for x, p in zip(sets, prints, strict=True)}
+    near = {p for p in of.values() for q in of.values() if 0 < (p ^ q).bit_count() <= 3}
+    assert len(pairs) > 10 and all(r.a < r.b for r in pairs) and {of[x] for r in pairs for x in (r.a, r.b) if of[r.a] != of[r.b]} == near
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(similar_sets, "EDGES", 16)
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in zip(rng.permutation(300), rng.permutation(300), strict=True)] + [(1000 + i, 1001 + i) for i in range(200)] + [(2000, x) for x in range(1900, 2100)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    found = {(r.node, r.root) for r in similar_sets.components(frame).collect()}
+    alone = {a for a, b in edges if a == b} - {x for e in edges if e[0] != e[1] for x in e}
+    assert found == {(x, r) for x, r in label.items() if x not in alone}
+    assert similar_sets.components(frame.limit(0)).count() == 0
