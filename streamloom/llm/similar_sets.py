@@ -49,8 +49,6 @@ HOT, HOT_TOKENS, PART = 64, 200_000, 4
 SEGMENTS = (8, 1024)
 #: Segments of the coarser embedding by which nodes ask in blocks, at most.
 COARSE = 64
-#: Embeddings of at most so many bytes are broadcast to the pairs.
-SIDE_BYTES = 16 << 20
 #: Shingles that are compared with one node in one task, about.
 GROUP_SHINGLES = 10_000
 #: Edges that a task gathers before it contracts them.
@@ -194,9 +192,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b", "b_n"]).filter(pa.array(keep, pa.bool_()))
 
     for side in ("a", "b"):
-        wanted = pairs.select(F.col(side).alias("node")).distinct()
-        found = nodes.join(bounded(wanted, F.lit(16)), "node", "left_semi").select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("counts").alias(f"{side}_counts"))
-        pairs = pairs.join(bounded(found, F.octet_length(f"{side}_counts") + 24, SIDE_BYTES), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("counts").alias(f"{side}_counts")), side)
     return saved(pairs.select("a", "b", "a_n", "b_n", "a_counts", "b_counts").mapInArrow(allowed, "a long, b long, b_n int"), "near")
 
 
@@ -204,11 +200,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -
     """Of the pairs a, b those that are similar: a meets its partners' texts in groups of about GROUP_SHINGLES."""
     near = _near(pairs, nodes)
     parts = near.groupBy("a").agg(F.ceil(F.sum("b_n") / GROUP_SHINGLES).alias("parts"))
-    dealt = near.join(bounded(parts, F.lit(16), SIDE_BYTES), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).alias("part"))
+    dealt = near.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).alias("part"))
     sides = dealt.select("a", "part", F.col("b").alias("node")).union(dealt.select("a", "part", F.col("a").alias("node")).distinct())
-    wanted = sides.select("node").distinct()
-    least = nodes.select("node", "least").join(bounded(wanted, F.lit(16), SIDE_BYTES), "node")
-    sides = saved(sides.join(bounded(least, F.octet_length(F.col("least").cast("string")) + 16, SIDE_BYTES), "node"), "sides")
+    sides = saved(sides.join(nodes.select("node", "least"), "node"), "sides")
     texts = rows.join(bounded(sides, F.octet_length(F.col("least").cast("string")) + 32), rows["k"] == F.col("least")).select("a", "part", "node", "text")
 
     def compared(group: pa.Table) -> pa.Table:
@@ -305,19 +299,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _labelled(nodes: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
     """token, node, n and label (the component so far) of the members."""
-    roots = components(found).distinct()
-    known = nodes.select("node", "n").join(bounded(members.select("node").distinct(), F.lit(16), SIDE_BYTES), "node", "left_semi")
-    known = saved(known.join(bounded(roots, F.lit(32), SIDE_BYTES), "node", "left").select("node", "n", F.coalesce("root", "node").alias("label")), "known")
-    return members.select("token", "node").join(bounded(known, F.lit(32), SIDE_BYTES), "node")
+    known = saved(nodes.select("node", "n").join(components(found), "node", "left").select("node", "n", F.coalesce("root", "node").alias("label")), "known")
+    return members.select("token", "node").join(known, "node")
 
 
 def _blocks(sides: DataFrame, nodes: DataFrame) -> DataFrame:
     """The members of each token in blocks: those that aren't of its largest component ask all."""
     sizes = sides.groupBy("token", "label").agg(F.count("*").alias("times")).groupBy("token").agg(F.max_by("label", F.struct("times", "label")).alias("main"), F.max("times").alias("most"), F.sum("times").alias("all"))
     mixed = saved(sizes.where("most < all").select("token", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("asking"), F.ceil(F.col("all") / BLOCK).cast("int").alias("asked")), "mixed")
-    each = sides.join(bounded(mixed, F.lit(32), SIDE_BYTES), "token")
-    counts = nodes.select("node", F.col("coarse").alias("counts")).join(bounded(each.select("node").distinct(), F.lit(16), SIDE_BYTES), "node", "left_semi")
-    each = each.join(bounded(counts, F.octet_length("counts") + 16, SIDE_BYTES), "node")
+    each = sides.join(mixed, "token")
+    each = each.join(nodes.select("node", F.col("coarse").alias("counts")), "node")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = ["token", "node", "n", "label", "counts"]
@@ -343,10 +334,11 @@ def links(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     held = [F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("own")]
     centre = sides.groupBy("token").agg(F.min(F.struct(*held)).alias("c"), F.min_by(F.struct(*held), F.xxhash64("node", F.lit(1))).alias("d"), F.min("label").alias("first"), F.max("label").alias("last"))
     centre = saved(centre.where("first < last").select("token", F.explode(F.array_distinct(F.array("c", "d"))).alias("c")).select("token", "c.*"), "centres")
-    more = sides.join(bounded(centre, F.lit(40), SIDE_BYTES), "token").where("label != own and 5 * least(n, m) >= 4 * greatest(n, m)")
+    more = sides.join(centre, "token").where("label != own and 5 * least(n, m) >= 4 * greatest(n, m)")
     stars = shared.where("times = 2").select("a", "b").union(more.select(F.least("a", "node"), F.greatest("a", "node"))).distinct()
     stars = stars.join(found, ["a", "b"], "left_anti")
     found = found.union(_confirmed(saved(stars, "stars"), nodes, rows, size))
+    release(spark)
     rest = saved(_apart(_blocks(_labelled(nodes, found, members), nodes)), "rest")
     return found.union(_confirmed(rest, nodes, rows, size))
 
@@ -356,8 +348,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = _rows(docs, key, text)
     prints = saved(_embedded(rows, size), "embedded")
     nodes = saved(prints.groupBy("node").agg(F.min("k").alias("least"), F.max("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts"), F.first("coarse").alias("coarse")), "nodes")
-    roots = components(links(rows, nodes, size)).distinct()
-    of = nodes.select("node", "least").join(bounded(roots, F.lit(32), SIDE_BYTES), "node", "left")
+    of = nodes.select("node", "least").join(components(links(rows, nodes, size)), "node", "left")
     of = saved(of.select("node", F.coalesce("root", "node").alias("root"), "least"), "roots")
     label = of.groupBy("root").agg(F.min("least").alias("component_id"))
     known = saved(of.join(label, "root").select("node", "component_id"), "labels")
