@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,9 +203,9 @@ def _search_shard(texts: list[bytes], vocabulary: dict, names: list, patterns: l
     return n_words, spans, items
 
 
-def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
-    """Adds what one block of the benchmark finds to the columns of df."""
-    held = df.sparkSession.sparkContext.broadcast(block)
+def _search(spark: SparkSession, block, shard_bytes: int):
+    """A function that adds what one block of the benchmark finds to the columns of batches."""
+    held = spark.sparkContext.broadcast(block)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, names, patterns = held.value
@@ -228,7 +228,12 @@ def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
             made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    return small_batches(df).mapInArrow(searched, df.schema)
+    return searched
+
+
+def _pass(df: DataFrame, block, shard_bytes: int) -> DataFrame:
+    """Adds what one block of the benchmark finds to the columns of df."""
+    return small_batches(df).mapInArrow(_search(df.sparkSession, block, shard_bytes), df.schema)
 
 
 def merged(flat: list[int]) -> list[tuple[int, int]]:
@@ -295,19 +300,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs that aren't contaminated, whole; one scan, no shuffle."""
+    """The rows of docs that aren't contaminated, whole; one scan, no shuffle.
+
+    The last pass chooses the rows in the Python worker that searches, so a task has no worker more than passes.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     df = docs.toDF(*names).select(*names, F.col(names[docs.columns.index(text)]).cast("string").alias("text"), *_nothing_found())
-    for block in _benchmark_blocks(benchmark, item, item_text, window, BLOCK_BYTES):
-        df = _pass(df, block, SHARD_BYTES)
+    blocks = _benchmark_blocks(benchmark, item, item_text, window, BLOCK_BYTES)
+    last = next(blocks)
+    for block in blocks:
+        df, last = _pass(df, last, SHARD_BYTES), block
+    searched = _search(df.sparkSession, last, SHARD_BYTES)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in searched(batches):
             hits = [sum(b - a for a, b in merged(x)) for x in column(batch, "spans").to_pylist()]
             keep = [not _contaminated(h, n) for h, n in zip(hits, column(batch, "n_words").to_pylist(), strict=True)]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    out = df.mapInArrow(kept, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]))
+    out = small_batches(df).mapInArrow(kept, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]))
     return out.toDF(*docs.columns)
 
 _SQL_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

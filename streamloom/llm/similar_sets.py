@@ -15,7 +15,10 @@ At such a radius no cell of counts is shared for certain, so cells are of shingl
 order of all shingles, two similar sets share one of their first n // 5 + 1 (n in the set).
 Those are a node's tokens, and nodes that share none aren't compared. The order is by hash, but
 shingles that are a token of more than HOT rows come last, so that common lines are tokens only
-of texts that hold little else. Which do changes the work, not the result.
+of texts that hold little else. Which do changes the work, not the result. At the first token that
+two sets share, all they share lies there or after it in both, so a token's nodes are compared only
+where their places in their sets leave room for a similarity of 4/5: the other tokens of a pair
+would only find it again.
 
 Nodes that share a token and that fingerprints left apart are first compared with two of them, and
 then all that aren't of the token's largest component with all of other components.
@@ -48,7 +51,7 @@ HOT, HOT_TOKENS, PART = 64, 200_000, 4
 #: Segments of an embedding: a power of two, about the set's size.
 SEGMENTS = (8, 1024)
 #: Segments of the coarser embedding by which nodes ask in blocks, at most.
-COARSE = 64
+COARSE = 256
 #: Shingles that are compared with one node in one task, about.
 GROUP_SHINGLES = 10_000
 #: Edges that a task gathers before it contracts them.
@@ -103,7 +106,9 @@ def segment_counts(hashes: np.ndarray) -> bytes:
 
 
 def folded(counts: np.ndarray, segments: int) -> np.ndarray:
-    """Rows of counts in fewer, coarser segments."""
+    """Rows of counts in fewer, coarser segments, or as many."""
+    if counts.shape[1] == segments:
+        return counts.astype(np.int16)
     return np.minimum(counts.reshape(len(counts), segments, -1).sum(axis=2, dtype=np.int32), 255).astype(np.int16)
 
 
@@ -133,6 +138,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def fits(n, place, m, other):
+    """Whether sets of n and m shingles may be similar if the first that they share has these places in them."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.minimum(n - place, m - other) >= 4 * (n + m))
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return small_batches(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).where("k is not null"))
 
@@ -167,7 +177,7 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
 
 
 def _tokens(rows: DataFrame, size: int, hot: np.ndarray) -> DataFrame:
-    """token and node, a row for each token of each row."""
+    """token, node and place (of the token in the order of the node's), a row for each token of each row."""
     held = rows.sparkSession.sparkContext.broadcast(hot)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +187,10 @@ def _tokens(rows: DataFrame, size: int, hot: np.ndarray) -> DataFrame:
                 found = [shingle_set(x, size) for x in texts[at : at + 100]]
                 token = [tokens(x, held.value) for x in found]
                 node = np.repeat(np.array([node_of(x) for x in found], np.int64), [len(x) for x in token])
-                yield batch_of({"token": (np.concatenate(token).view(np.int64), pa.int64()), "node": (node, pa.int64())})
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in token])
+                yield batch_of({"token": (np.concatenate(token).view(np.int64), pa.int64()), "node": (node, pa.int64()), "place": (place, pa.int32())})
 
-    return rows.select("text").mapInArrow(mapped, "token long, node long")
+    return rows.select("text").mapInArrow(mapped, "token long, node long, place int")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -221,14 +232,14 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -
 
 
 def _apart(blocks: DataFrame) -> DataFrame:
-    """a, b: the pairs of one that asks and one that is asked in each block (nodes, sizes, labels, asks and counts, a list each) whose labels differ and whose embeddings allow similarity."""
+    """a, b: the pairs of one that asks and one that is asked in each block (nodes, sizes, places, labels, asks and counts, a list each) whose labels differ and whose places and embeddings allow similarity."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [column(batch, x) for x in ("nodes", "sizes", "labels", "asks", "counts")]
+            lists = [column(batch, x) for x in ("nodes", "sizes", "places", "labels", "asks", "counts")]
             for r in range(batch.num_rows):
-                node, n, label, asks = (x[r].values.to_numpy(zero_copy_only=False) for x in lists[:4])
-                n, counts = n.astype(np.int64), lists[4][r].as_py()
+                node, n, place, label, asks = (x[r].values.to_numpy(zero_copy_only=False) for x in lists[:5])
+                n, place, counts = n.astype(np.int64), place.astype(np.int64), lists[5][r].as_py()
                 length = np.array([len(x) for x in counts])
                 asked = {k: np.flatnonzero(~asks & (length == k)) for k in np.unique(length[~asks]).tolist()}
                 tables = {k: rows_of([counts[i] for i in own.tolist()]) for k, own in asked.items()}
@@ -236,10 +247,10 @@ def _apart(blocks: DataFrame) -> DataFrame:
                 for q in np.flatnonzero(asks).tolist():
                     one = rows_of([counts[q]])
                     for k, own in asked.items():
-                        fits = (label[own] != label[q]) & (5 * np.minimum(n[own], n[q]) >= 4 * np.maximum(n[own], n[q]))
-                        if fits.any():
-                            own = own[fits]
-                            own = own[9 * manhattan(one, tables[k][fits]) <= n[own] + n[q]]
+                        may = (label[own] != label[q]) & fits(n[own], place[own], n[q], place[q])
+                        if may.any():
+                            own = own[may]
+                            own = own[9 * manhattan(one, tables[k][may]) <= n[own] + n[q]]
                             found[0].append(np.minimum(node[own], node[q]))
                             found[1].append(np.maximum(node[own], node[q]))
                 a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
@@ -298,9 +309,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(nodes: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
-    """token, node, n and label (the component so far) of the members."""
+    """token, node, place, n and label (the component so far) of the members."""
     known = saved(nodes.select("node", "n").join(components(found), "node", "left").select("node", "n", F.coalesce("root", "node").alias("label")), "known")
-    return members.select("token", "node").join(known, "node")
+    return members.select("token", "node", "place").join(known, "node")
 
 
 def _blocks(sides: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -311,11 +322,11 @@ def _blocks(sides: DataFrame, nodes: DataFrame) -> DataFrame:
     each = each.join(nodes.select("node", F.col("coarse").alias("counts")), "node")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = ["token", "node", "n", "label", "counts"]
+    held = ["token", "node", "n", "place", "label", "counts"]
     asked = each.select(*held, place("asked").alias("i"), every("asking").alias("j"), F.lit(False).alias("asks"))
     asking = each.where("label != main").select(*held, every("asked").alias("i"), place("asking").alias("j"), F.lit(True).alias("asks"))
-    met = asked.union(asking).groupBy("token", "i", "j").agg(F.collect_list(F.struct("node", "n", "label", "asks", "counts")).alias("x"))
-    return met.select(*[F.col(f"x.{c}").alias(name) for c, name in (("node", "nodes"), ("n", "sizes"), ("label", "labels"), ("asks", "asks"), ("counts", "counts"))])
+    met = asked.union(asking).groupBy("token", "i", "j").agg(F.collect_list(F.struct("node", "n", "place", "label", "asks", "counts")).alias("x"))
+    return met.select(*[F.col(f"x.{c}").alias(name) for c, name in (("node", "nodes"), ("n", "sizes"), ("place", "places"), ("label", "labels"), ("asks", "asks"), ("counts", "counts"))])
 
 
 def links(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -326,15 +337,15 @@ def links(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     dealt = _tokens(rows, size, np.sort(np.array([r.token for r in hot], np.int64).view(np.uint64)))
     shared = saved(dealt.groupBy("token").agg(F.count("*").alias("times"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b"), "shared")
     release(spark)
-    many = shared.where("times > 2").select("token", "a")
+    many = shared.where("times > 2").select("token")
     members = saved(dealt.join(bounded(many, F.lit(32)), "token").distinct(), "members")
     release(spark)
     found = _confirmed(saved(by_fingerprint(nodes), "linked"), nodes, rows, size)
     sides = _labelled(nodes, found, members)
-    held = [F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("own")]
+    held = [F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("own"), F.col("place").alias("other")]
     centre = sides.groupBy("token").agg(F.min(F.struct(*held)).alias("c"), F.min_by(F.struct(*held), F.xxhash64("node", F.lit(1))).alias("d"), F.min("label").alias("first"), F.max("label").alias("last"))
     centre = saved(centre.where("first < last").select("token", F.explode(F.array_distinct(F.array("c", "d"))).alias("c")).select("token", "c.*"), "centres")
-    more = sides.join(centre, "token").where("label != own and 5 * least(n, m) >= 4 * greatest(n, m)")
+    more = sides.join(centre, "token").where("label != own and 5 * least(n, m) >= 4 * greatest(n, m) and 9L * least(n - place, m - other) >= 4L * (n + m)")
     stars = shared.where("times = 2").select("a", "b").union(more.select(F.least("a", "node"), F.greatest("a", "node"))).distinct()
     stars = stars.join(found, ["a", "b"], "left_anti")
     found = found.union(_confirmed(saved(stars, "stars"), nodes, rows, size))

@@ -142,6 +142,13 @@ def test_decontamination_by_items_without_an_id(spark):
     assert [r.doc_id for r in decontaminate.without_contaminated(docs, benchmark).collect()] == [3]
 
 
+def test_the_decontamination_stage_searches_and_chooses_in_one_worker(spark):
+    benchmark = spark.createDataFrame([("7", "a b c")], "item_id string, text string")
+    out = decontaminate.without_contaminated(docs_of(spark, ["x a b c y", "other words", None]), benchmark)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
 def test_decontamination_of_nothing(spark):
     check_decontamination(spark, ["a b", None], [])
     assert decontaminate.decontaminate(docs_of(spark, []), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0

@@ -76,6 +76,39 @@ def test_tokens_keep_the_promise():
             assert 9 * distance(a, b) <= len(a) + len(b)
 
 
+def test_places_leave_room_where_similar_sets_first_meet():
+    rng = np.random.default_rng(10)
+    met = ruled_out = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, int(rng.integers(0, 6)), dtype=np.uint64)]))
+        hot = np.sort(a[rng.random(len(a)) > 0.5])
+        one, other = similar_sets.tokens(a, hot).tolist(), similar_sets.tokens(b, hot).tolist()
+        shared = [similar_sets.fits(len(a), i, len(b), other.index(x)) for i, x in enumerate(one) if x in other]
+        if similar_sets.similar(a, b):
+            met += 1
+            assert shared[0]
+        ruled_out += len(shared) - sum(map(bool, shared))
+    assert met > 100 and ruled_out > 100
+
+
+def test_a_crowd_below_the_similarity_is_told_apart_before_its_texts_are_read(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(160):
+        words = [f"c{i}" for i in range(150)]
+        for x in rng.choice(150, 3, replace=False):
+            words[x] = f"y{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    asked, near = [], similar_sets._near
+    monkeypatch.setattr(similar_sets, "_near", lambda pairs, nodes: asked.append(pairs.count()) or near(pairs, nodes))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar_sets.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(texts)
+    assert asked[-1] < len(texts)  # pairs of the blocks
+
+
 def test_manhattan_distance_is_a_lower_bound():
     rng = np.random.default_rng(7)
     for n, m in ((3, 9), (40, 47), (500, 700), (900, 60_000), (300_000, 310_000), (60_000, 300_000)):
