@@ -142,11 +142,15 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def _level(nodes: DataFrame, masks: list[int], counted: bool, cap: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """Links within cells of at most cap nodes, and the nodes of larger cells. nodes: distinct fp."""
     value = popcounts(F.col("fp")) if counted else F.col("fp")
-    cells = F.array(*[F.struct(F.lit(k).cast("short").alias("choice"), F.col("value").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)])
-    dealt = nodes.select("fp", value.alias("value")).select("fp", F.explode(cells).alias("c")).select("fp", "c.choice", "c.cell")
+    # the masks are one literal: an expression for each of 560 takes the driver some hundred MB to plan
+    choices = F.posexplode(F.expr(f"array({', '.join(f'{m}L' for m in masks)})")).alias("place", "mask")
+    dealt = nodes.select("fp", value.alias("value")).select("fp", "value", choices).select("fp", F.col("place").cast("short").alias("choice"), F.col("value").bitwiseAND(F.col("mask")).alias("cell"))
     sizes = saved(dealt.groupBy("choice", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
     pairs = sizes.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    some = dealt.join(sizes.where((F.col("n") > 2) & (F.col("n") <= cap)).select("choice", "cell"), ["choice", "cell"])
+    crowds = sizes.where((F.col("n") > 2) & (F.col("n") <= cap)).select("choice", "cell")
+    if len(masks) > len(LEVELS[0][0]):  # few nodes, of which each is in many cells: those would be broadcast
+        crowds = crowds.hint("merge")
+    some = dealt.join(crowds, ["choice", "cell"])
     some = some.groupBy("choice", "cell").agg(F.collect_list("fp").alias("fps")).select("fps")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -333,12 +333,12 @@ def links(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """a, b: similar nodes, enough of them to connect all that similarity connects."""
     spark, some = rows.sparkSession, rows.where(F.pmod(F.xxhash64("k"), F.lit(PART)) == 0)
     seen = _tokens(some, size, np.zeros(0, np.uint64)).groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") * PART > HOT)
-    hot = seen.orderBy(F.desc("times"), "token").limit(HOT_TOKENS).select("token").collect()
-    dealt = _tokens(rows, size, np.sort(np.array([r.token for r in hot], np.int64).view(np.uint64)))
+    hot = seen.orderBy(F.desc("times"), "token").limit(HOT_TOKENS).select("token").toArrow()  # a row object for each would take some 50 times as much of the driver
+    dealt = _tokens(rows, size, np.sort(hot.column("token").to_numpy().view(np.uint64)))
     shared = saved(dealt.groupBy("token").agg(F.count("*").alias("times"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b"), "shared")
     release(spark)
     many = shared.where("times > 2").select("token")
-    members = saved(dealt.join(bounded(many, F.lit(32)), "token").distinct(), "members")
+    members = saved(dealt.join(many.hint("merge"), "token").distinct(), "members")
     release(spark)
     found = _confirmed(saved(by_fingerprint(nodes), "linked"), nodes, rows, size)
     sides = _labelled(nodes, found, members)

@@ -90,3 +90,17 @@ def test_nulls_and_nothing(spark):
     assert got == [(False, 3)] * 4 + [(True, None)]
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
     assert spark.range(1).select(simhash.popcounts(F.lit(-1).cast("long"))).first()[0] == -0x5555555555555556
+
+
+def test_a_fine_level_is_a_small_plan(spark):
+    nodes = spark.createDataFrame([(i,) for i in (1, 3, 7, 1 << 40)], "fp long")
+    masks, counted, cap = simhash.LEVELS[2][0], *simhash.LEVELS[2][1:]
+    plans = []
+    saved = simhash.saved
+    simhash.saved = lambda df, name: plans.append(df._jdf.queryExecution().analyzed().treeString()) or saved(df, name)
+    try:
+        found, _ = simhash._level(nodes, masks, counted, cap, 3)
+        assert {(r.a, r.b) for r in found.collect()} >= {(3, 1), (7, 1)}
+    finally:
+        simhash.saved = saved
+    assert len(masks) == 560 and plans[0].count("struct") < 10
